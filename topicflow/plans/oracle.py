@@ -344,6 +344,10 @@ ORACLE: dict[str, str] = {
             WHERE d <= {EPS}) WHERE rn = 1)
         SELECT e.vec_id, coalesce(cluster, -1) AS cluster, round(coalesce(1 - d / {EPS}, 0), 5) AS strength
         FROM e LEFT JOIN best ON e.vec_id = best.vec_id""",
+    "pca_norms": r"""
+        WITH h AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        m AS (SELECT i, avg(x) AS m FROM h GROUP BY i)
+        SELECT vec_id, round(sqrt(sum((x - m) * (x - m))), 6) AS norm FROM h JOIN m USING (i) GROUP BY vec_id""",
     "topic_distribution": r"""
         SELECT event_type AS topic, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share
         FROM events GROUP BY 1""",

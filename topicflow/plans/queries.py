@@ -607,7 +607,15 @@ def density_assign(spark, sf):
 def pca_reduce(spark, sf):
     rows = table(spark, sf, "embeddings")
     model = cluster.fit_reducer(rows, "embedding", 50)
-    return model.transform(rows).select("vec_id", "reduced")
+    return cluster.reduce_vectors(rows, model, "embedding").select("vec_id", "reduced")
+
+
+@query
+def pca_norms(spark, sf):
+    """With all components kept, a row's length is its distance from the mean."""
+    rows = table(spark, sf, "embeddings")
+    reduced = cluster.reduce_vectors(rows, cluster.fit_reducer(rows, "embedding", 64), "embedding")
+    return reduced.select("vec_id", F.round(vectors.l2_norm(F.col("reduced")), 6).alias("norm"))
 
 
 @query
