@@ -26,6 +26,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
+    if isinstance(value, list):
+        return tuple(map(_cell, value))
     if isinstance(value, float):
         return None if math.isnan(value) else round(value + 0.0, 6)
     return value

@@ -133,7 +133,7 @@ def test_near_duplicates(spark):
     for block_rows in (7, 512):
         groups = dedupe.near_duplicate_groups(df, "id", tokens, 0.8, block_rows=block_rows)
         got = [r["group"] for r in groups.orderBy("id").collect()]
-        sigs = dedupe.signatures(df, "id", dedupe.shingle_hashes(tokens)).orderBy("id").collect()
+        sigs = dedupe.signatures(df, "id", tokens).orderBy("id").collect()
         sig = np.array([r["sig"] for r in sigs])
         linked = (sig[:, None] == sig[None]).mean(-1) >= 0.8
         label = np.arange(len(sig))
@@ -147,8 +147,7 @@ def test_near_duplicates(spark):
 def test_signature_agreement_estimates_jaccard(spark):
     a, b = [f"t{i}" for i in range(300)], [f"t{i}" for i in range(100, 400)]
     df = spark.createDataFrame([(0, a), (1, b)], "id bigint, toks array<string>")
-    shingles = dedupe.shingle_hashes(F.col("toks"), 1)
-    s = [r["sig"] for r in dedupe.signatures(df, "id", shingles, n_hashes=512).orderBy("id").collect()]
+    s = [r["sig"] for r in dedupe.signatures(df, "id", F.col("toks"), 1, n_hashes=512).orderBy("id").collect()]
     assert abs((np.array(s[0]) == np.array(s[1])).mean() - 0.5) < 0.08
     with pytest.raises(ValueError, match="n_bands"):
         dedupe.near_duplicate_groups(df, "id", F.col("toks"), 0.5)

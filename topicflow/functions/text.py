@@ -16,13 +16,18 @@ from topicflow.functions import stopwords as sw
 
 SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
+# every character the two classes above call whitespace, for trimming without a regex
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 ALPHABET = "a-zа-яё"
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(col: Column) -> Column:
     """Trim all Unicode whitespace (``F.trim`` removes only U+0020)."""
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def text_length(col: Column) -> Column:

@@ -101,12 +101,20 @@ def review_sample(df: DataFrame, id_col: str, cluster: str, per_cluster: int = 5
 
 
 def batch_summary(batch_log: DataFrame, size: str = "size", seconds: str = "seconds") -> DataFrame:
-    """Batches, rows, mean and p95 duration and rows per second, one row."""
-    return batch_log.agg(
-        F.count("*").alias("batches"),
-        F.sum(size).alias("rows"),
-        F.avg(size).alias("mean_size"),
-        F.avg(seconds).alias("mean_seconds"),
-        F.percentile(seconds, F.lit(0.95)).alias("p95_seconds"),
-        (F.sum(size) / F.sum(seconds)).alias("rows_per_second"),
+    """Batches, rows, mean and p95 duration and rows per second, one row.
+
+    Durations are first counted by the millisecond, so the exact quantile works
+    on few distinct values however many batches there are.
+    """
+    freq = batch_log.groupBy(F.round(F.col(seconds), 3).alias("_s")).agg(
+        F.count("*").alias("_n"), F.sum(size).alias("_size"), F.sum(seconds).alias("_total")
+    )
+    batches = F.sum("_n")
+    return freq.agg(
+        batches.alias("batches"),
+        F.sum("_size").alias("rows"),
+        (F.sum("_size") / batches).alias("mean_size"),
+        (F.sum("_total") / batches).alias("mean_seconds"),
+        F.percentile("_s", F.lit(0.95), F.col("_n")).alias("p95_seconds"),
+        (F.sum("_size") / F.sum("_total")).alias("rows_per_second"),
     )

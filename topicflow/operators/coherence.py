@@ -42,8 +42,10 @@ def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFra
     hits = F.filter(
         F.transform("_tokens", lambda t, i: F.struct(t.alias("w"), i.alias("p"))), lambda s: s["w"].isin(words)
     )
-    pruned = tokens.select(F.size("_tokens").alias("len"), hits.alias("hits")).where(F.size("hits") > 0)
-    pruned = pruned.select("len", F.col("hits.w").alias("w"), F.col("hits.p").alias("p"))
+    # no filter on empty hits here: it would be pushed down and find all hits twice
+    pruned = tokens.select(F.size("_tokens").alias("len"), hits.alias("hits")).select(
+        "len", F.col("hits.w").alias("w"), F.col("hits.p").alias("p")
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: Counter = Counter()

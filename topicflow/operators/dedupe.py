@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.functions import text as tx
 from topicflow.operators import blocks, matrices
 from topicflow.operators.components import connected_components
 from topicflow.session import cut_lineage
@@ -25,13 +24,24 @@ from topicflow.session import cut_lineage
 N_HASHES = 64
 N_BANDS = 16
 BLOCK_ROWS = 512
+# odd 64-bit multipliers of the rolling hash
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_hashes(tokens: Column, n: int = 3) -> Column:
-    """Distinct hashes of the word n-grams; a shorter text is one shingle."""
-    joined = F.array(F.array_join(tokens, " "))
-    grams = F.when(F.size(tokens) < n, joined).otherwise(tx.ngrams(tokens, n))
-    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _shingles(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of the word n-grams, combined from the word hashes modulo
+    2^64; a shorter text is one shingle."""
+    x = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+    width = min(n, len(x))
+    grams = np.zeros(max(len(x) - n + 1, 1), dtype=np.uint64)
+    for i in range(width):
+        grams = grams * _BASE + x[i : i + len(grams)]
+    grams ^= grams >> np.uint64(29)
+    return np.unique(grams * _MIX)
 
 
 def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,16 +52,18 @@ def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def signatures(df: DataFrame, id_col: str, shingles: Column, n_hashes: int = N_HASHES, seed: int = 42) -> DataFrame:
+def signatures(
+    df: DataFrame, id_col: str, tokens: Column, shingle: int = 3, n_hashes: int = N_HASHES, seed: int = 42
+) -> DataFrame:
     """``id, sig``: array<int> of ``n_hashes`` minima over the whole text."""
     a, b = _permutations(n_hashes, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sigs = []
-            for hashes in batch["_shingles"]:
+            for hashes in batch["_hashes"]:
                 # a*x + b modulo 2^64, of which the upper bits are kept
-                x = np.asarray(hashes, dtype=np.int64).view(np.uint64)
+                x = _shingles(hashes, shingle)
                 best = np.full(n_hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for start in range(0, len(x), 4096):
                     part = a[:, None] * x[None, start : start + 4096] + b[:, None]
@@ -59,7 +71,7 @@ def signatures(df: DataFrame, id_col: str, shingles: Column, n_hashes: int = N_H
                 sigs.append((best >> np.uint64(33)).astype(np.int32))
             yield pd.DataFrame({"id": batch["id"], "sig": sigs})
 
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), shingles.alias("_shingles"))
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), token_hashes(tokens).alias("_hashes"))
     return source.mapInPandas(run, "id bigint, sig array<int>")
 
 
@@ -89,7 +101,7 @@ def near_duplicate_groups(
     if n_hashes - int(np.ceil(threshold * n_hashes)) >= n_bands:
         raise ValueError("n_bands must exceed the number of positions two near copies may differ in")
     width = n_hashes // n_bands
-    sigs = cut_lineage(signatures(df, id_col, shingle_hashes(tokens, shingle), n_hashes))
+    sigs = cut_lineage(signatures(df, id_col, tokens, shingle, n_hashes))
     points = sigs.groupBy("sig").agg(F.min("id").alias("id"))
     bands = F.array(
         *[
@@ -97,9 +109,10 @@ def near_duplicate_groups(
             for i in range(n_bands)
         ]
     )
-    banded = points.select("id", "sig", F.explode(bands).alias("_cell"))
-    cells = blocks.cell_blocks(banded, block_rows).where("_rows > 1")
-    placed = blocks.with_blocks(banded, cells, "id")
+    # bands of a single text go before the signatures, the wide part, are attached
+    banded = points.select("id", F.explode(bands).alias("_cell"))
+    cells = cut_lineage(blocks.cell_blocks(banded, block_rows).where("_rows > 1"))
+    placed = blocks.with_blocks(banded, cells, "id").join(points, "id")
     # the own cell is the only neighbour of a band
     pairs = blocks.block_pairs(cells, offsets=[[0, 0]])
     edges = blocks.map_block_pairs(placed, placed, pairs, _agreeing(threshold), "src bigint, dst bigint", block_rows)

@@ -79,8 +79,19 @@ def embed(
 
 def attach_embeddings(df: DataFrame, embeddings: DataFrame, id_col: str) -> DataFrame:
     """Join rows with their embeddings by id; both sides must match exactly."""
-    lost = df.select(id_col).join(embeddings.select(id_col), id_col, "left_anti").count()
-    extra = embeddings.select(id_col).join(df.select(id_col), id_col, "left_anti").count()
+    rows = df.select(id_col, F.lit(1).alias("_row"))
+    vectors = embeddings.select(id_col, F.lit(1).alias("_vec"))
+    lost, extra = (
+        rows.join(vectors, id_col, "full")
+        .agg(F.count_if(F.col("_vec").isNull()), F.count_if(F.col("_row").isNull()))
+        .first()
+    )
     if lost or extra:
         raise ValueError(f"rows without embedding: {lost}, embeddings without row: {extra}")
     return df.join(embeddings, id_col)
+
+
+def embedding_job(df: DataFrame, id_col: str, path: str, text_col: str = "text", encoder_factory=None, **options) -> None:
+    """Corpus to embedding store: null text as empty, encode, write ``doc_id, embedding``."""
+    vectors = embed(df, id_col, text_col, encoder_factory, **options)
+    vectors.withColumnRenamed(id_col, "doc_id").write.mode("overwrite").parquet(path)

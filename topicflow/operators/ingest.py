@@ -141,6 +141,19 @@ def first_per_id(valid: DataFrame) -> DataFrame:
     return valid.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def known_ids(ids_df: DataFrame, stored: DataFrame, key: str = "external_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``stored`` whose key occurs in ``ids_df``.
+
+    A micro-batch is small and the store is not: after its ids are counted they
+    are broadcast, so the store is filtered where it is read. A batch above
+    ``broadcast_rows`` is matched by shuffle.
+    """
+    wanted = ids_df.select(key).distinct()
+    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    return stored.join(wanted, key, "left_semi")
+
+
 def new_news(valid: DataFrame, stored: DataFrame) -> DataFrame:
     """Insert-if-absent: first message per id that is not among ``stored``."""
     return first_per_id(valid).join(stored.select("external_id"), "external_id", "left_anti")

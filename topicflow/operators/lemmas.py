@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.functions import text as tx
+from topicflow.session import size_checked
 
 # rows of (token, lemma) up to which the dictionary is sent to every executor
 BROADCAST_ROWS = 500_000
@@ -19,7 +20,7 @@ def lemmatize(
     out: str = "lemmatized",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Replace every whitespace token by its lemma; unknown tokens stay.
+    """``id, out``: every whitespace token replaced by its lemma; unknown tokens stay.
 
     Rows are placed by id first, so with a broadcast dictionary the tokens are
     joined and put together again without another shuffle. A dictionary above
@@ -27,17 +28,17 @@ def lemmatize(
     partitions of frequent tokens.
     """
     entries = dictionary.select(F.col("token").alias("_token"), F.col("lemma").alias("_lemma"))
-    if entries.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        entries = F.broadcast(entries)
+    entries = size_checked(entries, broadcast_rows)
     placed = df.select(id_col, text_col).repartition(id_col)
-    tokens = placed.select(id_col, F.posexplode(tx.space_tokens(F.col(text_col))).alias("_pos", "_token"))
-    lemmas = (
+    # the outer form keeps rows without any token
+    tokens = placed.select(id_col, F.posexplode_outer(tx.space_tokens(F.col(text_col))).alias("_pos", "_token"))
+    lemma = F.coalesce("_lemma", "_token")
+    return (
         tokens.join(entries, "_token", "left")
         .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lemma", "_token").alias("_w")))).alias("_ws"))
-        .select(id_col, F.array_join(F.transform("_ws", lambda s: s["_w"]), " ").alias(out))
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", lemma.alias("_w")))).alias("_ws"))
+        .select(id_col, F.array_join(F.col("_ws._w"), " ").alias(out))
     )
-    return df.join(lemmas, id_col, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def lemmatize_corpus(
@@ -47,4 +48,4 @@ def lemmatize_corpus(
     if target_col not in df.columns:
         raise ValueError(f"Column '{target_col}' not found")
     cleaned = df.withColumn(target_col, tx.clean_text(F.col(target_col), **options)).na.fill("")
-    return lemmatize(cleaned, dictionary, id_col, target_col, out)
+    return cleaned.join(lemmatize(cleaned, dictionary, id_col, target_col, out), id_col)

@@ -111,8 +111,7 @@ def lemma_dictionary(docs: DataFrame) -> DataFrame:
 @query
 def lemmatize(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    out = lemmas.lemmatize(docs, lemma_dictionary(docs), "doc_id", "text")
-    return out.select("doc_id", "lemmatized")
+    return lemmas.lemmatize(docs, lemma_dictionary(docs), "doc_id", "text")
 
 
 @query
@@ -607,7 +606,8 @@ def density_assign(spark, sf):
 def pca_reduce(spark, sf):
     rows = table(spark, sf, "embeddings")
     model = cluster.fit_reducer(rows, "embedding", 50)
-    return cluster.reduce_vectors(rows, model, "embedding").select("vec_id", "reduced")
+    reduced = cluster.reduce_vectors(rows, model, "embedding")
+    return reduced.select("vec_id", F.posexplode("reduced").alias("pos", "x"))
 
 
 @query

@@ -59,3 +59,12 @@ def fetch_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """At most ``limit`` rows on the driver, or None when there are more."""
     rows = df.take(limit + 1)
     return rows if len(rows) <= limit else None
+
+
+def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` written once to shared storage, with a broadcast hint only if it
+    turned out to have at most ``max_rows`` rows."""
+    from pyspark.sql import functions as F
+
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

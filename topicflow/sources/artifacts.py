@@ -38,7 +38,7 @@ def topics_json(topics: DataFrame) -> DataFrame:
     """One row ``value``: ``{"<cluster>": ["word", ...], ...}``. The topic table
     is a top-n report, a few words per cluster."""
     packed = topics_as_arrays(topics)
-    entries = F.array_sort(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "top_words")))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("cluster_id").cast("string"), "top_words")))
     return packed.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
 
 

@@ -59,8 +59,9 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
     parsed = ingest.parse_messages(messages).persist()
     try:
         stored = read_table(spark, tables.incoming_news, schemas.INCOMING_NEWS)
-        earlier = stored.where(F.col("batch_id") != batch_id)
         valid, rejected = ingest.split_valid(parsed)
+        earlier = stored.where(F.col("batch_id") != batch_id).select("external_id")
+        earlier = ingest.known_ids(valid, earlier)
         now = F.lit(datetime.now(timezone.utc))
         fresh = ingest.to_incoming_news(ingest.new_news(valid, earlier), now)
         write_batch(rejected, tables.rejected_messages, batch_id)
@@ -129,7 +130,7 @@ def score_batch(
     now = F.lit(datetime.now(timezone.utc))
     rows = news.dropDuplicates(["id"])
     log = read_status(spark, tables).where(F.col("batch_id").isNull() | (F.col("batch_id") != batch_id))
-    log = log.join(rows.select("id"), "id", "left_semi")
+    log = ingest.known_ids(rows, log, "id")
     claim = store.status_entries(rows.select("id"), schemas.PROCESSING, now, log=log).persist()
     claimed = rows.join(claim.select("id"), "id", "left_semi").persist()
     scored = None
