@@ -4,8 +4,11 @@ Two texts are near copies when their signatures agree in at least
 ``threshold`` of the positions. Signatures are cut into bands; by the
 pigeonhole principle a pair that differs in fewer positions than there are
 bands shares a whole band, so comparing within bands misses no such pair.
-Identical shingle sets are collapsed first, and a band shared by very many
-texts is compared in bounded blocks (see ``blocks``).
+Identical signatures are collapsed first. A band shared by very many texts is
+measured against its first text: all texts near that one are connected through
+it and need no comparison with each other, and of the others only those at a
+similar distance from it are compared, in bounded blocks (see ``blocks``). So a
+huge group of near copies costs one comparison per text.
 """
 
 from __future__ import annotations
@@ -87,6 +90,26 @@ def _agreeing(threshold: float):
     return edges
 
 
+def _rings(members: DataFrame, crowded: DataFrame, differ: int) -> DataFrame:
+    """``id, sig, _cell, _first``: members of crowded bands with their distance ring.
+
+    The ring is the number of positions in which a signature differs from the
+    band's first one, in steps of ``differ + 1``. Near copies of the first text
+    are ring 0, and near copies of each other are in the same or adjacent rings.
+    The first signature is repeated per block, so the join has no hot key.
+    """
+    first = members.groupBy("_cell").agg(F.min(F.struct("id", "sig")).alias("_f"))
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
+    first = first.join(crowded, "_cell").select("_cell", "_f", block)
+    apart = F.aggregate(
+        F.zip_with("sig", "_f.sig", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda acc, x: acc + x
+    )
+    ring = F.floor(apart / F.lit(differ + 1)).cast("bigint")
+    return members.join(first, ["_cell", "_block"]).select(
+        "id", "sig", F.concat("_cell", F.array(ring)).alias("_cell"), F.col("_f.id").alias("_first")
+    )
+
+
 def near_duplicate_groups(
     df: DataFrame,
     id_col: str,
@@ -112,10 +135,29 @@ def near_duplicate_groups(
     # bands of a single text go before the signatures, the wide part, are attached
     banded = points.select("id", F.explode(bands).alias("_cell"))
     cells = cut_lineage(blocks.cell_blocks(banded, block_rows).where("_rows > 1"))
-    placed = blocks.with_blocks(banded, cells, "id").join(points, "id")
+    link = _agreeing(threshold)
+    schema = "src bigint, dst bigint"
+
+    usual = cells.where("_blocks = 1")
+    placed = blocks.with_blocks(banded, usual, "id").join(points, "id")
     # the own cell is the only neighbour of a band
-    pairs = blocks.block_pairs(cells, offsets=[[0, 0]])
-    edges = blocks.map_block_pairs(placed, placed, pairs, _agreeing(threshold), "src bigint, dst bigint", block_rows)
+    pairs = blocks.block_pairs(usual, offsets=[[0, 0]])
+    edges = blocks.map_block_pairs(placed, placed, pairs, link, schema, block_rows)
+
+    crowded = cells.where("_blocks > 1")
+    if not crowded.isEmpty():
+        differ = n_hashes - int(np.ceil(threshold * n_hashes))
+        ringed = cut_lineage(_rings(blocks.with_blocks(banded, crowded, "id").join(points, "id"), crowded, differ))
+        star = ringed.where((F.get("_cell", 2) == 0) & (F.col("id") != F.col("_first"))).select(
+            F.col("id").alias("src"), F.col("_first").alias("dst")
+        )
+        ringed = ringed.drop("_first")
+        rings = blocks.cell_blocks(ringed, block_rows)
+        placed = blocks.with_blocks(ringed, rings, "id")
+        pairs = blocks.block_pairs(rings, offsets=[[0, 0, 0], [0, 0, 1]])
+        pairs = pairs.where((F.get("_lcell", 2) > 0) | (F.get("_rcell", 2) > 0))
+        rest = blocks.map_block_pairs(placed, placed, pairs, link, schema, block_rows)
+        edges = edges.unionByName(star).unionByName(rest)
     components = connected_components(edges.distinct())
     grouped = points.join(components, points["id"] == components["node"], "left").select(
         "sig", F.coalesce("component", "id").alias("group")

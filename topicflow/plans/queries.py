@@ -32,7 +32,7 @@ from topicflow.operators import (
     topics,
 )
 from topicflow.plans import train
-from topicflow.session import cut_lineage, scratch_path
+from topicflow.session import cut_lineage, scratch_path, spread
 
 # English words the cleaning queries treat as stopwords: the test corpus is not Russian
 STOPWORDS = ["the", "and", "that", "with", "for", "from"]
@@ -47,8 +47,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+# text tables, whose rows are costly to process, and their ids
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
 
 
 def words(col: str = "text", min_len: int = 2):
@@ -257,7 +262,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.to_json(full))
     )
     texts = docs.select(value.cast("binary").alias("value"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"))
-    events = table(spark, sf, "events").select(
+    events = spread(table(spark, sf, "events"), "event_id").select(
         F.col("props").cast("binary").alias("value"), F.lit(1).alias("partition"), F.col("event_id").alias("offset")
     )
     return texts.unionByName(events)

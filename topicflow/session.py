@@ -55,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A table scan with at least enough partitions for every core.
+
+    Only a small table in few row groups is moved; one with more input splits
+    than twice the cores is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores, key)
+
+
 def fetch_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """At most ``limit`` rows on the driver, or None when there are more."""
     rows = df.take(limit + 1)
