@@ -106,6 +106,19 @@ def test_density(spark, block_rows):
     np.testing.assert_allclose([r["strength"] for r in rows], np.where(hit, 1 - dist.min(1) / 0.5, 0), atol=1e-7)
 
 
+@pytest.mark.parametrize("eps", [0.2, 0.35, 0.6])
+def test_density_with_dense_cells(spark, eps):
+    """Tight balls on both sides of cell borders: anchors, links between cells and open pairs."""
+    rng = np.random.default_rng(11)
+    spots = [(0.01, 0.01), (-0.05, 0.02), (eps * 1.02, 0.0), (eps * 1.9, 0.1), (eps * 2.6, eps), (3.0, 3.0)]
+    x = np.concatenate([rng.normal(s, eps / 9, (40, 2)) for s in spots] + [rng.uniform(-1, 4, (30, 2))])
+    got = density.density_clusters(points(spark, x), "id", "vec", eps, 6, 8, block_rows=10)
+    want, core = brute_density(pairwise(x), eps, 6, 8)
+    rows = got.orderBy("id").collect()
+    assert [r["cluster"] for r in rows] == want.tolist()
+    assert [r["is_core"] for r in rows] == core.tolist()
+
+
 def test_density_token_minimum(spark):
     df = points(spark, np.zeros((6, 2))).withColumn("toks", F.array_repeat(F.lit("t"), F.col("id").cast("int")))
     out = density.density_clusters(df, "id", "vec", 1.0, 2, 2, min_tokens=3, tokens_col="toks").orderBy("id").collect()

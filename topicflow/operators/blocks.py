@@ -46,6 +46,17 @@ def with_blocks(rows: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:
     ).drop("_blocks")
 
 
+def with_anchor(members: DataFrame, cells: DataFrame, payload: str) -> DataFrame:
+    """Add ``_anchor``, the ``id`` and ``payload`` of the cell's first member.
+
+    ``members`` have ``_cell`` and ``_block``. The anchor is repeated for every
+    block of its cell, so that the join has no hot key.
+    """
+    first = members.groupBy("_cell").agg(F.min(F.struct("id", payload)).alias("_anchor"))
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
+    return members.join(first.join(cells, "_cell").select("_cell", "_anchor", block), ["_cell", "_block"])
+
+
 def block_pairs(
     left: DataFrame,
     right: DataFrame | None = None,

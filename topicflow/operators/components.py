@@ -17,8 +17,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     pre-aggregated, and the joins have one row per node on one side, so a hub
     with very many edges is split by AQE instead of landing in one task.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut_lineage(both.where("src <> dst").distinct())
+    # one explode instead of a union, which would compute the edges twice
+    ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src", "dst"), ("dst", "src"))]
+    both = edges.where("src <> dst").select(F.inline(F.array(*ends)))
+    both = cut_lineage(both.distinct())
     labels = cut_lineage(
         both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select(
             "node", F.least("node", "_m").alias("component")

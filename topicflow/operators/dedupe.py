@@ -96,17 +96,13 @@ def _rings(members: DataFrame, crowded: DataFrame, differ: int) -> DataFrame:
     The ring is the number of positions in which a signature differs from the
     band's first one, in steps of ``differ + 1``. Near copies of the first text
     are ring 0, and near copies of each other are in the same or adjacent rings.
-    The first signature is repeated per block, so the join has no hot key.
     """
-    first = members.groupBy("_cell").agg(F.min(F.struct("id", "sig")).alias("_f"))
-    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
-    first = first.join(crowded, "_cell").select("_cell", "_f", block)
     apart = F.aggregate(
-        F.zip_with("sig", "_f.sig", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda acc, x: acc + x
+        F.zip_with("sig", "_anchor.sig", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda acc, x: acc + x
     )
     ring = F.floor(apart / F.lit(differ + 1)).cast("bigint")
-    return members.join(first, ["_cell", "_block"]).select(
-        "id", "sig", F.concat("_cell", F.array(ring)).alias("_cell"), F.col("_f.id").alias("_first")
+    return blocks.with_anchor(members, crowded, "sig").select(
+        "id", "sig", F.concat("_cell", F.array(ring)).alias("_cell"), F.col("_anchor.id").alias("_first")
     )
 
 

@@ -9,8 +9,11 @@ horizontal cut through the density hierarchy, and it is computed exactly:
   of copies is one row;
 * the leading ``grid_dims`` coordinates, cut into cells of width ``eps``, limit
   the comparisons: points within ``eps`` lie in the same or adjacent cells;
-* cells are compared in bounded blocks, which return neighbour counts and
-  spanning edges (see ``blocks``).
+* a crowded cell gets an anchor, its first point. Points within ``eps / 2`` of it
+  are within ``eps`` of each other: with enough of them all are core and connected
+  through the anchor, and they are not compared with each other;
+* everything else is compared in bounded blocks, which return neighbour counts
+  and spanning edges (see ``blocks``).
 """
 
 from __future__ import annotations
@@ -49,6 +52,90 @@ def _gridded(points: DataFrame, eps: float, dims: int, block_rows: int) -> tuple
     return blocks.with_blocks(cells_of, cells, "id"), cells
 
 
+def _distance(a: Column | str, b: Column | str) -> Column:
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
+
+
+def _with_rings(points: DataFrame, eps: float, min_samples: int, dims: int, block_rows: int) -> DataFrame:
+    """``points`` plus ``_cell`` and ``anchor``. The last cell coordinate is 0 for
+    points around the anchor of a dense cell, else 1."""
+    grid = points.withColumn("_cell", grid_cell(F.col("vec"), eps, dims))
+    crowded = cut_lineage(blocks.cell_blocks(grid, block_rows).where("_blocks > 1"))
+    if crowded.isEmpty():
+        inner = points.select("id", F.lit(None).cast("bigint").alias("anchor")).limit(0)
+    else:
+        members = blocks.with_anchor(blocks.with_blocks(grid, crowded, "id"), crowded, "vec")
+        close = members.where(_distance("vec", "_anchor.vec") <= eps / 2).select(
+            "id", "weight", "_cell", F.col("_anchor.id").alias("anchor")
+        )
+        dense = close.groupBy("_cell").agg(F.sum("weight").alias("_w")).where(F.col("_w") >= min_samples)
+        inner = close.join(dense.select("_cell"), "_cell", "left_semi").select("id", "anchor")
+    ringed = grid.join(inner, "id", "left")
+    ring = F.when(F.col("anchor").isNotNull(), 0).otherwise(1).cast("bigint")
+    return cut_lineage(ringed.withColumn("_cell", F.concat("_cell", F.array(ring))))
+
+
+def _inner(cell: str, dims: int) -> Column:
+    return F.get(cell, dims) == 0
+
+
+def _reach(eps: float):
+    """An anchor (left) against the inner points of another dense cell: one link, if any."""
+
+    def reach(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        near = matrices.distances(matrices.stack(left["vec"]), matrices.stack(right["vec"])) <= eps
+        hit = near.any(axis=1)
+        to = near.argmax(axis=1)[hit]
+        return pd.DataFrame(
+            {
+                "src": left["id"].to_numpy()[hit],
+                "dst": right["id"].to_numpy()[to],
+                "other": right["anchor"].to_numpy()[to].astype(np.int64),
+            }
+        )
+
+    return reach
+
+
+def _dense_edges(placed: DataFrame, cells: DataFrame, pairs: DataFrame, eps: float, dims: int, block_rows: int):
+    """Edges among the inner points of dense cells.
+
+    Inside a cell they hang on the anchor. Two adjacent dense cells are linked
+    by one edge if an anchor reaches into the other cell; only if neither does,
+    and the anchors are within ``2 * eps``, are their points compared.
+    """
+    inner = placed.where(_inner("_cell", dims))
+    star = inner.where("id <> anchor").select(F.col("id").alias("src"), F.col("anchor").alias("dst"))
+    anchors = inner.where("id = anchor").select("id", "vec", "_cell")
+    anchor_cells = anchors.select("_cell", F.lit(1).cast("bigint").alias("_rows"), F.lit(1).cast("bigint").alias("_blocks"))
+    offsets = [o + [0] for o in blocks.all_neighbours(dims) if any(o)]
+    reached = cut_lineage(
+        blocks.map_block_pairs(
+            anchors.withColumn("_block", F.lit(0).cast("bigint")),
+            inner,
+            blocks.block_pairs(anchor_cells, cells, offsets),
+            _reach(eps),
+            "src bigint, dst bigint, other bigint",
+            block_rows,
+        )
+    )
+    linked = reached.select(F.least("src", "other").alias("_a"), F.greatest("src", "other").alias("_b")).distinct()
+    lhs = anchors.select(F.col("_cell").alias("_lcell"), F.col("id").alias("_lid"), F.col("vec").alias("_lvec"))
+    rhs = anchors.select(F.col("_cell").alias("_rcell"), F.col("id").alias("_rid"), F.col("vec").alias("_rvec"))
+    open_pairs = (
+        pairs.where(F.col("_lcell") != F.col("_rcell"))
+        .join(lhs, "_lcell")
+        .join(rhs, "_rcell")
+        .where(_distance("_lvec", "_rvec") <= 2 * eps)
+        .withColumns({"_a": F.least("_lid", "_rid"), "_b": F.greatest("_lid", "_rid")})
+        .join(linked, ["_a", "_b"], "left_anti")
+        .select(*pairs.columns)
+    )
+    rest = blocks.map_block_pairs(inner, inner, open_pairs, _edges_within(eps), "src bigint, dst bigint", block_rows)
+    return star.unionByName(reached.select("src", "dst")).unionByName(rest)
+
+
 def _count_within(eps: float):
     def count(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         near = matrices.distances(matrices.stack(left["vec"]), matrices.stack(right["vec"])) <= eps
@@ -90,15 +177,27 @@ def density_clusters(
     """
     taking_part = df if min_tokens is None else df.where(F.size(tokens_col) >= min_tokens)
     points = cut_lineage(distinct_points(taking_part, id_col, vec_col))
-    placed, cells = _gridded(points, eps, grid_dims, block_rows)
-    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims))
-    counts = blocks.map_block_pairs(placed, placed, pairs, _count_within(eps), "id bigint, n bigint", block_rows)
-    core = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
-    core = cut_lineage(points.join(core, "id"))
-
-    placed, cells = _gridded(core, eps, grid_dims, block_rows)
-    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims))
-    edges = blocks.map_block_pairs(placed, placed, pairs, _edges_within(eps), "src bigint, dst bigint", block_rows)
+    points = _with_rings(points, eps, min_samples, grid_dims, block_rows)
+    cells = blocks.cell_blocks(points, block_rows)
+    placed = blocks.with_blocks(points, cells, "id")
+    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
+    both_inner = _inner("_lcell", grid_dims) & _inner("_rcell", grid_dims)
+    counts = blocks.map_block_pairs(
+        placed, placed, pairs.where(~both_inner), _count_within(eps), "id bigint, n bigint", block_rows
+    )
+    busy = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
+    inner_ids = points.where(_inner("_cell", grid_dims)).select("id")
+    core = cut_lineage(points.join(busy.union(inner_ids).distinct(), "id", "left_semi"))
+
+    cells = blocks.cell_blocks(core, block_rows)
+    placed = blocks.with_blocks(core, cells, "id")
+    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
+    edges = blocks.map_block_pairs(
+        placed, placed, pairs.where(~both_inner), _edges_within(eps), "src bigint, dst bigint", block_rows
+    )
+    if not core.where(_inner("_cell", grid_dims)).isEmpty():
+        dense = _dense_edges(placed, cells, pairs.where(both_inner), eps, grid_dims, block_rows)
+        edges = edges.unionByName(dense)
     components = connected_components(edges)
     labelled = core.join(components, core["id"] == components["node"], "left").select(
         "vec", "weight", F.coalesce("component", "id").alias("_comp")
