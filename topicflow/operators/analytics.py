@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicflow.functions import text as tx
+from topicflow.session import cut_lineage
 
 
 def articles_per_year(df: DataFrame, date: Column) -> DataFrame:
@@ -35,9 +36,10 @@ def length_histogram(df: DataFrame, text: Column, q: float = 0.99, bins: int = 3
     """``bin, low, high, n`` over lengths up to ``int(quantile)``.
 
     Equal-width bins from the smallest to the largest kept length, the last one
-    closed. Equal extremes are widened by one half on both sides.
+    closed. Equal extremes are widened by one half on both sides. The lengths
+    are counted once and kept, the rest reads that small table.
     """
-    freq = length_frequencies(df, text)
+    freq = cut_lineage(length_frequencies(df, text))
     clip = freq.agg(F.floor(F.percentile("length", F.lit(q), F.col("freq")))).scalar()
     kept = freq.where(F.col("length") <= clip)
     low, high = kept.agg(F.min("length")).scalar(), kept.agg(F.max("length")).scalar()
@@ -60,10 +62,8 @@ def length_histogram(df: DataFrame, text: Column, q: float = 0.99, bins: int = 3
 
 def topic_distribution(df: DataFrame, topic: str) -> DataFrame:
     """``topic, n, share`` over all rows."""
-    total = df.agg(F.count("*")).scalar()
-    return (
-        df.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
-    )
+    counts = df.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def topic_dynamics(df: DataFrame, ts: str, topic: str, width: str = "1 day") -> DataFrame:

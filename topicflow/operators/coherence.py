@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.session import fetch_bounded
+from topicflow.session import cut_lineage, fetch_bounded
 
 EPS = 1e-12
 # topic words that are counted inside the tasks
@@ -119,6 +119,8 @@ def coherence_by_topic(
     """``cluster_id, coherence``. Words that never occur in the documents are
     left out of their topic, and a topic without any known word is left out."""
     counts, total = window_counts(docs, id_col, tokens, topics, window, max_words)
+    # one row per word pair of a topic, used several times below
+    counts = cut_lineage(counts)
     n = total.scalar()
     single = counts.where("word_a = word_b").select(F.col("word_a").alias("word"), (F.col("n") / n).alias("p"))
     words = topics.select("cluster_id", "word").distinct().join(single, "word")

@@ -93,35 +93,40 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     whole = (F.size("_items") == 2) & (F.get(F.col("_items"), 1)["_end"] == 1)
     looks_object = F.coalesce(F.col("_raw").rlike(r"^[ \t\r\n]*\{"), F.lit(False))
     message = F.when(whole & looks_object, F.get(F.col("_items"), 0))
-    truthy = [_truthy_text(message[name]).alias(name) for name in _FIELDS]
-    plain = [message[name].try_cast("string").alias(f"{name}_text") for name in ("title", "source", "url")]
+    truthy = [_truthy_text(message[name]).alias(f"_{name}") for name in _FIELDS]
+    plain = [message[name].try_cast("string").alias(f"_plain_{name}") for name in ("title", "source", "url")]
     read = F.struct(
-        message.isNotNull().alias("is_object"),
-        F.when(~looks_object, F.expr("try_parse_json(concat('[', _raw, ',0]'))").isNotNull()).alias("other_json"),
-        _string_only(message["text"]).alias("body"),
-        F.nullif(_string_only(message["published_at"]), F.lit("")).alias("date_text"),
+        message.isNotNull().alias("_is_object"),
+        F.when(~looks_object, F.expr("try_parse_json(concat('[', _raw, ',0]'))").isNotNull()).alias("_other_json"),
+        _string_only(message["text"]).alias("_body"),
+        F.nullif(_string_only(message["published_at"]), F.lit("")).alias("_date_text"),
         *truthy,
         *plain,
     )
-    df = _pinned(df, "_m", read)
-    m = F.col("_m")
+    # inline gives plain columns, pinned like the others
+    df = df.select("*", F.inline_outer(F.array(read)))
+    df = _pinned(df, "published_at", ids.parse_iso8601(F.col("_date_text")))
     reason = (
-        F.when(~m["is_object"], F.when(F.coalesce(m["other_json"], F.lit(False)), NOT_OBJECT).otherwise(INVALID_JSON))
-        .when(F.coalesce(m["body"], F.lit("")) == "", MISSING_TEXT)
-        .when(m["date_text"].isNotNull() & F.col("published_at").isNull(), BAD_DATE)
+        F.when(
+            ~F.col("_is_object"),
+            F.when(F.coalesce(F.col("_other_json"), F.lit(False)), NOT_OBJECT).otherwise(INVALID_JSON),
+        )
+        .when(F.coalesce(F.col("_body"), F.lit("")) == "", MISSING_TEXT)
+        .when(F.col("_date_text").isNotNull() & F.col("published_at").isNull(), BAD_DATE)
+    )
+    ext = ids.external_id(*[F.col(f"_{name}") for name in ("external_id", "title", "source", "published_at", "text")])
+    result = _pinned(df, "reason", reason)
+    return result.select(
+        *messages.columns,
+        "reason",
+        "published_at",
+        ext.alias("external_id"),
+        F.col("_plain_title").alias("title"),
+        F.col("_plain_source").alias("source"),
+        F.col("_plain_url").alias("url"),
+        F.col("_body").alias("raw_text"),
+        F.col("_raw").alias("payload_json"),
     )
-    df = _pinned(df, "published_at", ids.parse_iso8601(m["date_text"]))
-    ext = ids.external_id(*[m[name] for name in ("external_id", "title", "source", "published_at", "text")])
-    return _pinned(df, "reason", reason).withColumns(
-        {
-            "external_id": ext,
-            "title": m["title_text"],
-            "source": m["source_text"],
-            "url": m["url_text"],
-            "raw_text": m["body"],
-            "payload_json": F.col("_raw"),
-        }
-    ).drop("_raw", "_items", "_m")
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,22 +181,26 @@ def to_incoming_news(fresh: DataFrame, created_at: Column) -> DataFrame:
 def ingest_outcomes(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     """``outcome, n``: stored, duplicate and one row per reject reason.
 
-    Messages are counted per id before they are compared with the store.
+    One pass: messages are counted per reason, and valid ones per id, before
+    they are compared with the store.
     """
-    valid, rejected = split_valid(parsed)
-    per_id = valid.groupBy("external_id").agg(F.count("*").alias("_n"))
-    known = stored.select("external_id").distinct().withColumn("_known", F.lit(True))
-    per_id = per_id.join(known, "external_id", "left").withColumn(
-        "_new", F.when(F.col("_known").isNull(), 1).otherwise(0)
+    valid = F.col("reason").isNull()
+    per_id = parsed.groupBy("reason", F.when(valid, F.col("external_id")).alias("external_id")).agg(
+        F.count("*").alias("_n")
     )
-    counted = per_id.select(
+    known = stored.select("external_id").distinct().withColumn("_known", F.lit(True))
+    fresh = F.when(F.col("_known").isNull(), 1).otherwise(0).cast("bigint")
+    counted = per_id.join(known, "external_id", "left").select(
         F.inline(
             F.array(
-                F.struct(F.lit(STORED).alias("outcome"), F.col("_new").cast("bigint").alias("n")),
-                F.struct(F.lit(DUPLICATE).alias("outcome"), (F.col("_n") - F.col("_new")).alias("n")),
+                F.struct(
+                    F.coalesce("reason", F.lit(STORED)).alias("outcome"),
+                    F.when(valid, fresh).otherwise(F.col("_n")).alias("n"),
+                ),
+                F.struct(
+                    F.lit(DUPLICATE).alias("outcome"), F.when(valid, F.col("_n") - fresh).otherwise(0).alias("n")
+                ),
             )
         )
     )
-    rejects = rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n"))
-    total = counted.groupBy("outcome").agg(F.sum("n").alias("n")).where("n > 0")
-    return total.unionByName(rejects)
+    return counted.groupBy("outcome").agg(F.sum("n").alias("n")).where("n > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicflow.operators import blocks, matrices
 from topicflow.operators.cluster import mean_vectors
-from topicflow.session import fetch_bounded
+from topicflow.session import cut_lineage, fetch_bounded
 
 NOISE = -1
 
@@ -203,6 +203,7 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     """Agreement of two labelings of the same rows, one row, from their
     contingency table."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    cells = cut_lineage(cells)
     both = cells.agg(F.sum(_pairs(F.col("n"))).alias("_ab"), F.sum("n").alias("_n"))
     rows = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("_a"))
     cols = cells.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(_pairs(F.col("n"))).alias("_b"))
