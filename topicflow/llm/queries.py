@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import crosspolytope, linededup, minhash, packing, sitetree, toxicity
+from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, minhash, packing, sitetree, toxicity
 from topicflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
+
+
+@query
+def op1_license_sentences(spark, sf):
+    return licenses.scan_licenses(read(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+ORACLE["op1_license_sentences"] = licenses.license_sql()
+
+
+@query
+def op2_cross_entropy_difference(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    wanted = read(spark, sf, "labels").where("quality = 1")
+    return lmscore.cross_entropy_difference(docs, wanted).drop("text")
+
+
 @query
 def op3_minhash_bbit(spark, sf):
     return minhash.near_duplicates(read(spark, sf, "documents"), k=3, threshold=(17, 20))
@@ -66,6 +84,21 @@ def op6_cross_polytope(spark, sf):
     return crosspolytope.search(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op7_maglev_placement(spark, sf):
+    return maglev.place(read(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+ORACLE["op7_maglev_placement"] = maglev.place_sql("documents", "doc_id", SHARDS)
+
+
+@query
+def op8_latent_decontamination(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    leaks = decontam.find_leaks(docs, read(spark, sf, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 @query
 def op9_toxicity_mil(spark, sf):
     docs = read(spark, sf, "documents")
