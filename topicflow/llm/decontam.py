@@ -17,7 +17,7 @@ is a stated query set: it is searched in blocks of about ``block`` items, and th
 limits vocabulary, latent vectors and broadcast. Windows are whole texts; nothing is capped.
 
 Defined results: null, empty or wordless texts and items match nothing; an item with a null id is
-reported under null; repeated rows are each searched; equal items are all reported; other columns are kept.
+reported under null; repeated rows are each searched; equal items are all reported; other columns are kept, one named ``leaks`` replaced.
 """
 
 from __future__ import annotations
@@ -235,6 +235,7 @@ def find_leaks(
     block: int = 2048,
 ) -> DataFrame:
     """``docs`` plus ``leaks``, an array of the items that the document holds."""
+    docs = docs.drop("leaks")
     schema = docs.select("*", F.lit(None).cast(MATCH).alias("leaks")).schema
     at, names = docs.columns.index(text_col), [*docs.columns, "leaks"]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))

@@ -9,7 +9,7 @@ Everything is one narrow projection: no shuffle, no Python. Texts without any wo
 have are not cut at all.
 
 Defined results: null, empty and licence-free texts give empty strings; repeated rows are each
-recognised; other columns are kept. Very long texts are cut as a whole.
+recognised; other columns are kept, those with the name of a result column replaced. Very long texts are cut as a whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"\n|[.!?;]+([ \t\n\r\f]+|\z)"
-HINT = "licen[sc]e|permission|redistribut|warrant|liable|public domain|spdx|neither the name|unencumbered|creative commons"
+HINT = "licen[sc]e|(?:released|distributed) under|provided by|permission|redistribut|warrant|liable|public domain|spdx|neither the name"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 VERSION = r"(?:v|version)? ?(\d+(?: \d+)*)"
 # identifier, pattern of the whole normalised sentence; a group is the version or name

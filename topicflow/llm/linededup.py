@@ -18,7 +18,7 @@ lines are taken out.
 
 Defined results: null or empty texts are one empty line; rows with equal ids count as one document; rows
 without an id count together as one document that is never the largest; keys shorter than ``min_chars``
-code points are never dropped; other columns are kept as they are.
+code points are never dropped; other columns are kept, those named ``n_lines`` or ``n_dropped`` replaced.
 """
 
 from __future__ import annotations
@@ -223,8 +223,8 @@ class LineIndex:
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", postings: DataFrame | None = None) -> DataFrame:
         """``docs`` with ``text_col`` without its repeated lines, plus ``n_lines`` and ``n_dropped``."""
         drops = self.drops(self.postings_of(docs, id_col, text_col) if postings is None else postings)
-        gone = drops.groupBy("doc").agg(F.collect_list("key").alias("_gone"))
-        joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(gone["doc"]), "left").drop("doc")
+        gone = drops.groupBy(F.col("doc").alias("_line_doc")).agg(F.collect_list("key").alias("_gone"))
+        joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_line_doc")), "left").drop("_line_doc")
         lines = lines_of(F.col(text_col))
         keep = F.filter(
             F.arrays_zip(lines.alias("line"), line_keys(lines, self.min_chars).alias("key")),

@@ -14,7 +14,7 @@ what is fetched and broadcast.
 
 Defined results: words are lower-cased runs of letters and digits; null, empty or wordless texts have 0
 tokens and null losses; repeated rows count repeatedly; without target documents the target model is
-uniform; other columns are kept.
+uniform; other columns are kept, those with the name of a result column replaced.
 """
 
 from __future__ import annotations
@@ -100,6 +100,7 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
         Models(models.word.astype(np.float32), models.context.astype(np.float32), models.pair.astype(np.float32))
     )
     extra = [("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("loss_difference", "double")]
+    docs = docs.drop(*(n for n, _ in extra))
     schema = docs.select("*", *(F.lit(None).cast(k).alias(n) for n, k in extra)).schema
     at = docs.columns.index(text_col)
 
@@ -125,6 +126,6 @@ def cross_entropy_difference(
 ) -> DataFrame:
     """Score all ``docs``; the target model is of those whose id is in ``target_ids``."""
     wanted = stored(target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "target-ids")
-    marked = docs.select(id_col, text_col).join(wanted, docs[id_col] == wanted["_id"], "left")
+    marked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("_id"), "left")
     models = train(marked, F.col("_id").isNotNull(), text_col, words, pairs)
     return score(docs, models, text_col)

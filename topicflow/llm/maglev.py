@@ -9,7 +9,7 @@ The filled table has ``size`` rows whatever the data, so it is broadcast, and pl
 join: constant time per row, no shuffle, and a hot key costs nothing.
 
 Defined results: a null key has the hash of the empty string; equal keys go to equal shards; other columns are
-kept, and of the same names replaced.
+kept, those named ``slot`` or ``shard`` replaced.
 """
 
 from __future__ import annotations

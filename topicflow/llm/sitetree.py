@@ -17,7 +17,7 @@ is not in such a branch, only that is kept.
 Tree nodes are joined with pages by node, hot nodes salted; a page's own nodes bound what it receives.
 
 Defined results: null html is empty and gives an empty text; pages with null or unreadable urls form one
-host; rows with equal ids are each extracted; other columns are kept.
+host; rows with equal ids are each extracted; other columns are kept, one named ``main_text`` replaced.
 """
 
 from __future__ import annotations
@@ -249,12 +249,13 @@ def extract_pages(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", floor: float = 0.3, least: int = 5
 ) -> DataFrame:
     """``pages`` plus ``main_text``."""
+    pages = pages.drop("main_text")
     nodes = stored(page_nodes(pages, id_col, url_col, html_col), "page-nodes")
     low = style_tree(nodes, least).where(F.col("importance") < floor).select("path")
     marked = salted_join(nodes.select("page", "path"), low, "path", ["page"], "inner")
     by_page = marked.groupBy("page").agg(F.collect_set("path").alias("_low")).withColumnRenamed("page", "_page")
-    keyed = pages.withColumn("_key", F.col(id_col).cast("bigint")).withColumn("_host", host_of(F.col(url_col)))
-    joined = keyed.join(by_page, F.col("_key").eqNullSafe(F.col("_page")), "left").drop("_page", "_key")
+    keyed = pages.withColumn("_host", host_of(F.col(url_col)))
+    joined = keyed.join(by_page, F.col(id_col).cast("bigint").eqNullSafe(F.col("_page")), "left").drop("_page")
     names = joined.columns
     host, text, branches = names.index("_host"), names.index(html_col), names.index("_low")
     schema = pages.withColumn("main_text", F.lit("")).schema

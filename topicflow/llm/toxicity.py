@@ -14,7 +14,8 @@ Scoring is one narrow pass over all documents.
 Defined results: a null or empty text, or one without letters, is one sentence without words and has the
 probability of the bias; a document with several labels is toxic if one of them says so; rows with null
 labels or ids are not used in training; repeated rows get equal scores; without any label of one
-of the classes every score is that share of toxic labels (0 if there are none); other columns are kept.
+of the classes every score is that share of toxic labels (0 if there are none); other columns are kept,
+those with the name of a result column replaced.
 """
 
 from __future__ import annotations
@@ -192,11 +193,10 @@ def train_model(
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``toxic_score, n_sentences, worst_sentence, worst_score``; narrow, no shuffle."""
     weights, bias = model.weights, model.bias
-
-    schema = docs.schema
     new = "toxic_score double, n_sentences int, worst_sentence int, worst_score double".split(", ")
+    docs = docs.drop(*(n.split()[0] for n in new))
     fields = docs.select("*", *(F.lit(None).cast(n.split()[1]).alias(n.split()[0]) for n in new)).schema
-    at = schema.names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, bias)
