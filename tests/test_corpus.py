@@ -55,12 +55,11 @@ def test_prepare_frame(spark):
         corpus.prepare_frame(df.drop("lemmatized"))
 
 
-def test_lemmatize_both_joins(spark):
+def test_lemmatize(spark):
     words = spark.createDataFrame([("столы", "стол"), ("шли", "идти")], "token string, lemma string")
     df = spark.createDataFrame([(1, "шли столы шли дом"), (2, None), (3, "  ")], "doc_id int, text string")
-    for limit in (10, 1):
-        out = lemmas.lemmatize(df, words, "doc_id", "text", broadcast_rows=limit)
-        assert {r["doc_id"]: r["lemmatized"] for r in out.collect()} == {1: "идти стол идти дом", 2: "", 3: ""}
+    out = lemmas.lemmatize(df, words, "doc_id", "text")
+    assert {r["doc_id"]: r["lemmatized"] for r in out.collect()} == {1: "идти стол идти дом", 2: "", 3: ""}
     job = lemmas.lemmatize_corpus(df, words, "doc_id")
     assert job.where("doc_id = 1").first()["lemmatized"] == "идти стол идти дом"
 

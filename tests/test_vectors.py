@@ -52,7 +52,7 @@ def test_silhouette(spark, cloud):
     got = by_id(metrics.silhouette_samples(df, "id", "vec", "cluster", block_rows=20), "silhouette")
     np.testing.assert_allclose(got, brute_silhouette(pairwise(x), labels), atol=1e-7)
     for limit in (100, 2):
-        got = by_id(metrics.silhouette_sq_samples(df, "id", "vec", "cluster", max_clusters=limit), "silhouette")
+        got = by_id(metrics.silhouette_sq_samples(df, "id", "vec", "cluster", block=limit), "silhouette")
         np.testing.assert_allclose(got, brute_silhouette(pairwise(x) ** 2, labels), atol=1e-7)
     noisy = df.withColumn("cluster", F.when(F.col("cluster") == 0, 0).otherwise(-1))
     one = metrics.silhouette_samples(noisy, "id", "vec", "cluster")
@@ -174,7 +174,7 @@ def test_nearest_centre_paths(spark, cloud):
     c = np.array([x[labels == v].mean(0) for v in values])
     d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(-1))
     for limit in (100, 2):
-        out = cluster.nearest_centre(df.drop("cluster"), "vec", centres, "id", max_centres=limit).orderBy("id").collect()
+        out = cluster.nearest_centre(df.drop("cluster"), "vec", centres, "id", block=limit).orderBy("id").collect()
         assert [r["cluster"] for r in out] == [values[i] for i in d.argmin(1)]
         np.testing.assert_allclose([r["distance"] for r in out], d.min(1), atol=1e-7)
 

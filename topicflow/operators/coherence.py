@@ -9,7 +9,7 @@ and then over topics.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +17,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.session import cut_lineage, fetch_bounded
+from topicflow.session import cut_lineage
 
 EPS = 1e-12
-# topic words that are counted inside the tasks
-MAX_WORDS = 20_000
+# topics that are counted in one pass over the documents
+TOPIC_BLOCK = 1000
 
 
-def _starts_covering(positions: list[int], n_windows: int, window: int) -> np.ndarray:
-    """Which window starts contain at least one of the positions."""
-    edge = np.zeros(n_windows + 1, dtype=np.int64)
-    for p in positions:
-        edge[max(0, p - window + 1)] += 1
-        edge[min(p, n_windows - 1) + 1] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def _pair_keys(topic_rows: list) -> tuple[list[str], np.ndarray]:
+    """Distinct words, and the sorted keys ``i * n + j`` (i <= j) of word pairs that share a topic."""
+    by_topic = defaultdict(set)
+    for row in topic_rows:
+        by_topic[row["cluster_id"]].add(row["word"])
+    words = sorted(set().union(*by_topic.values()))
+    index, parts = {w: i for i, w in enumerate(words)}, []
+    for own in by_topic.values():
+        at = np.sort(np.array([index[w] for w in own], dtype=np.int64))
+        i, j = np.triu_indices(len(at))
+        parts.append(at[i] * len(words) + at[j])
+    return words, np.unique(np.concatenate(parts))
 
 
 def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFrame:
-    """``word_a, word_b, n`` (equal words: single counts), summed per task first."""
-    topics_of = defaultdict(set)
-    for row in topic_rows:
-        topics_of[row["word"]].add(row["cluster_id"])
-    words = sorted(topics_of)
+    """``word_a, word_b, n`` (equal words: single counts), summed per task first.
+
+    Of a document only the positions of topic words go to Python. There each word
+    becomes the 0/1 vector of the window starts that reach it, and one matrix
+    product counts the common windows of all its pairs.
+    """
+    words, keys = _pair_keys(topic_rows)
     hits = F.filter(
         F.transform("_tokens", lambda t, i: F.struct(t.alias("w"), i.alias("p"))), lambda s: s["w"].isin(words)
     )
@@ -46,48 +53,35 @@ def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFra
     pruned = tokens.select(F.size("_tokens").alias("len"), hits.alias("hits")).select(
         "len", F.col("hits.w").alias("w"), F.col("hits.p").alias("p")
     )
+    index = {w: i for i, w in enumerate(words)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: Counter = Counter()
+        totals = np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
             for length, ws, ps in zip(batch["len"], batch["w"], batch["p"]):
-                positions = defaultdict(list)
-                for w, p in zip(ws, ps):
-                    positions[w].append(p)
-                n_windows = max(length - window + 1, 1)
-                present = sorted(positions)
-                cover = {w: _starts_covering(positions[w], n_windows, window) for w in present}
-                for i, a in enumerate(present):
-                    for b in present[i:]:
-                        if a == b or topics_of[a] & topics_of[b]:
-                            totals[a, b] += int(np.count_nonzero(cover[a] & cover[b]))
-        rows = [(a, b, n) for (a, b), n in totals.items() if n]
-        yield pd.DataFrame(rows, columns=["word_a", "word_b", "n"])
+                if not len(ws):
+                    continue
+                present, own = np.unique([index[w] for w in ws], return_inverse=True)
+                starts = max(length - window + 1, 1)
+                # +1 where the windows over a position begin, -1 where they end
+                edge = np.zeros((len(present), starts + 1), dtype=np.int32)
+                np.add.at(edge, (own, np.maximum(0, ps - window + 1)), 1)
+                np.add.at(edge, (own, np.minimum(ps, starts - 1) + 1), -1)
+                cover = (np.cumsum(edge[:, :-1], axis=1) > 0).astype(np.float32)
+                common = cover @ cover.T
+                i, j = np.triu_indices(len(present))
+                wanted = present[i] * len(words) + present[j]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                known = keys[at] == wanted
+                np.add.at(totals, at[known], common[i, j][known].astype(np.int64))
+        some = np.flatnonzero(totals)
+        a, b = keys[some] // len(words), keys[some] % len(words)
+        yield pd.DataFrame({"word_a": [words[x] for x in a], "word_b": [words[x] for x in b], "n": totals[some]})
 
     partial = pruned.mapInPandas(count, "word_a string, word_b string, n bigint")
     return partial.groupBy("word_a", "word_b").agg(F.sum("n").alias("n"))
 
 
-def _count_by_windows(tokens: DataFrame, topics: DataFrame, window: int) -> DataFrame:
-    """The same counts by exploding windows, for topic tables of any size."""
-    sized = tokens.withColumn("_doc", F.col("_id")).withColumn("_len", F.size("_tokens"))
-    at = sized.select("_doc", "_len", F.posexplode("_tokens").alias("_p", "word"))
-    at = at.join(topics.select("word").distinct(), "word", "left_semi")
-    last = F.greatest(F.col("_len") - window, F.lit(0))
-    starts = F.sequence(F.greatest(F.col("_p") - (window - 1), F.lit(0)), F.least("_p", last))
-    seen = at.select("_doc", "word", F.explode(starts).alias("_start")).distinct()
-    in_topic = seen.join(topics.select("word", "cluster_id").distinct(), "word")
-    left = in_topic.withColumnRenamed("word", "word_a")
-    right = in_topic.withColumnRenamed("word", "word_b")
-    pairs = (
-        left.join(right, ["_doc", "_start", "cluster_id"])
-        .where("word_a <= word_b")
-        .select("_doc", "_start", "word_a", "word_b")
-        .distinct()
-    )
-    return pairs.groupBy("word_a", "word_b").agg(F.count("*").alias("n"))
-
-
 def _npmi(joint: Column, pa: Column, pb: Column) -> Column:
     p = joint + EPS
     value = F.log(p / (pa * pb)) / -F.log(p)
@@ -95,17 +89,26 @@ def _npmi(joint: Column, pa: Column, pb: Column) -> Column:
 
 
 def window_counts(
-    docs: DataFrame, id_col: str, tokens: Column, topics: DataFrame, window: int = 110, max_words: int = MAX_WORDS
+    docs: DataFrame, id_col: str, tokens: Column, topics: DataFrame, window: int = 110, block: int = TOPIC_BLOCK
 ) -> tuple[DataFrame, DataFrame]:
-    """Word and pair counts, and the one-row number of windows ``n_windows``."""
+    """Word and pair counts, and the one-row number of windows ``n_windows``.
+
+    Topics, a top-n report with few words each, are taken in blocks of about
+    ``block``; each block's words travel with the tasks of one pass.
+    """
     listed = docs.select(F.col(id_col).alias("_id"), tokens.alias("_tokens"))
     total = listed.agg(
         F.sum(F.greatest(F.size("_tokens") - (window - 1), F.lit(1)).cast("bigint")).alias("n_windows")
     )
-    rows = fetch_bounded(topics.select("cluster_id", "word"), max_words)
-    if rows is None:
-        return _count_by_windows(listed, topics, window), total
-    return _count_in_tasks(listed, rows, window), total
+    known = topics.where(F.col("word").isNotNull()).select("cluster_id", "word")
+    blocks = max(1, -(-known.select("cluster_id").distinct().count() // block))
+    counts = docs.sparkSession.createDataFrame([], "word_a string, word_b string, n bigint")
+    for number in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)) == number).collect()
+        if rows:
+            counts = counts.unionByName(_count_in_tasks(listed, rows, window))
+    # a pair of two blocks has the same count in both
+    return (counts.distinct() if blocks > 1 else counts), total
 
 
 def coherence_by_topic(
@@ -114,11 +117,11 @@ def coherence_by_topic(
     tokens: Column,
     topics: DataFrame,
     window: int = 110,
-    max_words: int = MAX_WORDS,
+    block: int = TOPIC_BLOCK,
 ) -> DataFrame:
     """``cluster_id, coherence``. Words that never occur in the documents are
     left out of their topic, and a topic without any known word is left out."""
-    counts, total = window_counts(docs, id_col, tokens, topics, window, max_words)
+    counts, total = window_counts(docs, id_col, tokens, topics, window, block)
     # one row per word pair of a topic, used several times below
     counts = cut_lineage(counts)
     n = total.scalar()
@@ -149,5 +152,5 @@ def coherence_by_topic(
 def coherence_cv(docs: DataFrame, id_col: str, tokens: Column, topics: DataFrame, **options) -> DataFrame:
     """Mean coherence over topics, one row. An empty topic table is an error."""
     if topics.isEmpty():
-        raise ValueError("Topics are empty.")
+        raise ValueError("there are no topics to measure")
     return coherence_by_topic(docs, id_col, tokens, topics, **options).agg(F.avg("coherence").alias("coherence"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from topicflow.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` with the smallest node id of each component.
 
     Each round takes the smallest label among the neighbours and then follows
-    label pointers once, so chains shrink geometrically. Labels are
-    checkpointed to shared storage per round. Grouping by node is
+    label pointers once, so chains shrink geometrically; rounds go on until no
+    label changes. Labels are checkpointed to shared storage per round, and
+    those of the round before are released. Grouping by node is
     pre-aggregated, and the joins have one row per node on one side, so a hub
     with very many edges is split by AQE instead of landing in one task.
     """
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             "node", F.least("node", "_m").alias("component")
         )
     )
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
             .groupBy(F.col("src").alias("node"))
@@ -44,4 +45,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where("component <> _old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -10,26 +10,45 @@ from pyspark.sql import functions as F
 from topicflow.functions import text as tx
 
 
-def parse_date(col: Column) -> Column:
-    """TIMESTAMP, null when the text is not a date."""
-    return F.try_to_timestamp(col)
+# spellings besides ISO that news dumps use, tried in this order
+DATE_FORMATS = (
+    "yyyy/M/d[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss][ Z]]",
+    "d MMM yyyy H:mm:ss z",
+    "d.M.yyyy[ H:mm[:ss]]",
+    "MMM d, yyyy[ H:mm[:ss]]",
+    "MMMM d, yyyy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+    "yyyyMMdd",
+)
+
+
+def parse_date(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """TIMESTAMP, null when the text is not a date in ISO form or one of ``formats``.
+
+    A leading weekday name is ignored; times without a zone are session time.
+    """
+    text = F.regexp_replace(F.trim(col), r"^\p{L}{3,9}, +(?=\d)", "")
+    # eight digits are a day, not a year
+    iso = F.when(~text.rlike(r"^\d{5,}$"), F.try_to_timestamp(text))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def join_corpora(a: DataFrame, b: DataFrame, min_year: int = 2014) -> DataFrame:
+def join_corpora(a: DataFrame, b: DataFrame, min_year: int = 2014, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Union of the two corpora as ``title, text, topic, date``.
 
     Only the first corpus is limited to years after ``min_year`` (which drops
     its undated rows); the second keeps everything, with a null topic.
     """
     left = (
-        a.withColumn("date", parse_date(F.col("date")))
+        a.withColumn("date", parse_date(F.col("date"), formats))
         .where(F.year("date") > min_year)
         .drop("url", "tags")
     )
     right = (
         b.drop("source", "rubric", "subrubric", "tags")
         .withColumnRenamed("publication_date", "date")
-        .withColumn("date", parse_date(F.col("date")))
+        .withColumn("date", parse_date(F.col("date"), formats))
     )
     return left.unionByName(right, allowMissingColumns=True)
 
@@ -61,7 +80,7 @@ def with_clean_text(df: DataFrame, source: str = "content", out: str = "clean_te
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     for name in columns:
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' not found in dataframe")
+            raise ValueError(f"the table has no column {name!r}")
 
 
 def prepare_frame(df: DataFrame, raw_text_col: str = "text", topic_text_col: str = "lemmatized") -> DataFrame:

@@ -31,6 +31,10 @@ BLOCK_ROWS = 512
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _id_type(df: DataFrame, id_col: str) -> str:
+    return df.schema[id_col].dataType.simpleString()
+
+
 def token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
@@ -74,8 +78,8 @@ def signatures(
                 sigs.append((best >> np.uint64(33)).astype(np.int32))
             yield pd.DataFrame({"id": batch["id"], "sig": sigs})
 
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), token_hashes(tokens).alias("_hashes"))
-    return source.mapInPandas(run, "id bigint, sig array<int>")
+    source = df.select(F.col(id_col).alias("id"), token_hashes(tokens).alias("_hashes"))
+    return source.mapInPandas(run, f"id {_id_type(df, id_col)}, sig array<int>")
 
 
 def _agreeing(threshold: float):
@@ -116,7 +120,8 @@ def near_duplicate_groups(
     n_bands: int = N_BANDS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``id, group``: ``group`` is the smallest id among the connected near copies."""
+    """``id, group``: ``group`` is the smallest id among the connected near copies.
+    Ids may be of any ordered type, such as the text ids of the store."""
     if n_hashes - int(np.ceil(threshold * n_hashes)) >= n_bands:
         raise ValueError("n_bands must exceed the number of positions two near copies may differ in")
     width = n_hashes // n_bands
@@ -132,7 +137,7 @@ def near_duplicate_groups(
     banded = points.select("id", F.explode(bands).alias("_cell"))
     cells = cut_lineage(blocks.cell_blocks(banded, block_rows).where("_rows > 1"))
     link = _agreeing(threshold)
-    schema = "src bigint, dst bigint"
+    schema = "src {0}, dst {0}".format(_id_type(df, id_col))
 
     usual = cells.where("_blocks = 1")
     placed = blocks.with_blocks(banded, usual, "id").join(points, "id")

@@ -37,6 +37,10 @@ def grid_cell(vec: Column, eps: float, dims: int) -> Column:
     return F.array(*parts)
 
 
+def _id_type(points: DataFrame) -> str:
+    return points.schema["id"].dataType.simpleString()
+
+
 def distinct_points(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``id, vec, weight``: one row per distinct vector, under its smallest id."""
     return (
@@ -63,7 +67,7 @@ def _with_rings(points: DataFrame, eps: float, min_samples: int, dims: int, bloc
     grid = points.withColumn("_cell", grid_cell(F.col("vec"), eps, dims))
     crowded = cut_lineage(blocks.cell_blocks(grid, block_rows).where("_blocks > 1"))
     if crowded.isEmpty():
-        inner = points.select("id", F.lit(None).cast("bigint").alias("anchor")).limit(0)
+        inner = points.select("id", F.lit(None).cast(points.schema["id"].dataType).alias("anchor")).limit(0)
     else:
         members = blocks.with_anchor(blocks.with_blocks(grid, crowded, "id"), crowded, "vec")
         close = members.where(_distance("vec", "_anchor.vec") <= eps / 2).select(
@@ -91,7 +95,7 @@ def _reach(eps: float):
             {
                 "src": left["id"].to_numpy()[hit],
                 "dst": right["id"].to_numpy()[to],
-                "other": right["anchor"].to_numpy()[to].astype(np.int64),
+                "other": right["anchor"].to_numpy()[to].astype(right["id"].dtype),
             }
         )
 
@@ -116,7 +120,7 @@ def _dense_edges(placed: DataFrame, cells: DataFrame, pairs: DataFrame, eps: flo
             inner,
             blocks.block_pairs(anchor_cells, cells, offsets),
             _reach(eps),
-            "src bigint, dst bigint, other bigint",
+            "src {0}, dst {0}, other {0}".format(_id_type(placed)),
             block_rows,
         )
     )
@@ -132,7 +136,7 @@ def _dense_edges(placed: DataFrame, cells: DataFrame, pairs: DataFrame, eps: flo
         .join(linked, ["_a", "_b"], "left_anti")
         .select(*pairs.columns)
     )
-    rest = blocks.map_block_pairs(inner, inner, open_pairs, _edges_within(eps), "src bigint, dst bigint", block_rows)
+    rest = blocks.map_block_pairs(inner, inner, open_pairs, _edges_within(eps), "src {0}, dst {0}".format(_id_type(placed)), block_rows)
     return star.unionByName(reached.select("src", "dst")).unionByName(rest)
 
 
@@ -170,11 +174,13 @@ def density_clusters(
     min_tokens: int | None = None,
     tokens_col: str | None = None,
 ) -> DataFrame:
-    """``id, cluster, is_core``. A cluster is named by its smallest point id.
+    """``id, cluster, is_core``. A cluster is named by its smallest point id, and
+    has the type of the ids; noise is -1 in that type.
 
     With ``min_tokens`` rows whose token array is shorter are noise at once and
     do not take part.
     """
+    noise = F.lit(str(NOISE)).cast(df.schema[id_col].dataType)
     taking_part = df if min_tokens is None else df.where(F.size(tokens_col) >= min_tokens)
     points = cut_lineage(distinct_points(taking_part, id_col, vec_col))
     points = _with_rings(points, eps, min_samples, grid_dims, block_rows)
@@ -183,7 +189,7 @@ def density_clusters(
     pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
     both_inner = _inner("_lcell", grid_dims) & _inner("_rcell", grid_dims)
     counts = blocks.map_block_pairs(
-        placed, placed, pairs.where(~both_inner), _count_within(eps), "id bigint, n bigint", block_rows
+        placed, placed, pairs.where(~both_inner), _count_within(eps), f"id {_id_type(placed)}, n bigint", block_rows
     )
     busy = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
     inner_ids = points.where(_inner("_cell", grid_dims)).select("id")
@@ -193,7 +199,7 @@ def density_clusters(
     placed = blocks.with_blocks(core, cells, "id")
     pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
     edges = blocks.map_block_pairs(
-        placed, placed, pairs.where(~both_inner), _edges_within(eps), "src bigint, dst bigint", block_rows
+        placed, placed, pairs.where(~both_inner), _edges_within(eps), "src {0}, dst {0}".format(_id_type(placed)), block_rows
     )
     if not core.where(_inner("_cell", grid_dims)).isEmpty():
         dense = _dense_edges(placed, cells, pairs.where(both_inner), eps, grid_dims, block_rows)
@@ -204,18 +210,18 @@ def density_clusters(
     )
     large = labelled.groupBy("_comp").agg(F.sum("weight").alias("_size")).where(F.col("_size") >= min_cluster_size)
     clusters = labelled.join(large, "_comp", "left").select(
-        "vec", F.when(F.col("_size").isNotNull(), F.col("_comp")).otherwise(F.lit(NOISE)).alias("cluster")
+        "vec", F.when(F.col("_size").isNotNull(), F.col("_comp")).otherwise(noise).alias("cluster")
     )
     result = taking_part.select(F.col(id_col), F.col(vec_col).alias("vec")).join(clusters, "vec", "left")
     result = result.select(
         id_col,
-        F.coalesce("cluster", F.lit(NOISE).cast("bigint")).alias("cluster"),
+        F.coalesce("cluster", noise).alias("cluster"),
         F.col("cluster").isNotNull().alias("is_core"),
     )
     if min_tokens is None:
         return result
     rest = df.where(F.size(tokens_col) < min_tokens).select(
-        id_col, F.lit(NOISE).cast("bigint").alias("cluster"), F.lit(False).alias("is_core")
+        id_col, noise.alias("cluster"), F.lit(False).alias("is_core")
     )
     return result.unionByName(rest)
 
@@ -250,17 +256,18 @@ def density_assign(
     """
     left = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     placed, cells = _gridded(left, eps, grid_dims, block_rows)
-    targets = core.where(F.col("cluster") != NOISE).groupBy("vec").agg(F.min("cluster").alias("cluster"))
+    kind = core.schema["cluster"].dataType
+    targets = core.where(F.col("cluster") != F.lit(str(NOISE)).cast(kind)).groupBy("vec").agg(F.min("cluster").alias("cluster"))
     targets = targets.withColumn("id", F.xxhash64("vec"))
     goal, goal_cells = _gridded(targets, eps, grid_dims, block_rows)
     pairs = blocks.block_pairs(cells, goal_cells, blocks.all_neighbours(grid_dims))
     found = blocks.map_block_pairs(
-        placed, goal, pairs, _nearest_within(eps), "id bigint, distance double, cluster bigint", block_rows
+        placed, goal, pairs, _nearest_within(eps), f"id {_id_type(left)}, distance double, cluster {kind.simpleString()}", block_rows
     )
     best = found.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("_b"))
     strength = F.least(F.greatest(1 - F.col("_b.distance") / F.lit(float(eps)), F.lit(0.0)), F.lit(1.0))
     return left.join(best, "id", "left").select(
         F.col("id").alias(id_col),
-        F.coalesce("_b.cluster", F.lit(NOISE).cast("bigint")).alias("cluster"),
+        F.coalesce("_b.cluster", F.lit(str(NOISE)).cast(kind)).alias("cluster"),
         F.coalesce(strength, F.lit(0.0)).alias("strength"),
     )

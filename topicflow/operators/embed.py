@@ -78,16 +78,19 @@ def embed(
 
 
 def attach_embeddings(df: DataFrame, embeddings: DataFrame, id_col: str) -> DataFrame:
-    """Join rows with their embeddings by id; both sides must match exactly."""
-    rows = df.select(id_col, F.lit(1).alias("_row"))
-    vectors = embeddings.select(id_col, F.lit(1).alias("_vec"))
-    lost, extra = (
-        rows.join(vectors, id_col, "full")
-        .agg(F.count_if(F.col("_vec").isNull()), F.count_if(F.col("_row").isNull()))
-        .first()
+    """Join rows with their embeddings by id: every id has one row and one embedding."""
+    one = F.lit(1).cast("bigint")
+    sides = df.select(id_col, one.alias("_row"), F.lit(0).alias("_vec")).unionByName(
+        embeddings.select(id_col, F.lit(0).cast("bigint").alias("_row"), F.lit(1).alias("_vec"))
     )
-    if lost or extra:
-        raise ValueError(f"rows without embedding: {lost}, embeddings without row: {extra}")
+    counts = sides.groupBy(id_col).agg(F.sum("_row").alias("_row"), F.sum("_vec").alias("_vec"))
+    lost, extra, repeated = counts.agg(
+        F.count_if(F.col("_vec") == 0),
+        F.count_if(F.col("_row") == 0),
+        F.count_if((F.col("_row") > 1) | (F.col("_vec") > 1) | F.col(id_col).isNull()),
+    ).first()
+    if lost or extra or repeated:
+        raise ValueError(f"rows without embedding: {lost}, embeddings without row: {extra}, repeated or null ids: {repeated}")
     return df.join(embeddings, id_col)
 
 

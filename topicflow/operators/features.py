@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 
 def term_counts(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """``keys, term, tf``: term counts of each document; ``keys[0]`` is its id.
+    """``keys, term, tf``: term counts of each row; ``keys[0]`` is its id.
 
-    The texts are placed by id before they are exploded. That moves each text
-    once instead of every ``(id, term)`` row, and the grouping here and later
-    per-document steps need no further shuffle. ``explode_outer`` keeps Spark
-    from inferring a ``size(...) > 0`` filter that would tokenize a second time.
+    One row is one document, so its terms are counted inside the row: sorted,
+    and the lengths of the runs taken. Nothing is shuffled. ``explode_outer``
+    keeps Spark from inferring a ``size(...) > 0`` filter that would tokenize a
+    second time.
     """
-    placed = df.repartition(keys[0]).select(*keys, F.explode_outer(tokens).alias("term"))
-    return placed.where(F.col("term").isNotNull()).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # each step is used more than once by the next, which keeps Spark from folding them into one another
+    runs = df.select(*keys, F.sort_array(F.array_compact(tokens)).alias("_s"))
+    at = lambda i: F.element_at("_s", i)
+    first = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1)))))
+    runs = runs.select(*keys, "_s", F.when(F.size("_s") > 0, first).alias("_b"))
+    after = lambda j: F.coalesce(F.get("_b", j + 1), F.size("_s") + 1)
+    pairs = F.transform("_b", lambda i, j: F.struct(at(i).alias("term"), (after(j) - i).cast("bigint").alias("tf")))
+    return runs.select(*keys, F.explode_outer(pairs).alias("_p")).where(F.col("_p").isNotNull()).select(*keys, "_p.*")
 
 
 def document_frequency(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -46,8 +52,8 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
 def tfidf_long(counts: DataFrame, vocab: DataFrame, n_docs: Column, id_col: str) -> DataFrame:
     """``id, term, tfidf`` with L2-normed rows.
 
-    ``vocab`` has at most ``max_features`` rows, so it is broadcast. The counts
-    are placed by document once for the norm.
+    ``vocab`` has at most ``max_features`` rows, so it is broadcast. For the norm
+    the weights of vocabulary terms, not the texts, are shuffled by document.
     """
     idf = vocab.select("term", smooth_idf(n_docs, F.col("df")).alias("_idf"))
     weighted = counts.join(F.broadcast(idf), "term").withColumn("_w", F.col("tf") * F.col("_idf"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicflow.functions import ids
+from topicflow.session import stored_table
 
 INVALID_JSON = "invalid_json"
 NOT_OBJECT = "not_an_object"
@@ -21,10 +22,13 @@ _OPTIONS = {"allowSingleQuotes": "false"}
 def normalize_articles(articles: DataFrame) -> DataFrame:
     """API articles as messages; articles without content and description are skipped.
 
-    Empty strings count as missing where the next candidate takes over.
+    Empty strings count as missing where the next candidate takes over. The
+    ``payload`` is the article as it came (a variant with all its fields); from
+    articles without one it is made of their columns.
     """
     text = F.coalesce(ids.blank_to_null(F.col("content")), ids.blank_to_null(F.col("description")))
-    raw = F.to_json(F.struct(*[F.col(c) for c in articles.columns]))
+    whole = F.to_variant_object(F.struct(*[F.col(c) for c in articles.columns]))
+    raw = F.col("payload") if "payload" in articles.columns else whole
     return articles.withColumns(
         {
             "_text": text,
@@ -43,8 +47,8 @@ def normalize_articles(articles: DataFrame) -> DataFrame:
 
 
 def encode_messages(messages: DataFrame) -> DataFrame:
-    """``value``: the row as UTF-8 JSON, non-ASCII characters kept."""
-    return messages.select(F.to_json(F.struct("*")).cast("binary").alias("value"))
+    """``value``: the row as UTF-8 JSON, non-ASCII characters and null fields kept."""
+    return messages.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).cast("binary").alias("value"))
 
 
 def _truthy_text(field: Column) -> Column:
@@ -146,17 +150,14 @@ def first_per_id(valid: DataFrame) -> DataFrame:
     return valid.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def known_ids(ids_df: DataFrame, stored: DataFrame, key: str = "external_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+def known_ids(ids_df: DataFrame, stored: DataFrame, key: str = "external_id") -> DataFrame:
     """The rows of ``stored`` whose key occurs in ``ids_df``.
 
-    A micro-batch is small and the store is not: after its ids are counted they
-    are broadcast, so the store is filtered where it is read. A batch above
-    ``broadcast_rows`` is matched by shuffle.
+    A micro-batch is small and the store is not. The batch's ids are written
+    once, so Spark knows their size: below its broadcast threshold the store is
+    filtered where it is read, above it both are shuffled.
     """
-    wanted = ids_df.select(key).distinct()
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    return stored.join(wanted, key, "left_semi")
+    return stored.join(stored_table(ids_df.select(key).distinct(), "batch-ids"), key, "left_semi")
 
 
 def new_news(valid: DataFrame, stored: DataFrame) -> DataFrame:

@@ -6,46 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicflow.functions import text as tx
-from topicflow.session import size_checked
+from topicflow.operators.corpus import require_columns
+from topicflow.session import stored_table
 
-# rows of (token, lemma) up to which the dictionary is sent to every executor
-BROADCAST_ROWS = 500_000
 
+def lemmatize(df: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, out: str = "lemmatized") -> DataFrame:
+    """``df`` plus ``out``: every whitespace token replaced by its lemma; unknown tokens stay.
 
-def lemmatize(
-    df: DataFrame,
-    dictionary: DataFrame,
-    id_col: str,
-    text_col: str,
-    out: str = "lemmatized",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``id, out``: every whitespace token replaced by its lemma; unknown tokens stay.
-
-    Rows are placed by id first, so with a broadcast dictionary the tokens are
-    joined and put together again without another shuffle. A dictionary above
-    ``broadcast_rows`` is joined by shuffle on the tokens, where AQE splits the
-    partitions of frequent tokens.
+    Only the distinct tokens of each row meet the dictionary. They are joined by
+    token (broadcast if Spark finds the dictionary small enough, else by shuffle,
+    where a frequent token comes once per row and is pre-split by AQE), collected
+    per row, and the text is put together where it stands. Of two lemmas of one
+    token the smaller counts; rows with equal ids share the replacements.
     """
-    entries = dictionary.select(F.col("token").alias("_token"), F.col("lemma").alias("_lemma"))
-    entries = size_checked(entries, broadcast_rows)
-    placed = df.select(id_col, text_col).repartition(id_col)
-    # the outer form keeps rows without any token
-    tokens = placed.select(id_col, F.posexplode_outer(tx.space_tokens(F.col(text_col))).alias("_pos", "_token"))
-    lemma = F.coalesce("_lemma", "_token")
-    return (
-        tokens.join(entries, "_token", "left")
-        .groupBy(id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("_pos", lemma.alias("_w")))).alias("_ws"))
-        .select(id_col, F.array_join(F.col("_ws._w"), " ").alias(out))
-    )
+    entries = dictionary.where("token <> lemma").groupBy(F.col("token").alias("_token")).agg(F.min("lemma").alias("_lemma"))
+    entries = stored_table(entries, "lemmas")
+    tokens = F.array_distinct(tx.space_tokens(F.col(text_col)))
+    found = df.select(F.col(id_col).alias("_id"), F.explode_outer(tokens).alias("_token")).join(entries, "_token")
+    lemmas = found.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_token", "_lemma"))).alias("_lemmas"))
+    joined = df.join(lemmas, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    replaced = F.transform(tx.space_tokens(F.col(text_col)), lambda t: F.coalesce(F.get(F.array(F.col("_lemmas")[t]), 0), t))
+    return joined.withColumn(out, F.array_join(replaced, " ")).drop("_id", "_lemmas")
 
 
 def lemmatize_corpus(
     df: DataFrame, dictionary: DataFrame, id_col: str, target_col: str = "text", out: str = "lemmatized", **options
 ) -> DataFrame:
     """The corpus job: clean ``target_col`` in place, blank nulls, lemmatize."""
-    if target_col not in df.columns:
-        raise ValueError(f"Column '{target_col}' not found")
+    require_columns(df, [target_col])
     cleaned = df.withColumn(target_col, tx.clean_text(F.col(target_col), **options)).na.fill("")
-    return cleaned.join(lemmatize(cleaned, dictionary, id_col, target_col, out), id_col)
+    return lemmatize(cleaned, dictionary, id_col, target_col, out)

@@ -48,17 +48,18 @@ def star_edges(ids_a: np.ndarray, ids_b: np.ndarray, linked: np.ndarray) -> pd.D
     smallest id: at most one edge per row instead of one per linked pair.
 
     ``linked[i, j]`` says that ``ids_a[i]`` and ``ids_b[j]`` are neighbours. The
-    blocks may be the same block.
+    blocks may be the same block. Ids may be of any ordered type.
     """
-    none = np.iinfo(np.int64).max
-    la, lb = ids_a.astype(np.int64), ids_b.astype(np.int64)
+    src = np.concatenate([ids_a, ids_b])
+    values, codes = np.unique(src, return_inverse=True)
+    none = len(values)
+    la, lb = codes[: len(ids_a)], codes[len(ids_a) :]
     while True:
         na = np.minimum(la, np.where(linked, lb[None, :], none).min(axis=1, initial=none))
         nb = np.minimum(lb, np.where(linked, na[:, None], none).min(axis=0, initial=none))
         if np.array_equal(na, la) and np.array_equal(nb, lb):
             break
         la, lb = na, nb
-    src = np.concatenate([ids_a, ids_b])
-    dst = np.concatenate([la, lb])
+    dst = values[np.concatenate([la, lb])]
     edges = pd.DataFrame({"src": src, "dst": dst})
     return edges[edges["src"] != edges["dst"]].drop_duplicates()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicflow.operators import blocks, matrices
 from topicflow.operators.cluster import mean_vectors
-from topicflow.session import cut_lineage, fetch_bounded
+from topicflow.session import cut_lineage
 
 NOISE = -1
 
@@ -115,52 +115,43 @@ def _squared_to_clusters(left: pd.DataFrame, right: pd.DataFrame, same: bool = F
     return out.assign(_a=np.where(size > 1, a, np.nan), _b=np.where(np.isinf(b), np.nan, b))
 
 
-def silhouette_sq_samples(
-    df: DataFrame, id_col: str, vec_col: str, cluster: str, max_clusters: int = 4096
-) -> DataFrame:
+def silhouette_sq_samples(df: DataFrame, id_col: str, vec_col: str, cluster: str, block: int = 4096) -> DataFrame:
     """Silhouette on squared distances, ``id, cluster, silhouette``.
 
     The mean squared distance to a cluster follows from its mean and mean
     squared norm, so every row meets the cluster statistics once and no other
-    row. Up to ``max_clusters`` statistics travel with the task; more of them
-    are matched with the rows in blocks.
+    row. The statistics travel with the tasks in blocks of about ``block``, one
+    narrow pass over the rows for each; a row keeps its own and its nearest
+    other cluster's value.
     """
-    points = _without_noise(df, cluster).select(
+    points = _without_noise(df, cluster).where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(cluster).cast("bigint").alias("cluster")
     )
     norm2 = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
     squares = points.groupBy("cluster").agg(F.avg(norm2).alias("sq"))
-    stats = mean_vectors(points, "cluster", "vec").join(squares, "cluster")
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, own bigint, _size bigint, _a double, _b double"
-    rows = fetch_bounded(stats.select("cluster", "n", "centre", "sq"), max_clusters)
-    if rows is not None:
+    stats = cut_lineage(mean_vectors(points, "cluster", "vec").join(squares, "cluster").select("cluster", "n", "centre", "sq"))
+    blocks_n = max(1, -(-stats.count() // block))
+    none = F.lit(None).cast("double")
+    out = points.select("*", F.lit(0).cast("bigint").alias("_size"), none.alias("_a"), none.alias("_b"))
+    for number in range(blocks_n):
+        rows = stats.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks_n)) == number).collect()
         table = pd.DataFrame([r.asDict() for r in rows], columns=["cluster", "n", "centre", "sq"])
+        if not len(table):
+            continue
 
-        def score(batches):
+        def score(batches, table=table):
             for batch in batches:
-                if len(batch):
-                    yield _squared_to_clusters(batch, table)
-
-        parts = points.mapInPandas(score, schema)
-    else:
-        left = points.withColumn("_cell", blocks.constant_cell())
-        right = stats.withColumn("_cell", blocks.constant_cell())
-        lcells, rcells = blocks.cell_blocks(left), blocks.cell_blocks(right)
-        parts = blocks.map_block_pairs(
-            blocks.with_blocks(left, lcells, "id"),
-            blocks.with_blocks(right, rcells, "cluster"),
-            blocks.block_pairs(lcells, rcells),
-            _squared_to_clusters,
-            schema,
-        )
-        parts = parts.groupBy("id", "own").agg(
-            F.max("_size").alias("_size"),
-            F.max(F.nanvl("_a", F.lit(None).cast("double"))).alias("_a"),
-            F.min(F.nanvl("_b", F.lit(None).cast("double"))).alias("_b"),
-        )
-    clean = {c: F.nanvl(c, F.lit(None).cast("double")) for c in ("_a", "_b")}
-    return _scored(parts.withColumns(clean))
+                if not len(batch):
+                    continue
+                found = _squared_to_clusters(batch, table)
+                size = np.maximum(batch["_size"].to_numpy(), found["_size"].to_numpy())
+                a = np.fmax(batch["_a"].to_numpy(float), found["_a"].to_numpy(float))
+                b = np.fmin(batch["_b"].to_numpy(float), found["_b"].to_numpy(float))
+                yield batch.assign(_size=size, _a=a, _b=b)
+
+        out = out.mapInPandas(score, out.schema)
+    clean = {c: F.nanvl(c, none) for c in ("_a", "_b")}
+    return _scored(out.select("id", F.col("cluster").alias("own"), "_size", "_a", "_b").withColumns(clean))
 
 
 def mean_silhouette(samples: DataFrame) -> DataFrame:

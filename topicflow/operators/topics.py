@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicflow.operators.features import document_frequency, smooth_idf, term_counts
-from topicflow.session import size_checked
+from topicflow.session import stored_table
 
 NOISE = -1
-# rows of (cluster, term, idf) up to which they are sent to every executor
-BROADCAST_ROWS = 1_000_000
 
 
 def rank_words(scores: DataFrame, top_n: int) -> DataFrame:
@@ -58,14 +56,12 @@ def top_words_per_cluster(
     top_n: int = 15,
     min_df: int = 3,
     max_df: float = 0.8,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Top words by mean TF-IDF, with the TF-IDF fitted inside each cluster.
 
     All clusters are handled by one plan: the cluster is part of every grouping
-    key. Noise and clusters below two documents give no words. Counts are placed
-    by document; if the vocabulary proves small it is broadcast and they stay
-    there, otherwise they are joined with it by shuffle.
+    key. Noise and clusters below two documents give no words. The vocabulary is
+    written once, so that Spark broadcasts it if it is small enough.
     """
     docs = df.where(F.col(cluster).isNotNull() & (F.col(cluster) != F.lit(NOISE).cast(df.schema[cluster].dataType)))
     docs = docs.select(id_col, F.col(cluster).alias("cluster_id"), tokens.alias("_tokens")).where(
@@ -79,7 +75,7 @@ def top_words_per_cluster(
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         .select("cluster_id", "term", "n", smooth_idf(F.col("n"), F.col("df")).alias("_idf"))
     )
-    weighted = counts.join(size_checked(idf, broadcast_rows), ["cluster_id", "term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
+    weighted = counts.join(stored_table(idf, "cluster-idf"), ["cluster_id", "term"]).withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     scores = (
         weighted.withColumn("_x", F.col("_w") / norm)

@@ -285,8 +285,8 @@ ORACLE: dict[str, str] = {
         b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 6))::BIGINT % 256)::INT AS pos, count(*) AS n FROM toks GROUP BY 1, 2)
         SELECT doc_id, pos, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS x FROM b""",
     "l2_normalize": f"""
-        WITH {_HIDDEN}, s AS (SELECT vec_id, i, x FROM h WHERE i < 8)
-        SELECT vec_id, i::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM s""",
+        WITH {_HIDDEN}
+        SELECT vec_id, i::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM h""",
     "mean_pooling": f"""
         WITH {_HIDDEN}
         SELECT vec_id, (i % 8)::INT AS pos,
@@ -324,7 +324,7 @@ ORACLE: dict[str, str] = {
         SELECT * FROM (SELECT label AS cluster, (row_number() OVER (PARTITION BY label
             ORDER BY sha256('42|' || vec_id), vec_id))::INT AS pick, vec_id FROM embeddings) WHERE pick <= 20""",
     "silhouette": f"""
-        WITH {_silhouette("WHERE label < 8")} SELECT round(avg(silhouette), 6) AS silhouette FROM sil""",
+        WITH {_silhouette("WHERE label <> 9")} SELECT round(avg(silhouette), 6) AS silhouette FROM sil""",
     "silhouette_samples": f"""
         WITH {_silhouette()} SELECT vec_id, cluster, round(silhouette, 6) AS silhouette FROM sil""",
     "silhouette_sq": f"""
@@ -370,7 +370,12 @@ ORACLE: dict[str, str] = {
         SELECT ext AS external_id, sha256(text) AS digest FROM (
             SELECT *, row_number() OVER (PARTITION BY ext ORDER BY partition, "offset") AS rn FROM parsed WHERE reason IS NULL)
         WHERE rn = 1""",
-    "stream_publish": f"WITH {_ARTICLES} SELECT external_id, source FROM articles",
+    "stream_publish": f"""
+        WITH {_ARTICLES}
+        SELECT external_id, a.title, a.source, a.published_at, a.url, sha256(a.text) AS digest,
+            'external_id,payload,published_at,source,text,title,url' AS keys, a.page_id,
+            CASE WHEN length(html) > 800 THEN p.url END AS description, 'fr' AS lang, a.title AS tag
+        FROM articles a JOIN pages p USING (page_id)""",
     "stream_scoring": f"""
         WITH {_REPORTS}
         SELECT vec_id::VARCHAR AS news_id, CASE WHEN label = 5 THEN 'failed' ELSE 'processed' END AS status,

@@ -32,7 +32,7 @@ from topicflow.operators import (
     topics,
 )
 from topicflow.plans import train
-from topicflow.session import cut_lineage, scratch_path, spread
+from topicflow.session import cut_lineage, scratch_path, stored_table
 
 # English words the cleaning queries treat as stopwords: the test corpus is not Russian
 STOPWORDS = ["the", "and", "that", "with", "for", "from"]
@@ -47,13 +47,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
-# text tables, whose rows are costly to process, and their ids
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def words(col: str = "text", min_len: int = 2):
@@ -116,7 +111,7 @@ def lemma_dictionary(docs: DataFrame) -> DataFrame:
 @query
 def lemmatize(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    return lemmas.lemmatize(docs, lemma_dictionary(docs), "doc_id", "text")
+    return lemmas.lemmatize(docs, lemma_dictionary(docs), "doc_id", "text").select("doc_id", "lemmatized")
 
 
 @query
@@ -238,7 +233,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 def normalize_articles(spark, sf):
     out = ingest.normalize_articles(articles(spark, sf))
     return out.select(
-        F.get_json_object("payload", "$.page_id").cast("bigint").alias("page_id"),
+        F.variant_get("payload", "$.page_id", "bigint").alias("page_id"),
         "external_id", "title", "source", "published_at", F.sha2("text", 256).alias("digest"), "url",
     )
 
@@ -262,7 +257,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.to_json(full))
     )
     texts = docs.select(value.cast("binary").alias("value"), F.lit(0).alias("partition"), F.col("doc_id").alias("offset"))
-    events = spread(table(spark, sf, "events"), "event_id").select(
+    events = table(spark, sf, "events").select(
         F.col("props").cast("binary").alias("value"), F.lit(1).alias("partition"), F.col("event_id").alias("offset")
     )
     return texts.unionByName(events)
@@ -465,9 +460,9 @@ def embed_hashed(spark, sf):
 
 @query
 def l2_normalize(spark, sf):
-    parts = table(spark, sf, "embeddings").withColumn("v", F.slice("embedding", 1, 8))
-    normed = parts.withColumn("norm", vectors.l2_norm(F.col("v")))
-    normed = normed.select("vec_id", F.posexplode(vectors.l2_normalize(F.col("v"), F.col("norm"))).alias("pos", "x"))
+    rows = table(spark, sf, "embeddings")
+    normed = rows.withColumn("norm", vectors.l2_norm(F.col("embedding")))
+    normed = normed.select("vec_id", F.posexplode(vectors.l2_normalize(F.col("embedding"), F.col("norm"))).alias("pos", "x"))
     return normed.select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
@@ -565,7 +560,8 @@ def review_sample(spark, sf):
 
 @query
 def silhouette(spark, sf):
-    rows = noisy_labels(spark, sf).where("cluster is not null")
+    """Label 9 stands for noise, which the measure leaves out."""
+    rows = table(spark, sf, "embeddings").withColumn("cluster", F.when(F.col("label") == 9, -1).otherwise(F.col("label")))
     samples = metrics.silhouette_samples(rows, "vec_id", "embedding", "cluster")
     return metrics.mean_silhouette(samples).select(F.round("silhouette", 6).alias("silhouette"))
 
@@ -715,15 +711,26 @@ def stream_publish(spark, sf):
     from topicflow.streaming import jobs
 
     root = scratch_path(spark, "publish")
-    bodies = articles(spark, sf).select(F.array(F.struct(*[c for c in articles(spark, sf).columns if c != "page_id"])).alias("results"))
+    # fields that messages don't use, one of them nested, must come through as well
+    extra = F.struct(F.lit("fr").alias("lang"), F.array("source", "title").alias("tags")).alias("extra")
+    bodies = articles(spark, sf).select(F.array(F.struct("*", extra)).alias("results"))
     # one JSON document per line, as a fetcher lands them
     bodies.write.json(f"{root}/landing")
     landed = api_responses(spark, f"{root}/landing", multi_line=False)
     out = f"{root}/messages"
     jobs.publish_stream(landed, lambda df, i: write_batch(df, out, i), f"{root}/checkpoint", None).awaitTermination()
-    value = F.col("value").cast("string")
+    value = F.parse_json(F.col("value").cast("string"))
+    at = lambda path, name, kind="string": F.variant_get(value, path, kind).alias(name)
+    top = ("external_id", "title", "source", "published_at", "url")
+    keys = F.array_join(F.array_sort(F.json_object_keys(F.col("value").cast("string"))), ",")
     return spark.read.parquet(out).select(
-        F.get_json_object(value, "$.external_id").alias("external_id"), F.get_json_object(value, "$.source").alias("source")
+        *[at(f"$.{name}", name) for name in top],
+        F.sha2(F.variant_get(value, "$.text", "string"), 256).alias("digest"),
+        keys.alias("keys"),
+        at("$.payload.page_id", "page_id", "bigint"),
+        at("$.payload.description", "description"),
+        at("$.payload.extra.lang", "lang"),
+        at("$.payload.extra.tags[1]", "tag"),
     )
 
 

@@ -8,11 +8,9 @@ CORPUS_B = (
 )
 CORPUS = "doc_id BIGINT, title STRING, text STRING, topic STRING, date TIMESTAMP"
 
-# A landed response of the news API
-API_RESPONSE = (
-    "results ARRAY<STRUCT<content: STRING, description: STRING, title: STRING, "
-    "pubDate: STRING, source_id: STRING, source: STRING, link: STRING>>"
-)
+# A landed response of the news API: articles keep whatever fields they have
+API_RESPONSE = "results ARRAY<VARIANT>"
+ARTICLE_FIELDS = ("content", "description", "title", "pubDate", "source_id", "source", "link")
 
 MESSAGES = "value BINARY, partition INT, offset BIGINT"
 REJECTED = "partition INT, offset BIGINT, value BINARY, reason STRING"
@@ -29,7 +27,8 @@ CLUSTERING_REPORTS = (
     "id STRING, news_id STRING, cluster_id INT, cluster_label STRING, "
     "top_words_snapshot ARRAY<STRING>, score DOUBLE, created_at TIMESTAMP"
 )
-BATCH_LOG = "processed BIGINT, unknown BIGINT"
+BATCH_LOG = "size BIGINT, processed BIGINT, unknown BIGINT, seconds DOUBLE"
+PUBLISH_LOG = "fetched BIGINT, published BIGINT"
 INGEST_LOG = "outcome STRING, n BIGINT"
 
 EMBEDDINGS = "doc_id BIGINT, embedding ARRAY<FLOAT>"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+_SCRATCH: list[str] = []
+
 
 def build_session(app: str = "topicflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE with skew join)."""
@@ -15,6 +18,7 @@ def build_session(app: str = "topicflow", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -27,18 +31,18 @@ def build_session(app: str = "topicflow", master: str | None = None, **conf: str
 def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder; on a cluster that would lose data with a host.
+    It is the cluster's ``spark.checkpoint.dir``, or the folder given to
+    ``setCheckpointDir``. Only a session inside one JVM without either gets a
+    temporary folder; on a cluster that would lose data with a host.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = getattr(spark, "_topicflow_root", None)
+    root = sc.getConf().get("spark.checkpoint.dir") or getattr(spark, "_topicflow_root", None)
+    root = root or sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="topicflow-")
-        spark._topicflow_root = root
+    spark._topicflow_root = root
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,7 +50,22 @@ def work_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{work_root(spark)}/topicflow/{name}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/topicflow/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this process made; returns how many there were.
+
+    For use between jobs, when no result that reads them is still needed.
+    """
+    paths, hadoop = list(_SCRATCH), spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+        _SCRATCH.remove(path)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,26 +74,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A table scan with at least enough partitions for every core.
-
-    Only a small table in few row groups is moved; one with more input splits
-    than twice the cores is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores, key)
-
-
 def fetch_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """At most ``limit`` rows on the driver, or None when there are more."""
     rows = df.take(limit + 1)
     return rows if len(rows) <= limit else None
 
 
-def size_checked(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` written once to shared storage, with a broadcast hint only if it
-    turned out to have at most ``max_rows`` rows."""
-    from pyspark.sql import functions as F
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet and read back.
 
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    Spark knows the size of such a table, so it broadcasts it in a join only
+    below ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -44,8 +44,10 @@ def api_responses(
     spark: SparkSession, path: str, files_per_trigger: int | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Articles of landed API responses, one per file or (without ``multi_line``)
-    one per line. A response without results, or one that is not JSON, gives no rows."""
+    one per line: the fields that messages are made of, and the whole article as
+    ``payload``. A response without results, or one that is not JSON, gives no rows."""
     reader = spark.readStream.schema(schemas.API_RESPONSE).option("multiLine", multi_line)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path).select(F.explode("results").alias("_a")).select("_a.*")
+    fields = [F.try_variant_get("payload", f"$.{name}", "string").alias(name) for name in schemas.ARTICLE_FIELDS]
+    return reader.json(path).select(F.explode("results").alias("payload")).select(*fields, "payload")

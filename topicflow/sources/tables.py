@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicflow.session import stored_table
+
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path`` with its fixed schema, empty when nothing was
@@ -20,14 +22,34 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one micro-batch as its own partition. Replaying the batch replaces
-    the partition, so its rows are never doubled."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    the partition, also by an empty one, so its rows are never doubled or left."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+
+
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what an earlier attempt of the batch has written."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={int(batch_id)}")
+    hpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hpath, True)
+
+
+def compact_batches(spark: SparkSession, path: str, schema: str, up_to: int, files: int = 1) -> int:
+    """Merge the partitions of batches below ``up_to`` into the one before it.
+
+    Returns the number of merged partitions. ``up_to`` must not be above the
+    oldest batch that may still be replayed, and the table's rows must not
+    carry meaning in their batch number. Streams that read the table by file see
+    the merged rows again; ``score_batch`` skips news it has handled.
+    """
+    table = read_table(spark, path, schema)
+    old = [r["batch_id"] for r in table.where(F.col("batch_id") < up_to).select("batch_id").distinct().collect()]
+    if len(old) < 2:
+        return 0
+    merged = stored_table(table.where(F.col("batch_id") < up_to).drop("batch_id"), "compaction")
+    # the last of the old partitions takes all rows; only then do the others go
+    write_batch(merged.coalesce(files), path, max(old))
+    for batch_id in sorted(old)[:-1]:
+        drop_batch(spark, path, batch_id)
+    return len(old)
 
 
 def append_reports(reports: DataFrame, path: str) -> None:

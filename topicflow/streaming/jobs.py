@@ -8,6 +8,7 @@ same rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -18,9 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicflow import schemas
 from topicflow.operators import assign, ingest, store
-from topicflow.sources.tables import read_table, write_batch
+from topicflow.session import fetch_bounded, stored_table
+from topicflow.sources.tables import drop_batch, read_table, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
+HELD_TOPICS = 100_000
 
 
 @dataclass(frozen=True)
@@ -43,12 +46,21 @@ def _start(df: DataFrame, fn, checkpoint: str, interval: str | None) -> Streamin
 
 
 def publish_stream(
-    articles: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "30 seconds"
+    articles: DataFrame,
+    publish: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    interval: str | None = "30 seconds",
+    tables: Tables | None = None,
 ) -> StreamingQuery:
-    """Landed articles → messages → ``publish(messages, batch_id)``."""
+    """Landed articles → messages → ``publish(messages, batch_id)``. With ``tables``
+    the numbers of fetched and published articles go to ``publish_log``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        publish(ingest.encode_messages(ingest.normalize_articles(batch)), batch_id)
+        messages = ingest.encode_messages(ingest.normalize_articles(batch))
+        publish(messages, batch_id)
+        if tables is not None:
+            counts = batch.agg(F.count("*").alias("fetched"), messages.agg(F.count("*")).scalar().alias("published"))
+            write_batch(counts, tables.publish_log, batch_id)
 
     return _start(articles, run, checkpoint, interval)
 
@@ -61,7 +73,7 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
         stored = read_table(spark, tables.incoming_news, schemas.INCOMING_NEWS)
         valid, rejected = ingest.split_valid(parsed)
         earlier = stored.where(F.col("batch_id") != batch_id).select("external_id")
-        earlier = ingest.known_ids(valid, earlier)
+        earlier = ingest.known_ids(valid, earlier).persist()
         now = F.lit(datetime.now(timezone.utc))
         fresh = ingest.to_incoming_news(ingest.new_news(valid, earlier), now)
         write_batch(rejected, tables.rejected_messages, batch_id)
@@ -70,6 +82,7 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
         write_batch(store.status_entries(fresh.select("id"), schemas.NEW, now), tables.status_new, batch_id)
         write_batch(fresh, tables.incoming_news, batch_id)
         fresh.unpersist()
+        earlier.unpersist()
     finally:
         parsed.unpersist()
 
@@ -92,11 +105,15 @@ def news_source(spark: SparkSession, tables: Tables, files_per_trigger: int | No
 
 
 def _load_metadata(spark: SparkSession, path: str, last_good: dict) -> DataFrame:
-    """The current metadata snapshot; the previous one if it cannot be read."""
+    """The current metadata snapshot; the previous one if it cannot be read.
+
+    The rows themselves are kept, one per topic, so the copy outlives the file;
+    more than ``HELD_TOPICS`` of them are kept in the shared folder instead.
+    """
     try:
         snapshot = spark.read.schema(schemas.TOPIC_METADATA).parquet(path)
-        snapshot.limit(1).count()
-        last_good["df"] = snapshot
+        rows = fetch_bounded(snapshot, HELD_TOPICS)
+        last_good["df"] = stored_table(snapshot, "metadata") if rows is None else spark.createDataFrame(rows, schemas.TOPIC_METADATA)
     except Exception:
         if "df" not in last_good:
             raise
@@ -127,6 +144,7 @@ def score_batch(
     any later error with a fixed one.
     """
     spark = news.sparkSession
+    started = time.monotonic()
     now = F.lit(datetime.now(timezone.utc))
     rows = news.dropDuplicates(["id"])
     log = read_status(spark, tables).where(F.col("batch_id").isNull() | (F.col("batch_id") != batch_id))
@@ -149,11 +167,24 @@ def score_batch(
                 reports = store.clustering_reports(assign.assign_topics(scored, metadata, threshold), "id", now)
                 write_batch(reports, tables.clustering_reports, batch_id)
                 summary = reports.agg(
-                    F.count("*").alias("processed"), F.count_if(F.col("cluster_id").isNull()).alias("unknown")
+                    claimed.agg(F.count("*")).scalar().alias("size"),
+                    F.count("*").alias("processed"),
+                    F.count_if(F.col("cluster_id").isNull()).alias("unknown"),
+                    F.lit(time.monotonic() - started).alias("seconds"),
                 )
                 write_batch(summary, tables.batch_log, batch_id)
             except Exception:
                 failure = "unexpected error during batch processing"
+        if failure is not None:
+            # an earlier attempt of this batch may have got further
+            drop_batch(spark, tables.clustering_reports, batch_id)
+            lost = claimed.agg(
+                F.count("*").alias("size"),
+                F.lit(0).cast("bigint").alias("processed"),
+                F.lit(0).cast("bigint").alias("unknown"),
+                F.lit(time.monotonic() - started).alias("seconds"),
+            )
+            write_batch(lost, tables.batch_log, batch_id)
         outcome = schemas.PROCESSED if failure is None else schemas.FAILED
         entries = claim.unionByName(
             store.status_entries(empty, schemas.FAILED, now, F.lit(f"{text_col} is null"))
