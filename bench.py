@@ -40,12 +40,39 @@ HEADLINE = [
     "silhouette",
     "silhouette_sq",
     "density_clusters",
+    "density_reduced",
     "kmeans_embeddings",
     "topic_dynamics",
     "topic_spikes",
 ]
 
 
+def micro_batch(spark, rows: int = 32) -> float:
+    """Seconds to claim, score, report and mark one micro-batch of ``rows`` news."""
+    from pyspark.sql import functions as F
+
+    from topicflow import schemas
+    from topicflow.operators import store
+    from topicflow.session import scratch_path
+    from topicflow.sources.tables import write_batch
+    from topicflow.streaming import jobs
+
+    tables, stamp = jobs.Tables(scratch_path(spark, "bench")), F.lit("2024-01-01").cast("timestamp")
+    id_text = F.concat(F.lit("n"), "id")
+    news = spark.range(2 * rows).select(id_text.alias("id"), id_text.alias("title"), stamp.alias("created_at"))
+    write_batch(store.status_entries(news.select("id"), schemas.NEW, stamp), tables.status_new, 0)
+    topics = spark.createDataFrame([(i, f"t{i}", ["w"], True, None) for i in range(3)], schemas.TOPIC_METADATA)
+
+    def scorer(batch):
+        return batch.select("id", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int").alias("cluster"), F.lit(0.7).alias("score"))
+
+    number = F.substring("id", 2, 20).cast("int")
+    jobs.score_batch(news.where(number < rows), 0, tables, scorer, 0.5, topics)  # warm-up
+    start = time.time()
+    jobs.score_batch(news.where(number >= rows), 1, tables, scorer, 0.5, topics)
+    return round(time.time() - start, 3)
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -66,12 +93,14 @@ def main() -> None:
                 start = time.time()
                 QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
                 seconds[name] = round(time.time() - start, 3)
+    batch_seconds = micro_batch(spark)
     result = {
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "sf": sf.rstrip("/").rsplit("sf", 1)[-1],
+        "micro_batch_32_seconds": batch_seconds,
     }
     if "assign_topics" in seconds:
         scored = table(spark, sf, "embeddings").count()

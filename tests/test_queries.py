@@ -20,5 +20,12 @@ def test_query(spark, con, name):
     assert difference(spark, con, SF, name) is None
 
 
+def test_every_query_has_a_twin():
+    from topicflow.plans.oracle import ORACLE
+    from topicflow.plans.queries import QUERIES
+
+    assert set(ORACLE) == set(QUERIES)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -44,3 +44,42 @@ def test_embedding_run_and_scoring(spark, corpus, tmp_path):
     stored = artifacts.load_embeddings(spark, f"{path}/embeddings")
     again = train.run_embeddings(corpus, "doc_id", embeddings=stored, k=2, pca_size=5, n_init=2, top_n=4)
     assert again["data"].count() == 60
+
+
+def test_density_run_saves_and_loads(spark, tmp_path):
+    import numpy as np
+
+    from topicflow.operators.density import DensityClusterer
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 4, (3, 12))
+    x = np.concatenate([rng.normal(c, 0.1, (25, 12)) for c in centres] + [rng.normal(0, 40, (5, 12))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id bigint, embedding array<double>")
+    fitted, found = DensityClusterer.fit(df, "doc_id", "embedding", 2.0, 4, 10, pca_size=4)
+    labels = {r["doc_id"]: r["cluster"] for r in found.collect()}
+    assert [labels[i] for i in range(75)] == [0] * 25 + [25] * 25 + [50] * 25 and all(labels[i] == -1 for i in range(75, 80))
+    fitted.save(str(tmp_path / "m"))
+    again = DensityClusterer.load(str(tmp_path / "m"), spark)
+    got = {r["doc_id"]: (r["cluster"], r["strength"]) for r in again.predict(df, "doc_id").collect()}
+    assert {i: c for i, (c, _) in got.items()} == labels and got[0][1] == 1.0
+
+
+def test_density_training_run(spark):
+    words = ["apple pear plum grape", "engine wheel road brake"]
+    rows = [(i, "title", f"{words[i % 2]} {words[i % 2]} item {words[i % 2]}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 2), i * 1e-3, 1.0]) for i in range(40)], "doc_id bigint, embedding array<double>")
+    run = train.run_embeddings(
+        docs, "doc_id", vectors, method="density", eps=0.5, min_samples=3, min_cluster_size=5, pca_size=2, silhouette="squared"
+    )
+    summary = run["metrics"].first()
+    assert (summary["n_clusters_found"], summary["noise_fraction"], summary["method"], summary["eps"]) == (2, 0.0, "density", 0.5)
+    assert summary["silhouette_score"] > 0.9 and summary["use_pca"]
+
+
+def test_seed_stability(spark):
+    rows = [(i, [float(i % 3) * 10, float(i % 7) * 0.01, 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    got = train.seed_stability(df, "doc_id", "embedding", 3, [1, 2, 3], pca_size=2, n_init=3).collect()
+    assert [(r["seed_a"], r["seed_b"]) for r in got] == [(1, 2), (1, 3), (2, 3)]
+    assert all(r["adjusted_rand_index"] > 0.99 for r in got)

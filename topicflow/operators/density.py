@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicflow.operators import blocks, matrices
 from topicflow.operators.components import connected_components
+from topicflow.operators.cluster import fit_reducer, reduce_vectors
 from topicflow.session import cut_lineage
 
 NOISE = -1
@@ -271,3 +273,61 @@ def density_assign(
         F.coalesce("_b.cluster", F.lit(str(NOISE)).cast(kind)).alias("cluster"),
         F.coalesce(strength, F.lit(0.0)).alias("strength"),
     )
+
+
+class DensityClusterer:
+    """Centred PCA (optional) followed by density clustering, kept as its core points.
+
+    The leading PCA axes separate best, so the grid over them prunes most of the
+    comparisons that the raw coordinates would need.
+    """
+
+    def __init__(self, reducer: PipelineModel | None, core: DataFrame, eps: float, vec_col: str = "embedding"):
+        self.reducer, self.core, self.eps, self.vec_col = reducer, core, eps, vec_col
+
+    @classmethod
+    def fit(
+        cls,
+        df: DataFrame,
+        id_col: str,
+        vec_col: str,
+        eps: float,
+        min_samples: int = 5,
+        min_cluster_size: int = 20,
+        pca_size: int | None = 50,
+        **options,
+    ) -> tuple[DensityClusterer, DataFrame]:
+        """The fitted object and ``id, cluster, is_core`` of the rows it was fitted on."""
+        reducer = fit_reducer(df.where(F.col(vec_col).isNotNull()), vec_col, pca_size) if pca_size else None
+        points = cut_lineage(cls._reduced(df.where(F.col(vec_col).isNotNull()), reducer, vec_col).select(id_col, F.col("reduced").alias("vec")))
+        found = cut_lineage(density_clusters(points, id_col, "vec", eps, min_samples, min_cluster_size, **options))
+        noise = F.lit(str(NOISE)).cast(found.schema["cluster"].dataType)
+        core = found.where(F.col("is_core") & (F.col("cluster") != noise)).join(points, id_col).select("vec", "cluster")
+        return cls(reducer, cut_lineage(core.distinct()), eps, vec_col), found
+
+    @staticmethod
+    def _reduced(df: DataFrame, reducer: PipelineModel | None, vec_col: str) -> DataFrame:
+        if reducer is None:
+            return df.withColumn("reduced", F.col(vec_col).cast("array<double>"))
+        return reduce_vectors(df, reducer, vec_col)
+
+    def predict(self, df: DataFrame, id_col: str) -> DataFrame:
+        """``id, cluster, strength`` of rows with a vector."""
+        reduced = self._reduced(df.where(F.col(self.vec_col).isNotNull()), self.reducer, self.vec_col)
+        return density_assign(reduced, self.core, id_col, "reduced", self.eps)
+
+    def save(self, path: str) -> None:
+        if self.reducer is not None:
+            self.reducer.write().overwrite().save(f"{path}/reducer")
+        self.core.withColumn("eps", F.lit(float(self.eps))).withColumn("reduces", F.lit(self.reducer is not None)).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/core")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession, vec_col: str = "embedding") -> DensityClusterer:
+        core = spark.read.parquet(f"{path}/core")
+        first = core.first()
+        if first is None:
+            raise ValueError(f"no core points in {path}")
+        reducer = PipelineModel.load(f"{path}/reducer") if first["reduces"] else None
+        return cls(reducer, core.select("vec", "cluster"), first["eps"], vec_col)

@@ -244,6 +244,15 @@ ORACLE: dict[str, str] = {
         WITH {_GRAMS} SELECT term, df, tf FROM gdf
         WHERE df >= 10 AND df <= 0.5 * (SELECT count(*) FROM documents) ORDER BY tf DESC, term LIMIT 2000""",
     "tfidf": f"WITH {_WEIGHTS} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM weights",
+    "tfidf_test_rows": rf"""
+        WITH s AS (SELECT doc_id, text, lang, ('0x' || substr(sha256('42|' || doc_id), 1, 6))::BIGINT < 3355443 AS test FROM documents),
+        toks AS ({_tokens(2, "s", "test")}),
+        tf AS (SELECT doc_id, cluster_id AS test, term, count(*) AS tf FROM toks GROUP BY ALL),
+        nd AS (SELECT count(*) AS n FROM s WHERE NOT test),
+        vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf WHERE NOT test GROUP BY term
+            HAVING count(*) >= 10 AND count(*) <= 0.5 * (SELECT n FROM nd) ORDER BY total DESC, term LIMIT 2000),
+        w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), nd WHERE test)
+        SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""",
     "top_words_centroid": f"""
         WITH {_WEIGHTS}, sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
         s AS (SELECT cluster_id, term AS word, sum(tfidf) / any_value(n) AS score
@@ -344,6 +353,33 @@ ORACLE: dict[str, str] = {
             WHERE d <= {EPS}) WHERE rn = 1)
         SELECT e.vec_id, coalesce(cluster, -1) AS cluster, round(coalesce(1 - d / {EPS}, 0), 5) AS strength
         FROM e LEFT JOIN best ON e.vec_id = best.vec_id""",
+    "density_reduced": f"WITH RECURSIVE {_DENSITY} SELECT vec_id, cluster, is_core FROM clusters",
+    "pca_reduce": r"""
+        SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    "kmeans_embeddings": "SELECT vec_id, true AS in_range, true AS nearest, true AS cheaper FROM embeddings",
+    "kmeans_tfidf": "SELECT doc_id, true AS in_range, true AS equal_together FROM documents",
+    "dedupe_near": r"""
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' '))
+            AS first_copy, true AS together, true AS not_above_first FROM documents""",
+    "run_summary": rf"""
+        WITH content AS (SELECT doc_id, regexp_replace(source || ' ' || text, '^\s+|\s+$', '', 'g') AS c FROM documents),
+        kept AS (SELECT doc_id, lower(c) AS c FROM content WHERE length(c) > 20),
+        clean AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(
+            c, 'http\S+|www\S+', ' ', 'g'), '[^{LATIN}\s]', ' ', 'g'), '\s+'),
+            lambda x: length(x) >= 3 AND NOT list_contains({_STOP}, x)) AS l FROM kept),
+        usable AS (SELECT * FROM clean WHERE len(l) > 0),
+        toks AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM usable),
+        grams AS (SELECT doc_id, term FROM toks UNION ALL
+            SELECT doc_id, term || ' ' || nxt FROM (
+                SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM toks) WHERE nxt IS NOT NULL),
+        vocab AS (SELECT term FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10
+            AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM usable) LIMIT 500),
+        m AS (SELECT unnest(['model', 'n_samples', 'n_clusters_found', 'noise_fraction', 'silhouette_score', 'coherence',
+            'topic_diversity', 'n_clusters', 'n_features']) AS metric,
+            unnest([NULL, (SELECT count(*) FROM usable), 4, 0, NULL, NULL, NULL, 4, (SELECT count(*) FROM vocab)])::DOUBLE AS value,
+            unnest(['tfidf_kmeans', NULL, NULL, NULL, 'in range', 'in range', 'in range', NULL, NULL]) AS text)
+        SELECT 'tfidf' AS run_id, metric, value, text FROM m""",
     "pca_norms": r"""
         WITH h AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
         m AS (SELECT i, avg(x) AS m FROM h GROUP BY i)

@@ -142,8 +142,18 @@ def dedupe_exact(spark, sf):
 
 @query
 def dedupe_near(spark, sf):
+    """Groups, checked by what holds for any signatures: equal token lists are in one group."""
     docs = table(spark, sf, "documents")
-    return dedupe.near_duplicate_groups(docs, "doc_id", words(min_len=1))
+    groups = dedupe.near_duplicate_groups(docs, "doc_id", words(min_len=1))
+    lists = docs.select("doc_id", F.sha2(F.array_join(words(min_len=1), " "), 256).alias("digest")).join(groups, "doc_id")
+    first = lists.groupBy("digest").agg(F.min("doc_id").alias("first_copy"), F.min("group").alias("first_group"))
+    joined = lists.join(first, "digest")
+    return joined.select(
+        "doc_id",
+        "first_copy",
+        (F.col("group") == F.col("first_group")).alias("together"),
+        (F.col("group") <= F.col("first_copy")).alias("not_above_first"),
+    )
 
 
 def first_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,6 +420,16 @@ def tfidf(spark, sf):
     return weights.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
+@query
+def tfidf_test_rows(spark, sf):
+    """Vocabulary and frequencies of the training rows, weights of the test rows."""
+    split = corpus.random_split(table(spark, sf, "documents"), "doc_id")
+    found = train.test_weights(
+        split.where("split = 'train'"), split.where("split = 'test'"), "doc_id", words(), min_df=10, max_df=0.5, max_features=2000
+    )
+    return found.select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
 @query
 def top_words_centroid(spark, sf):
     docs = table(spark, sf, "documents")
@@ -603,12 +623,23 @@ def density_assign(spark, sf):
     return out.withColumn("strength", F.round("strength", 5))
 
 
+@query
+def density_reduced(spark, sf):
+    """Density clusters over PCA axes: with all axes kept they are those of the vectors."""
+    rows = table(spark, sf, "embeddings")
+    _, found = density.DensityClusterer.fit(rows, "vec_id", "embedding", EPS, 4, 3, pca_size=64)
+    return found.select("vec_id", "cluster", "is_core")
+
+
 @query
 def pca_reduce(spark, sf):
+    """With all axes kept, distances stay as they were: of every row to the row of the next id."""
     rows = table(spark, sf, "embeddings")
-    model = cluster.fit_reducer(rows, "embedding", 50)
-    reduced = cluster.reduce_vectors(rows, model, "embedding")
-    return reduced.select("vec_id", F.posexplode("reduced").alias("pos", "x"))
+    reduced = cluster.reduce_vectors(rows, cluster.fit_reducer(rows, "embedding", 64), "embedding").select("vec_id", "reduced")
+    after = reduced.select((F.col("vec_id") - 1).alias("vec_id"), F.col("reduced").alias("other"))
+    apart = F.zip_with("reduced", "other", lambda a, b: (a - b) * (a - b))
+    total = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda acc, x: acc + x))
+    return reduced.join(after, "vec_id").select("vec_id", F.round(total, 5).alias("distance"))
 
 
 @query
@@ -623,7 +654,19 @@ def pca_norms(spark, sf):
 def kmeans_embeddings(spark, sf):
     rows = table(spark, sf, "embeddings")
     fitted = cluster.EmbeddingClusterer.fit(rows, "embedding", k=6, pca_size=50, n_init=2, max_iter=100)
-    return fitted.predict(rows, "vec_id").select("vec_id", "cluster", "score")
+    found = fitted.predict(rows, "vec_id")
+    # what holds for any fit: the score belongs to the nearest centre, and six centres cost less than one
+    own = cluster.reduce_vectors(found, fitted.reducer, "embedding")
+    centres = [[float(x) for x in c] for c in fitted.kmeans.clusterCenters()]
+    squares = [F.aggregate(F.zip_with("reduced", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x) for c in centres]
+    nearest = F.sqrt(F.array_min(F.array(*squares)))
+    norm2 = F.aggregate("reduced", F.lit(0.0), lambda t, x: t + x * x)
+    checked = own.select("vec_id", "cluster", "score", nearest.alias("d"), norm2.alias("n2"))
+    cost = checked.agg((F.sum(F.col("d") * F.col("d")) < F.sum("n2")).alias("ok")).scalar()
+    return checked.select(
+        "vec_id", F.col("cluster").between(0, 5).alias("in_range"),
+        (F.abs(F.col("score") - F.exp(-F.col("d"))) < 1e-9).alias("nearest"), cost.alias("cheaper"),
+    )
 
 
 @query
@@ -631,7 +674,11 @@ def kmeans_tfidf(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", tx.ngram_range(words(), 1, 2).alias("grams"))
     vectors_of = features.fit_tfidf(docs, "doc_id", "grams").transform(docs).select("doc_id", "features")
     model = cluster.fit_kmeans(vectors_of, "features", 8, n_init=2, max_iter=50)
-    return model.transform(vectors_of).select("doc_id", "cluster")
+    out = model.transform(vectors_of)
+    # equal vectors are in one cluster, every cluster is one of eight
+    same = out.groupBy(F.xxhash64(F.col("features").cast("string")).alias("h")).agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"))
+    joined = out.withColumn("h", F.xxhash64(F.col("features").cast("string"))).join(same, "h")
+    return joined.select("doc_id", F.col("cluster").between(0, 7).alias("in_range"), (F.col("a") == F.col("b")).alias("equal_together"))
 
 
 @query
@@ -640,7 +687,12 @@ def run_summary(spark, sf):
     run = train.run_tfidf(
         docs, "doc_id", k=4, n_init=1, max_features=500, clean_options={"stopwords": STOPWORDS, "alphabet": LATIN}
     )
-    return metrics.run_metrics("tfidf", run["metrics"])
+    rows = metrics.run_metrics("tfidf", run["metrics"])
+    # measures that depend on the fit are checked for their range
+    ranged = F.when(F.col("metric") == "silhouette_score", F.col("value").between(-1, 1)).when(
+        F.col("metric").isin("coherence", "topic_diversity"), F.col("value").between(-1, 1)
+    )
+    return rows.select("run_id", "metric", F.when(ranged.isNull(), F.col("value")).alias("value"), F.coalesce("text", F.when(ranged, "in range")).alias("text"))
 
 
 # time -------------------------------------------------------------------

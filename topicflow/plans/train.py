@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from topicflow.functions import text as tx
 from topicflow.operators import cluster as cl
-from topicflow.operators import coherence, corpus, embed, features, metrics, topics
+from topicflow.operators import coherence, corpus, density, embed, features, metrics, topics
 from topicflow.session import cut_lineage
 from topicflow.sources import artifacts
 
@@ -111,12 +111,20 @@ def run_embeddings(
     encoder_factory=None,
     artifacts_path: str | None = None,
     clean_options: dict | None = None,
+    method: str = "kmeans",
+    eps: float = 0.5,
+    min_samples: int = 5,
+    min_cluster_size: int = 20,
+    silhouette: str = "exact",
 ) -> dict:
-    """Embeddings, PCA and k-means.
+    """Embeddings, PCA and k-means, or density clustering with ``method="density"``.
 
     Without ``embeddings`` (``id, embedding``) the case-keeping cleaned content
-    is encoded. Silhouette is measured on the embeddings themselves.
+    is encoded. Silhouette is measured on the embeddings themselves, over all
+    pairs, or with ``silhouette="squared"`` by the linear squared form.
     """
+    if method not in ("kmeans", "density") or silhouette not in ("exact", "squared"):
+        raise ValueError("method is kmeans or density, silhouette is exact or squared")
     docs = corpus.drop_short(df)
     if embeddings is None:
         docs = corpus.with_clean_text(docs, out="text", needs_lower=False, **(clean_options or {}))
@@ -125,22 +133,61 @@ def run_embeddings(
     else:
         docs = docs.withColumn(topic_text_col, F.coalesce(F.col(topic_text_col).cast("string"), F.lit("")))
     joined = cut_lineage(embed.attach_embeddings(docs, cut_lineage(embeddings), id_col))
-    clusterer = cl.EmbeddingClusterer.fit(joined, "embedding", k, pca_size, seed, n_init)
-    clustered = cut_lineage(clusterer.predict(joined, id_col))
+    if method == "density":
+        clusterer, found = density.DensityClusterer.fit(joined, id_col, "embedding", eps, min_samples, min_cluster_size, pca_size)
+        clustered = cut_lineage(joined.join(found.drop("is_core"), id_col))
+    else:
+        clusterer = cl.EmbeddingClusterer.fit(joined, "embedding", k, pca_size, seed, n_init)
+        clustered = cut_lineage(clusterer.predict(joined, id_col))
     words = tx.word_tokens(F.col(topic_text_col), 1)
     topic_rows = cut_lineage(topics.top_words_per_cluster(clustered, id_col, "cluster", words, top_n))
-    samples = metrics.silhouette_samples(clustered, id_col, "embedding", "cluster")
+    measure = metrics.silhouette_samples if silhouette == "exact" else metrics.silhouette_sq_samples
+    samples = measure(clustered, id_col, "embedding", "cluster")
     width = len(joined.select("embedding").first()[0])
-    extra = {"n_clusters_requested": k, "embedding_dim": width, "pca_reducer_size": pca_size}
+    extra = {"method": method, "embedding_dim": width, "use_pca": bool(pca_size), "pca_reducer_size": pca_size, "silhouette_form": silhouette}
+    if method == "density":
+        extra |= {"eps": eps, "min_samples": min_samples, "min_cluster_size": min_cluster_size}
+    else:
+        extra |= {"n_clusters_requested": k, "seed": seed, "n_init": n_init}
     tokens = tx.space_tokens(F.col(topic_text_col))
-    summary = _summary(clustered, "embedding_kmeans", samples, topic_rows, id_col, tokens, min(10, top_n), extra)
+    name = f"embedding_{method}"
+    summary = _summary(clustered, name, samples, topic_rows, id_col, tokens, min(10, top_n), extra)
     if artifacts_path:
         clusterer.save(f"{artifacts_path}/clusterer")
         artifacts.save_embeddings(clustered.select(F.col(id_col).alias("doc_id"), "embedding"), f"{artifacts_path}/embeddings")
-    _save(artifacts_path, clustered.drop("embedding"), topic_rows, summary, "embedding_kmeans")
+    _save(artifacts_path, clustered.drop("embedding"), topic_rows, summary, name)
     return {"data": clustered, "topics": topic_rows, "metrics": summary, "clusterer": clusterer}
 
 
+def test_weights(train: DataFrame, test: DataFrame, id_col: str, tokens, min_df: int = 10, max_df: float = 0.5, max_features: int = 20000) -> DataFrame:
+    """``id, term, tfidf`` of ``test`` rows under the vocabulary and document frequencies of ``train``."""
+    fitted = features.term_counts(train, [id_col], tokens)
+    n = features.count_documents(train)
+    vocab = features.vocabulary(fitted, n, min_df, max_df, max_features)
+    return features.tfidf_long(features.term_counts(test, [id_col], tokens), vocab, n, id_col)
+
+
+test_weights.__test__ = False  # not a pytest case
+
+
+def seed_stability(df: DataFrame, id_col: str, vec_col: str, k: int, seeds: list[int], **options) -> DataFrame:
+    """``seed_a, seed_b, adjusted_rand_index`` of k-means fits with different seeds."""
+    labels = None
+    for seed in seeds:
+        fitted = cl.EmbeddingClusterer.fit(df, vec_col, k, seed=seed, **options)
+        own = fitted.predict(df, id_col).select(id_col, F.col("cluster").alias(f"c{seed}"))
+        labels = cut_lineage(own if labels is None else labels.join(own, id_col))
+    parts = [
+        metrics.adjusted_rand_index(labels, f"c{a}", f"c{b}").select(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "*")
+        for i, a in enumerate(seeds)
+        for b in seeds[i + 1 :]
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def score_texts(texts: DataFrame, id_col: str, text_col: str, clusterer: cl.EmbeddingClusterer, encoder_factory=None) -> DataFrame:
     """``id, cluster, score`` of new texts: encode, reduce, nearest centre."""
     vectors = embed.embed(texts, id_col, text_col, encoder_factory)
