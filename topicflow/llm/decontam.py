@@ -35,6 +35,7 @@ from topicflow.llm.lmscore import BLANKED
 
 MATCH = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
 SEED = 17
+CHUNK = 128  # terms per row of a partial product
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,13 +121,19 @@ def randomised_svd(rows: DataFrame, weights: np.ndarray, rank: int) -> np.ndarra
                     if norm:
                         value = value / norm
                         out[at] += np.outer(value, value @ basis[at])
-            used = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float64()))], names=["term", "v"])
+            for at in range(0, terms, CHUNK):
+                part = out[at : at + CHUNK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "v"])
+
+        def add(parts: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_py(), np.float64) for v in parts.column("v"))
+            return pa.table({"at": parts.column("at")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-        parts = rows.select("ids").mapInArrow(run, "term long, v array<double>").select("term", F.posexplode("v").alias("j", "x"))
         summed = np.zeros((terms, width))
-        for row in parts.groupBy("term", "j").agg(F.sum("x").alias("x")).toPandas().itertuples(index=False):
-            summed[row.term, row.j] = row.x
+        for row in rows.select("ids").mapInArrow(run, "at long, v binary").groupBy("at").applyInArrow(add, "at long, v binary").collect():
+            part = np.frombuffer(row["v"], np.float64).reshape(-1, width)
+            summed[row["at"] : row["at"] + len(part)] = part
         return summed
 
     basis = np.random.default_rng(SEED).standard_normal((terms, width))
