@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from topicflow.operators import blocks, matrices
 from topicflow.operators.cluster import mean_vectors
-from topicflow.session import cut_lineage
+from topicflow.session import cut_lineage, stored_table
 
 NOISE = -1
+DENSE_BLOCK, TILE_ROWS = 8192, 512
 
 
 def _without_noise(df: DataFrame, cluster: str) -> DataFrame:
@@ -19,25 +20,36 @@ def _without_noise(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def _cluster_sums(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-    d = matrices.distances(*matrices.stack_pair(left, right))
-    if same:
-        # rounding may leave a point slightly away from itself
-        np.putmask(d, left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :], 0.0)
-
-    def sums(own: pd.DataFrame, others: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
-        labels, members = matrices.one_hot(others["cluster"].to_numpy())
+    """Summed distances of every point to each cluster of the other block, by tiles of rows."""
+    x, y = matrices.stack_pair(left, right)
+    left_id, right_id = left["id"].to_numpy(), right["id"].to_numpy()
+    left_labels, left_members = matrices.one_hot(left["cluster"].to_numpy())
+    right_labels, right_members = matrices.one_hot(right["cluster"].to_numpy())
+    to_right = np.empty((len(left), len(right_labels)))
+    to_left = np.zeros((len(right), len(left_labels)))
+    for at in range(0, len(left), TILE_ROWS):
+        tile = slice(at, at + TILE_ROWS)
+        d = matrices.distances(x[tile], y)
+        if same:
+            # rounding may leave a point slightly away from itself
+            np.putmask(d, left_id[tile][:, None] == right_id[None, :], 0.0)
+        else:
+            to_left += d.T @ left_members[tile]
+        to_right[tile] = d @ right_members
+
+    def rows(own: pd.DataFrame, labels: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "id": np.repeat(own["id"].to_numpy(), len(labels)),
                 "own": np.repeat(own["cluster"].to_numpy(), len(labels)),
                 "other": np.tile(labels, len(own)),
-                "dist": (dist @ members).ravel(),
+                "dist": sums.ravel(),
             }
         )
 
-    parts = [sums(left, right, d)]
+    parts = [rows(left, right_labels, to_right)]
     if not same:
-        parts.append(sums(right, left, d.T))
+        parts.append(rows(right, left_labels, to_left))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -71,23 +83,31 @@ def silhouette_samples(
     id_col: str,
     vec_col: str,
     cluster: str,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int | None = None,
     idx_col: str | None = None,
 ) -> DataFrame:
     """``id, cluster, silhouette`` per point, Euclidean, noise left out.
 
     The definition needs the distance of every pair, so the work is quadratic.
-    It is done in bounded blocks that return one sum per point and cluster; for
+    It is done in large blocks, which are compared tile by tile and return one
+    sum per point and cluster; a row is shuffled once per block of the table. For
     corpora where that is too much use ``silhouette_sq_samples`` (linear, a
-    different number). Sparse vectors have their positions in ``idx_col``.
+    different number). Sparse vectors have their positions in ``idx_col``; they
+    are made dense per pair of blocks, hence their smaller blocks.
     """
+    block_rows = block_rows or (DENSE_BLOCK if idx_col is None else blocks.BLOCK_ROWS)
     sparse = [] if idx_col is None else [F.col(idx_col).alias("idx")]
-    points = _without_noise(df, cluster).select(
+    points = _without_noise(df, cluster).where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(cluster).cast("bigint").alias("cluster"), *sparse
     )
-    points = points.withColumn("_cell", blocks.constant_cell())
-    cells = blocks.cell_blocks(points, block_rows)
-    placed = blocks.with_blocks(points, cells, "id")
+    # written once; the whole table is one cell, so its blocks are a number and need no join
+    points = stored_table(points, "points")
+    rows = points.count()
+    n_blocks = max(1, -(-rows // block_rows))
+    cells = df.sparkSession.createDataFrame([(blocks.WHOLE_TABLE, rows, n_blocks)], "_cell array<bigint>, _rows bigint, _blocks bigint")
+    placed = points.withColumn("_cell", blocks.constant_cell()).withColumn(
+        "_block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(n_blocks).cast("bigint"))
+    )
     id_type = df.schema[id_col].dataType.simpleString()
     parts = blocks.map_block_pairs(
         placed,
