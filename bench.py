@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from topicflow.plans.queries import QUERIES, table
@@ -83,6 +84,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__driver__memory="16g",
+        spark__checkpoint__dir=os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="topicflow-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

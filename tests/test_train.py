@@ -65,8 +65,8 @@ def test_density_run_saves_and_loads(spark, tmp_path):
 
 
 def test_density_training_run(spark):
-    words = ["apple pear plum grape", "engine wheel road brake"]
-    rows = [(i, "title", f"{words[i % 2]} {words[i % 2]} item {words[i % 2]}") for i in range(40)]
+    words = ["apple pear plum grape".split(), "engine wheel road brake".split()]
+    rows = [(i, "title", " ".join(w for j, w in enumerate(words[i % 2]) if j != i // 2 % 4)) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
     vectors = spark.createDataFrame([(i, [float(i % 2), i * 1e-3, 1.0]) for i in range(40)], "doc_id bigint, embedding array<double>")
     run = train.run_embeddings(
