@@ -155,7 +155,7 @@ def fit(bag_rows: list[tuple[bool, int, list[list[int]]]], names: list[str], ste
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = w[-1] + np.bincount(sent, w[feat], len(flat))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
+        p, p0 = (1 + np.tanh(z / 2)) / 2, (1 + np.tanh(w[-1] / 2)) / 2
         total = np.bincount(bag, np.logaddexp(0, z), n) + plain * np.logaddexp(0, w[-1])
         # derivative of the loss by the sum of softplus of a bag
         slope = (1 - y) - y / np.expm1(np.clip(total, 1e-12, 700))
