@@ -247,7 +247,10 @@ def near_duplicates(
     shared = stored(shared.where("first <> last").select("band", "first"), "buckets")
     hits = stored(keys.join(shared, "band", "left_semi"), "band-hits")
     star = salted_join(hits, shared, "band", ["node"], "inner").where("node <> first")
-    around = connected_components(star.select(F.col("first").alias("src"), F.col("node").alias("dst")))
+    # a class hangs on the smallest of its buckets' first members, and so do the others: few distinct pairs
+    hung = star.groupBy("node").agg(F.min("first").alias("src"), F.collect_set("first").alias("firsts"))
+    ends = F.array_append("firsts", F.col("node"))
+    around = connected_components(hung.select("src", F.explode(ends).alias("dst")).where("src <> dst").distinct())
     around = around.withColumnRenamed("component", "area")
     blocks = around.groupBy("area").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     around = stored(salted_join(around, blocks, "area", ["node"], "inner"), "areas")
