@@ -7,14 +7,16 @@ A node's importance comes from what its element looks like on the host's pages:
   entropy: a feature on ``n`` of the node's ``m`` pages weighs ``1 - log(n) / log(m)``, so what every
   page repeats weighs 0 and what is on one page only weighs 1. ``importance = 0.9 content + 0.1 presentation``.
 * Roles fix the importance where HTML states it: articles and main elements have 1, menus, page headers
-  and footers, asides, forms, adverts, notices and reader comments 0.
+  and footers, asides, forms, adverts, notices and reader comments 0. A page shows its own roles, so
+  only what entropy has to decide is merged.
 
 Branches under a node with importance below ``floor`` are taken out of every page. Nodes need ``least``
 pages of different text before entropy decides, and paragraphs, headings and list items are never judged
 by it: a passage that many articles share is content. If a page has an article or main element that
 is not in such a branch, only that is kept.
 
-Tree nodes are joined with pages by node, hot nodes salted; a page's own nodes bound what it receives.
+Unimportant tree nodes are joined with the pages' nodes, hot ones salted, and then with the pages by id.
+The html itself is shuffled only where more of them were found than Spark broadcasts by size.
 
 Defined results: null html is empty and gives an empty text; pages with null or unreadable urls form one
 host; rows with equal ids are each extracted; other columns are kept, one named ``main_text`` replaced.
@@ -95,7 +97,7 @@ class Element:
 @dataclass
 class Page:
     blocks: list[tuple[str, tuple[int, ...], bool]] = field(default_factory=list)  # text, open nodes, in a main element
-    nodes: list[tuple[int, float | None, int, int]] = field(default_factory=list)  # path, role, presentation, content
+    nodes: list[tuple[int, int, int]] = field(default_factory=list)  # path, presentation, content
 
 
 def words_of(value: str) -> list[str]:
@@ -126,7 +128,7 @@ def parse(host: str, text: str | None) -> Page:
     def flush() -> None:
         if not words:
             return
-        block = " ".join("".join(words).split())
+        block = "" if any(e.fixed == 0.0 for e in stack) else " ".join("".join(words).split())
         words.clear()
         if block:
             nodes = tuple(e.path for e in stack if e.judged)
@@ -134,9 +136,9 @@ def parse(host: str, text: str | None) -> Page:
 
     def close() -> None:
         gone = stack.pop()
-        if gone.judged:
+        if gone.judged and not any(e.fixed == 0.0 for e in stack):
             below = [b[0] for b in page.blocks[gone.at :]]
-            page.nodes.append((gone.path, gone.fixed, number(*gone.children), number(*below)))
+            page.nodes.append((gone.path, number(*gone.children), number(*below)))
 
     at, skip = 0, ""
     for match in TAG.finditer(text):
@@ -177,7 +179,7 @@ def parse(host: str, text: str | None) -> Page:
         in_main = any(e.fixed == 1.0 for e in stack)
         fixed = role_of(name, attrs, in_main)
         marks = sorted(words_of(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-        judged = fixed is not None or bool(marks) or (name in BLOCKS and name not in PLAIN)
+        judged = fixed is None and (bool(marks) or (name in BLOCKS and name not in PLAIN))
         key = ".".join([name, *marks])
         path = number(stack[-1].path if stack else root, key, fixed)
         if name in RAW and not any(e.fixed == 0.0 for e in stack):
@@ -212,7 +214,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_nodes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``page, page_text, path, fixed, presentation, content`` of every page's judged elements."""
+    """``page, page_text, path, presentation, content`` of every page's elements without a role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,28 +223,22 @@ def page_nodes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
                 page = parse(host, text)
                 own = number(*(b[0] for b in page.blocks))
                 out += [(page_id, own, *node) for node in {n[0]: n for n in page.nodes}.values()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            cols = zip(*out, strict=True) if out else [[]] * 6
-            names = ["page", "page_text", "path", "fixed", "presentation", "content"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            names = ["page", "page_text", "path", "presentation", "content"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     narrow = pages.select(F.col(id_col).cast("bigint"), host_of(F.col(url_col)).alias("host"), F.col(html_col))
-    return narrow.mapInArrow(run, "page long, page_text long, path long, fixed double, presentation long, content long")
+    return narrow.mapInArrow(run, "page long, page_text long, path long, presentation long, content long")
 
 
 def style_tree(nodes: DataFrame, least: int = 5) -> DataFrame:
     """``path, pages, importance`` of every merged node. Pages of equal text count once."""
-    features = nodes.select(
-        "path", "fixed", "page_text", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("feature")) for i, c in ((1, "content"), (2, "presentation"))))).alias("f")
-    ).select("path", "fixed", "page_text", "f.kind", "f.feature")
-    seen = features.distinct().groupBy("path", "kind", "feature").agg(F.max("fixed").alias("fixed"), F.count("*").alias("n"))
-    total = seen.groupBy("path", "kind").agg(
-        F.max("fixed").alias("fixed"), F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s")
-    )
-    entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log(F.col("m").cast("double")))).otherwise(1.0)
-    weighed = total.withColumn("w", F.when(F.col("m") < least, 1.0).otherwise(entropy) * F.when(F.col("kind") == 1, 0.9).otherwise(0.1))
-    by_path = weighed.groupBy("path").agg(F.max("m").alias("pages"), F.max("fixed").alias("fixed"), F.sum("w").alias("w"))
-    return by_path.select("path", "pages", F.coalesce("fixed", "w").alias("importance"))
+    kinds = [F.struct(F.lit(w).alias("weight"), F.col(c).alias("feature")) for w, c in ((0.9, "content"), (0.1, "presentation"))]
+    features = nodes.select("path", "page_text", F.explode(F.array(*kinds)).alias("f")).select("path", "page_text", "f.*")
+    seen = features.distinct().groupBy("path", "weight", "feature").agg(F.count("*").alias("n"))
+    total = seen.groupBy("path", "weight").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
+    entropy = F.when(F.col("m") < max(2, least), 1.0).otherwise(1 - F.col("s") / (F.col("m") * F.log(F.col("m").cast("double"))))
+    return total.groupBy("path").agg(F.max("m").alias("pages"), F.sum(F.col("weight") * entropy).alias("importance"))
 
 
 def extract_pages(
@@ -253,7 +249,7 @@ def extract_pages(
     nodes = stored(page_nodes(pages, id_col, url_col, html_col), "page-nodes")
     low = style_tree(nodes, least).where(F.col("importance") < floor).select("path")
     marked = salted_join(nodes.select("page", "path"), low, "path", ["page"], "inner")
-    by_page = marked.groupBy("page").agg(F.collect_set("path").alias("_low")).withColumnRenamed("page", "_page")
+    by_page = stored(marked.groupBy(F.col("page").alias("_page")).agg(F.collect_set("path").alias("_low")), "page-branches")
     keyed = pages.withColumn("_host", host_of(F.col(url_col)))
     joined = keyed.join(by_page, F.col(id_col).cast("bigint").eqNullSafe(F.col("_page")), "left").drop("_page")
     names = joined.columns
