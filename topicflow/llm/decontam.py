@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicflow.llm.common import texts_of
 from topicflow.llm.lmscore import BLANKED
 
 MATCH = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
@@ -81,7 +82,7 @@ def frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary, window:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, parts = Vocabulary(plain), np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 ids = own.encode(text)
                 known = np.flatnonzero(ids >= 0)
                 pairs = np.unique((known // half).astype(np.int64) * size + ids[known])
@@ -175,16 +176,18 @@ def prepare(
     found, total = frequencies(docs, text_col, Vocabulary(names), window)
     share = found / max(1, total)
     telling = share <= common
-    weights = np.log((1 + total) / (1 + found)) * telling
     coded = [np.array([names[w] for w in words]) for _, words in items]
+    for own in coded:  # an item of common words only is searched by these
+        if not telling[own].any():
+            telling[own] = True
+    weights = np.log((2 + total) / (1 + found)) * telling
     bounds = [(k, a, b) for k, c in enumerate(coded) for a, b in passages(len(c), window)]
     table = spark.createDataFrame([(coded[k][a:b].tolist(),) for k, a, b in bounds], "ids array<int>")
     vectors = randomised_svd(table, weights, rank)
     latent = (weights[:, None] * vectors).astype(np.float32)
     units = np.array([latent[coded[k][a:b]].sum(axis=0) for k, a, b in bounds])
     units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
-    # an item of common words only is compared by all its words
-    kept = [c[telling[c]] if telling[c].any() else c for c in coded]
+    kept = [c[telling[c]] for c in coded]
     answers = [set(sorted(set(c.tolist()), key=lambda t: (found[t], t))[:answer_words]) for c in kept]
     return Block(names, latent, telling, np.array([k for k, _, _ in bounds]), units, [i for i, _ in items], kept, [len(c) for c in coded], answers)
 
@@ -192,14 +195,14 @@ def prepare(
 def matches_in(ids: np.ndarray, block: Block, window: int, near: float, lcs: float, answer: float) -> list[tuple]:
     """``item_id, cosine, lcs, answer`` of the items that the document holds."""
     half, n = window // 2, len(ids)
-    known = ids >= 0
-    if not known.any() or not block.latent.shape[1]:
+    # other words weigh nothing
+    at = np.flatnonzero((ids >= 0) & block.telling[ids])
+    if not len(at) or not block.latent.shape[1]:
         return []
-    rows = np.where(known[:, None], block.latent[ids], np.float32(0)) if n <= half else None
-    if rows is None:
-        rows = block.latent[np.where(known, ids, 0)]
-        rows[~known] = 0
-    parts = np.add.reduceat(rows, np.arange(0, n, half), axis=0)
+    place = at // half
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    parts = np.zeros((-(-n // half), block.latent.shape[1]), np.float32)
+    parts[place[first]] = np.add.reduceat(block.latent[ids[at]], first, axis=0)
     sums = parts[:-1] + parts[1:] if len(parts) > 1 else parts
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     cosine = sums @ block.passage.T
@@ -261,7 +264,7 @@ def find_leaks(
             vocabulary = Vocabulary(own.vocabulary)
             for batch in batches:
                 found = []
-                for text, before in zip(batch.column(at).to_pylist(), batch.column(len(names) - 1).to_pylist(), strict=True):
+                for text, before in zip(texts_of(batch.column(at)), batch.column(len(names) - 1).to_pylist(), strict=True):
                     new = matches_in(vocabulary.encode(text), own, window, near, lcs, answer)
                     found.append([*(before or []), *(dict(zip(("item_id", "cosine", "lcs", "answer"), m, strict=True)) for m in new)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=names)
