@@ -38,10 +38,16 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The column's texts, a few at a time as Python strings."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it holds too many, so memory is bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

@@ -19,28 +19,36 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import stored
+from topicflow.llm.common import stored, texts_of
 
 RECORD = np.dtype([("null", "u1"), ("doc", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BIN = "fill int, members binary"
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
-CACHED_WORDS = 1_000_000
+# words of Latin letters and signs, for which every Unicode version has the same classes
+LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
+# the tokenizer's own split of a word
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHED_WORDS, TEXTS_AT_ONCE, PARTS_AT_ONCE, SPECIAL, WORD_END = 150_000, 256, 200, "<|", "</w>"
+ENCODERS: dict[str, Encoder] = {}  # of this Python worker, which serves many tasks
 END = b"\0\0\0\0"
 
 
 class Encoder(dict):
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and its rules never look across it, so ids of white-space-free words
-    are remembered (bounded). Texts with separators that Python and the tokenizer's rules see differently
-    are encoded whole.
+    The tokenizer drops white space and its rules never look across it, nor across the runs of letters or
+    signs it splits words into, so the ids of words and of their parts are remembered (bounded). Texts
+    with separators that Python and the tokenizer's rules see differently are encoded whole, and so are
+    words with other than Latin letters or with special tokens.
     """
 
     def __init__(self, path: str):
@@ -48,20 +56,52 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = self.whole(word)
-        return value
-
-    def encode(self, text: str) -> bytes:
-        if ODD_BLANKS.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[str]) -> None:
+        """Encode words not seen yet, their new parts all in one call."""
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        split: dict[str, list[str]] = {}
+        for word in words:
+            if LATIN.fullmatch(word) and SPECIAL not in word:
+                split[word] = PARTS.findall(word.lower())
+            else:
+                self[word] = self.whole(word)
+        new = list(dict.fromkeys(p for parts in split.values() for p in parts if p not in self.parts))
+        if new:
+            groups = [new[i : i + PARTS_AT_ONCE] for i in range(0, len(new), PARTS_AT_ONCE)]
+            batch = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+            for group, found in zip(groups, batch, strict=True):
+                ids = np.array(found.ids, "<u4")
+                at = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
+                if len(at) == len(group) + 1:  # every part ends with one token that closes a word
+                    raw = ids.tobytes()
+                    self.parts.update((p, raw[at[i] : at[i + 1]]) for i, p in enumerate(group))
+                else:
+                    self.parts.update((p, self.whole(p)) for p in group)
+        for word, parts in split.items():
+            self[word] = b"".join([self.parts[p] for p in parts])
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Token bytes of every text."""
+        texts = iter(texts)
+        while part := list(islice(texts, TEXTS_AT_ONCE)):
+            split = [None if ODD_BLANKS.search(t) else t.split() for t in part]
+            needed = set().union(*(w for w in split if w))
+            new = needed - self.keys()
+            if len(self) + len(new) > CACHED_WORDS:
+                self.clear()
+                new = needed
+            self.learn(new)
+            for text, words in zip(part, split, strict=True):
+                yield self.whole(text) if words is None else b"".join([self[w] for w in words])
 
 
 class OpenBins:
@@ -138,7 +178,9 @@ def tokenized_bins(docs: DataFrame, id_col: str, text_col: str, tokenizer: str,
     """Round 0: ``fill, members`` bins of every partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        if tokenizer not in ENCODERS:
+            ENCODERS[tokenizer] = Encoder(tokenizer)
+        encoder = ENCODERS[tokenizer]
         records: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
@@ -147,9 +189,9 @@ def tokenized_bins(docs: DataFrame, id_col: str, text_col: str, tokenizer: str,
             return _bins_batch(table["length"], [raw[i : i + width] for i in range(0, len(raw), width)], size)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + END
-                records += [(doc is None, doc or 0, *piece) for piece in pieces_of(ids, size)]
+            texts = (t or "" for t in texts_of(batch.column(1)))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                records += [(doc is None, doc or 0, *piece) for piece in pieces_of(ids + END, size)]
             if len(records) >= per_task:
                 yield packed()
                 records.clear()
