@@ -138,7 +138,10 @@ def test_toxicity_learns_words_and_finds_the_sentence(spark):
 
 def test_maximum_likelihood_slope():
     rows = [(True, 1, [[0], [1]]), (False, 2, [[1]]), (True, 0, [[0, 1]]), (False, 3, [])]
-    model = toxicity.fit(rows, ["=bad", "=ok"], steps=300, ridge=0.0)
+    whole = toxicity.Bags.of(rows)
+    parts = toxicity.Bags.joined([toxicity.Bags.of(rows[:1]), toxicity.Bags.of(rows[1:])])
+    assert all((getattr(whole, n) == getattr(parts, n)).all() for n in ("toxic", "plain", "bag", "sentence", "feature"))
+    model = toxicity.fit(whole, ["=bad", "=ok"], steps=300, ridge=0.0)
     assert model.weights["=bad"] > 3 and model.weights["=bad"] > model.weights["=ok"]
 
 

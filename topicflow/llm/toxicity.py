@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicflow.llm.common import texts_of
+
 TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]+")
 PREFIXES = (3, 4, 5, 6)
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 
 def forms(word: str) -> list[str]:
@@ -123,38 +125,66 @@ def select_features(train: DataFrame, positive: int, negative: int, features: in
     return [r["form"] for r in best.orderBy(F.desc("ratio"), "form").limit(features).collect()]
 
 
-def bags(train: DataFrame, names: list[str]) -> list[tuple[bool, int, list[list[int]]]]:
-    """Of every sampled document: label, sentences without features, features of the others."""
+@dataclass
+class Bags:
+    """The sample in terms of the chosen features, one after another."""
+
+    toxic: np.ndarray  # of every document
+    plain: np.ndarray  # its sentences without features
+    bag: np.ndarray  # document of every other sentence
+    sentence: np.ndarray  # sentence of every feature
+    feature: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[bool, int, list[list[int]]]]) -> Bags:
+        """From label, plain sentences and features of the other sentences of every document."""
+        some = [s for r in rows for s in r[2]]
+        return cls(
+            np.array([r[0] for r in rows], float),
+            np.array([r[1] for r in rows], float),
+            np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]),
+            np.repeat(np.arange(len(some)), [len(s) for s in some]),
+            np.array([f for s in some for f in s], np.int64),
+        )
+
+    @classmethod
+    def joined(cls, parts: list[Bags]) -> Bags:
+        docs = np.cumsum([0, *(len(p.toxic) for p in parts)])
+        rows = np.cumsum([0, *(len(p.bag) for p in parts)])
+        pick = lambda name, shift: np.concatenate([np.zeros(0, np.int64), *(getattr(p, name) + k for p, k in zip(parts, shift))])
+        none = [0] * len(parts)
+        return cls(pick("toxic", none), pick("plain", none), pick("bag", docs), pick("sentence", rows), pick("feature", none))
+
+
+def bags(train: DataFrame, names: list[str]) -> Bags:
+    """The sampled documents as numbers: a few packed arrays per batch reach the driver."""
     index = {n: i for i, n in enumerate(names)}
+    kinds = {"toxic": np.float32, "plain": np.int32, "bag": np.int32, "sentence": np.int32, "feature": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, rest = [], []
-            for text in batch.column(0).to_pylist():
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [[index[f] for w in s for f in forms(w) if f in index] for s in sentences(text)] or [[]]
                 some = [f for f in found if f]
-                plain.append(len(found) - len(some))
-                rest.append(some)
-            cols = [batch.column(1), pa.array(plain, pa.int64()), pa.array(rest, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(cols, names=["toxic", "plain", "rest"])
+                rows.append((toxic, len(found) - len(some), some))
+            own = Bags.of(rows)
+            cols = [pa.array([getattr(own, n).astype(k).tobytes()], pa.binary()) for n, k in kinds.items()]
+            yield pa.RecordBatch.from_arrays(cols, names=list(kinds))
 
-    rows = train.mapInArrow(run, "toxic boolean, plain long, rest array<array<int>>").collect()
-    return [(r["toxic"], r["plain"], r["rest"]) for r in rows]
+    schema = ", ".join(f"{n} binary" for n in kinds)
+    got = train.mapInArrow(run, schema).collect()
+    return Bags.joined([Bags(**{n: np.frombuffer(r[n], k) for n, k in kinds.items()}) for r in got])
 
 
-def fit(bag_rows: list[tuple[bool, int, list[list[int]]]], names: list[str], steps: int = 400, ridge: float = 0.02) -> Model:
+def fit(sample: Bags, names: list[str], steps: int = 400, ridge: float = 0.02) -> Model:
     """Weights that make the labels likeliest under noisy-or, by Adam with a ridge penalty."""
-    y = np.array([b[0] for b in bag_rows], float)
-    plain = np.array([b[1] for b in bag_rows], float)
-    bag = np.array([i for i, b in enumerate(bag_rows) for _ in b[2]], np.int64)
-    flat = [s for b in bag_rows for s in b[2]]
-    sent = np.array([i for i, s in enumerate(flat) for _ in s], np.int64)
-    feat = np.array([f for s in flat for f in s], np.int64)
+    y, plain, bag, sent, feat = sample.toxic, sample.plain, sample.bag, sample.sentence, sample.feature
     w, n = np.zeros(len(names) + 1), len(y)
     w[-1] = -5.0
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        z = w[-1] + np.bincount(sent, w[feat], len(flat))
+        z = w[-1] + np.bincount(sent, w[feat], len(bag))
         p, p0 = (1 + np.tanh(z / 2)) / 2, (1 + np.tanh(w[-1] / 2)) / 2
         total = np.bincount(bag, np.logaddexp(0, z), n) + plain * np.logaddexp(0, w[-1])
         # derivative of the loss by the sum of softplus of a bag
@@ -201,7 +231,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, bias)
         for batch in batches:
-            scored = [own.score(t) for t in batch.column(at).to_pylist()]
+            scored = [own.score(t) for t in texts_of(batch.column(at))]
             cols = list(zip(*scored, strict=True)) if scored else [[]] * 4
             kinds = (pa.float64(), pa.int32(), pa.int32(), pa.float64())
             more = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
