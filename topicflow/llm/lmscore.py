@@ -57,7 +57,7 @@ class Models:
     def losses(self, tokens: np.ndarray) -> np.ndarray:
         """Mean loss per token under either model."""
         w, u, p = slots(tokens, self.word.shape[1], self.pair.shape[1])
-        n = self.word.sum(axis=1, keepdims=True)
+        n = self.word.sum(axis=1, keepdims=True, dtype=float)
         single = (self.word[:, w] + ALPHA) / (n + ALPHA * self.word.shape[1])
         return -np.log((self.pair[:, p] + MU * single) / (self.context[:, u] + MU)).mean(axis=1)
 
@@ -88,17 +88,23 @@ def train(docs: DataFrame, is_target: Column, text_col: str = "text", words: int
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["slot", "t", "b"])
 
     counted = docs.select(F.col(text_col).alias("text"), is_target.alias("y")).mapInArrow(count, "slot long, t long, b long")
-    rows = counted.groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    full = np.zeros((2, 2 * words + pairs))
-    full[:, rows["slot"].to_numpy(np.int64)] = rows[["t", "b"]].to_numpy(float).T
+    summed = counted.groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i).to_numpy().astype(k).tobytes() for i, k in enumerate((np.int32, np.float32, np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["slot", "t", "b"])
+
+    full = np.zeros((2, 2 * words + pairs), np.float32)
+    # at most 2 * words + pairs slots, twelve bytes each
+    for row in summed.mapInArrow(packed, "slot binary, t binary, b binary").collect():
+        full[:, np.frombuffer(row["slot"], np.int32)] = [np.frombuffer(row[c], np.float32) for c in ("t", "b")]
     return Models(full[:, :words], full[:, words : 2 * words], full[:, 2 * words :])
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``n_tokens, target_loss, background_loss, loss_difference``; narrow, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        Models(models.word.astype(np.float32), models.context.astype(np.float32), models.pair.astype(np.float32))
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     extra = [("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("loss_difference", "double")]
     docs = docs.drop(*(n for n, _ in extra))
     schema = docs.select("*", *(F.lit(None).cast(k).alias(n) for n, k in extra)).schema
