@@ -132,6 +132,7 @@ def cross_entropy_difference(
 ) -> DataFrame:
     """Score all ``docs``; the target model is of those whose id is in ``target_ids``."""
     wanted = stored(target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "target-ids")
-    marked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("_id"), "left")
+    # the same plan at every size: ids and texts are dealt by id once
+    marked = docs.select(id_col, text_col).join(wanted.hint("merge"), F.col(id_col) == F.col("_id"), "left")
     models = train(marked, F.col("_id").isNotNull(), text_col, words, pairs)
     return score(docs, models, text_col)
