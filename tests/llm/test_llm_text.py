@@ -95,6 +95,28 @@ def test_lm_scores_equal_plain_counting(spark):
     assert lmscore.cross_entropy_difference(docs(spark, []), wanted).count() == 0
 
 
+def test_lm_counts_more_pairs_than_any_table_of_slots(spark):
+    # 1.5 million different pairs of 400 000 words; with 2^20 slots their counts ran into each other
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400_000, 5000))) for i in range(300)]
+    wanted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs(spark, rows), wanted).collect()}
+    count = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    for i, t in rows:
+        seq = t.split()
+        for m in (0, 1) if i < 30 else (1,):
+            before = ["", *seq[:-1]]
+            count[m][0].update(seq), count[m][1].update(before), count[m][2].update(zip(before, seq, strict=True))
+    assert len(count[1][2]) > lmscore.PAIRS and (classes := len(count[1][0])) > lmscore.WORDS
+    for i in (0, 299):
+        seq = rows[i][1].split()
+        for m, loss in enumerate((got[i].target_loss, got[i].background_loss)):
+            word, context, pair = count[m]
+            single = lambda w: (word[w] + lmscore.ALPHA) / (word.total() + lmscore.ALPHA * classes)  # noqa: E731, B023
+            p = [(pair[u, w] + lmscore.MU * single(w)) / (context[u] + lmscore.MU) for u, w in zip(["", *seq[:-1]], seq, strict=True)]
+            assert max(p) < 1 and math.isclose(loss, -sum(map(math.log, p)) / len(seq), rel_tol=1e-9)
+
+
 def test_word_hashes_forget_and_stay_right():
     small = WordHashes(limit=2)
     words = [b"a", b"b", b"c", b"a"]

@@ -1,37 +1,43 @@
 """Cross-entropy difference of two matched n-gram models.
 
-The background model counts all documents, the target model those a caller marks as wanted. Both share one
-vocabulary: words are hashed to ``words`` slots and pairs of adjacent words to ``pairs`` slots, so both models
-have the same classes of words and their collisions are alike. Probabilities are interpolated,
+The background model counts all documents, the target model those a caller marks as wanted. Words, contexts
+and pairs of adjacent words are counted exactly, under 64-bit hashes. Probabilities are interpolated,
 
-    p(w) = (c(w) + alpha) / (n + alpha * words)
+    p(w) = (c(w) + alpha) / (n + alpha * classes)
     p(w | u) = (c(u, w) + mu * p(w)) / (c(u) + mu)
 
-and a document's score is the mean over its tokens of the target loss minus the background loss: below 0 is
-closer to the target. Counts cover every token of every document; tasks send one row per slot they saw,
-which Spark sums. The summed model has at most ``words + pairs`` rows whatever the corpus, and that bounds
-what is fetched and broadcast.
+with as many classes as the documents have different words, at least ``words``. A document's score is the
+mean over its tokens of the target loss minus the background loss: below 0 is closer to the target.
+
+Documents are dealt by id to blocks of about ``BLOCK`` bytes of text. A block counts its different words,
+contexts and pairs, these counts are summed by hash over all blocks, and every sum goes back to the blocks
+that have the hash, where the texts are scored. So the model is a table that grows with the corpus and is
+held nowhere as a whole; a hash has at most one row a block, however often it occurs. Nothing but the number
+of words and bytes is brought to the driver.
 
 Defined results: words are lower-cased runs of letters and digits; null, empty or wordless texts have 0
 tokens and null losses; repeated rows count repeatedly; without target documents the target model is
-uniform; other columns are kept, those with the name of a result column replaced.
+uniform; ids and texts are kept, in columns of their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from topicflow.llm.common import WordHashes, mix, stored
+from topicflow.llm.common import WordHashes, mix, stored, texts_of
 
 WORDS, PAIRS = 1 << 18, 1 << 20
+BLOCK, BLOCKS = 8 << 20, 96
 ALPHA, MU = 0.1, 4.0
 START = np.uint64(0x9E3779B97F4A7C15)
+WORD, CONTEXT, PAIR = (np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0xC2B2AE3D27D4EB4F))
+TOTAL = np.int64(0)  # the key under which all tokens are counted
 BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -39,100 +45,107 @@ def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or "").lower().encode().translate(BLANKED).split())
 
 
-def slots(tokens: np.ndarray, words: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: its slot, its predecessor's, and the pair's."""
-    before = np.concatenate([[START], tokens[:-1]])
-    pair = mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + tokens)
-    return *((x & np.uint64(words - 1)).astype(np.int64) for x in (tokens, before)), (pair & np.uint64(pairs - 1)).astype(np.int64)
-
-
-@dataclass
-class Models:
-    """Counts of words, contexts and pairs; index 0 is the target, 1 the background."""
-
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    def losses(self, tokens: np.ndarray) -> np.ndarray:
-        """Mean loss per token under either model."""
-        w, u, p = slots(tokens, self.word.shape[1], self.pair.shape[1])
-        n = self.word.sum(axis=1, keepdims=True, dtype=float)
-        single = (self.word[:, w] + ALPHA) / (n + ALPHA * self.word.shape[1])
-        return -np.log((self.pair[:, p] + MU * single) / (self.context[:, u] + MU)).mean(axis=1)
+def keys(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of every token as a word, of its predecessor as a context, and of the pair; texts begin at ``starts``."""
+    before = np.concatenate([[START], tokens[:-1]])[: len(tokens)]
+    before[starts] = START
+    return tuple(x.view(np.int64) for x in (mix(tokens ^ WORD), mix(before ^ CONTEXT), mix(before * PAIR + tokens)))
 
 
-def train(docs: DataFrame, is_target: Column, text_col: str = "text", words: int = WORDS, pairs: int = PAIRS) -> Models:
-    """Count the documents; ``is_target`` marks those of the target model (null: no)."""
+def tokens_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed tokens of all texts in a row, and the number of each text."""
+    hashes = WordHashes()
+    found = [token_hashes(t, hashes) for chunk in texts.chunks for t in texts_of(chunk)]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.array([len(t) for t in found], np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        # slots of words, then of contexts, then of pairs
-        seen = np.zeros((2, 2 * words + pairs), np.int64)
-        for batch in batches:
-            for flag in (True, False):
-                found = [
-                    token_hashes(t, hashes)
-                    for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    if bool(y) is flag
-                ]
-                for tokens in found:
-                    if len(tokens):
-                        w, u, p = slots(tokens, words, pairs)
-                        at, n = np.unique(np.concatenate([w, u + words, p + 2 * words]), return_counts=True)
-                        seen[1, at] += n
-                        if flag:
-                            seen[0, at] += n
-        at = np.flatnonzero(seen[1])
-        for part in np.array_split(at, max(1, len(at) // 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["slot", "t", "b"])
-
-    counted = docs.select(F.col(text_col).alias("text"), is_target.alias("y")).mapInArrow(count, "slot long, t long, b long")
-    summed = counted.groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(i).to_numpy().astype(k).tobytes() for i, k in enumerate((np.int32, np.float32, np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols], names=["slot", "t", "b"])
 
-    full = np.zeros((2, 2 * words + pairs), np.float32)
-    # at most 2 * words + pairs slots, twelve bytes each
-    for row in summed.mapInArrow(packed, "slot binary, t binary, b binary").collect():
-        full[:, np.frombuffer(row["slot"], np.int32)] = [np.frombuffer(row[c], np.float32) for c in ("t", "b")]
-    return Models(full[:, :words], full[:, words : 2 * words], full[:, 2 * words :])
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return (np.cumsum(sizes) - sizes)[sizes > 0]
 
 
-def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``n_tokens, target_loss, background_loss, loss_difference``; narrow, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    extra = [("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("loss_difference", "double")]
-    docs = docs.drop(*(n for n, _ in extra))
-    schema = docs.select("*", *(F.lit(None).cast(k).alias(n) for n, k in extra)).schema
-    at = docs.columns.index(text_col)
+def extent(docs: DataFrame, text_col: str, pairs: int) -> tuple[int, int]:
+    """How many different words the texts have, and how many bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = shared.value, WordHashes()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, size = WordHashes(), 0
+        seen: set[int] = set()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen, np.uint64, len(seen)).view(np.int64))], names=["word"])
+        sizes = lambda: pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([size], pa.int64())], names=["word", "size"])
         for batch in batches:
-            n, out = [], []
-            for text in batch.column(at).to_pylist():
-                tokens = token_hashes(text, hashes)
-                n.append(len(tokens))
-                a, b = own.losses(tokens).tolist() if len(tokens) else (None, None)
-                out.append((a, b, None if a is None else a - b))
-            cols = [pa.array(c, pa.float64()) for c in (zip(*out, strict=True) if out else [[]] * 3)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), *cols], names=[*batch.schema.names, *(n for n, _ in extra)]
-            )
+            for text in texts_of(batch.column(0)):
+                size += len((text or "").encode())
+                seen.update(token_hashes(text, hashes).tolist())
+                if len(seen) >= pairs:
+                    yield rows().append_column("size", pa.nulls(len(seen), pa.int64()))
+                    seen.clear()
+        yield rows().append_column("size", pa.nulls(len(seen), pa.int64()))
+        yield sizes()
 
-    return docs.mapInArrow(run, schema)
+    sums = docs.select(text_col).mapInArrow(words, "word long, size long").groupBy("word").agg(F.sum("size").alias("size"))
+    row = sums.agg(F.count("word").alias("n"), F.sum("size").alias("size")).first()
+    return row["n"], row["size"] or 0
 
 
 def cross_entropy_difference(
     docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS
 ) -> DataFrame:
-    """Score all ``docs``; the target model is of those whose id is in ``target_ids``."""
-    wanted = stored(target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "target-ids")
-    # the same plan at every size: ids and texts are dealt by id once
-    marked = docs.select(id_col, text_col).join(wanted.hint("merge"), F.col(id_col) == F.col("_id"), "left")
-    models = train(marked, F.col("_id").isNotNull(), text_col, words, pairs)
-    return score(docs, models, text_col)
+    """Ids and texts of ``docs`` plus ``n_tokens, target_loss, background_loss, loss_difference``.
+
+    The target model is of those whose id is in ``target_ids``. ``words`` is the least number of classes that
+    smoothing shares out; ``pairs`` bounds only what a task holds before it passes it on.
+    """
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = docs.schema["_id"].dataType
+    wanted = target_ids.select(F.col(id_col).cast(kind).alias("_id")).where("_id is not null").distinct()
+    vocabulary, size = extent(docs, "_text", pairs)
+    blocks = max(BLOCKS, -(-size // BLOCK))
+    classes = max(words, vocabulary)
+    by_id = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    # ids that are null are nobody's target and may be dealt by text
+    dealt = docs.withColumn("_block", F.when(F.col("_id").isNull(), F.pmod(F.xxhash64("_text"), F.lit(blocks)).cast("int")).otherwise(by_id))
+    marks = stored(wanted.withColumn("_block", by_id), "target-ids")
+
+    def count(texts: pa.Table, targets: pa.Table) -> pa.Table:
+        tokens, sizes = tokens_of(texts.column("_text"))
+        chosen = set(targets.column("_id").to_pylist())
+        target = np.repeat(np.array([i in chosen for i in texts.column("_id").to_pylist()], bool), sizes)
+        found = keys(tokens, starts_of(sizes))
+        out = []
+        for x in found:
+            unique, at = np.unique(x, return_inverse=True)
+            out.append((unique, np.bincount(at[target], minlength=len(unique)), np.bincount(at, minlength=len(unique))))
+        if len(tokens):
+            out.append((np.array([TOTAL]), np.array([target.sum()]), np.array([len(tokens)])))
+        key, t, b = (np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(3))
+        block = texts.column("_block")[0].as_py() if texts.num_rows else 0
+        return pa.table({"_block": pa.array(np.full(len(key), block, np.int32)), "key": key, "t": t, "b": b})
+
+    texts = dealt.groupBy("_block")
+    counted = texts.cogroup(marks.groupBy("_block")).applyInArrow(count, "_block int, key long, t long, b long")
+    same = Window.partitionBy("key")
+    sums = counted.select("_block", "key", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b"))
+
+    def losses(texts: pa.Table, model: pa.Table) -> pa.Table:
+        tokens, sizes = tokens_of(texts.column("_text"))
+        key = model.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        w, u, p = (np.searchsorted(key, x) for x in keys(tokens, starts_of(sizes)))
+        some, number = sizes > 0, np.repeat(np.arange(len(sizes)), sizes)
+        means = []
+        for name in ("t", "b"):
+            n = model.column(name).to_numpy()[order].astype(np.float64)
+            total = n[np.searchsorted(key, TOTAL)] if len(tokens) else 0.0
+            single = (n[w] + ALPHA) / (total + ALPHA * classes)
+            loss = np.log(n[u] + MU) - np.log(n[p] + MU * single)
+            means.append(np.bincount(number, loss, len(sizes)) / np.maximum(sizes, 1))
+        cols = [pa.array(x, pa.float64(), mask=~some) for x in (*means, means[0] - means[1])]
+        return pa.Table.from_arrays(
+            [texts.column("_id"), texts.column("_text"), pa.array(sizes), *cols],
+            names=[id_col, text_col, "n_tokens", "target_loss", "background_loss", "loss_difference"],
+        )
+
+    extra = [("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("loss_difference", "double")]
+    named = docs.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col))
+    schema = named.select("*", *(F.lit(None).cast(k).alias(n) for n, k in extra)).schema
+    return texts.cogroup(sums.groupBy("_block")).applyInArrow(losses, schema)
