@@ -271,6 +271,18 @@ def test_site_style_tree_drops_what_a_host_repeats(spark):
         assert got[100 + i] == "The same"  # copies of one page are no template
 
 
+def test_site_style_tree_counts_every_sibling(spark):
+    rows = []
+    for i in range(9):
+        own = f"Story {i} tells of item {i * 7}."
+        rows.append((i, f"http://e.example/{i}", f"<body><div>menu</div><div>{own}</div><div>imprint</div></body>"))
+        # without the menu the article is the first sibling, and what varies may be the last
+        rows.append((100 + i, f"http://f.example/{i}", f"<body>{'<div>menu</div>' * (i % 3)}<div>imprint</div><div>{own}</div></body>"))
+    got = {r.page_id: r.main_text for r in sitetree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == got[100 + i] == f"Story {i} tells of item {i * 7}."
+
+
 def test_sha_of_kept_text(spark):
     from topicflow.llm.queries import QUERIES
 

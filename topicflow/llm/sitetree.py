@@ -1,21 +1,23 @@
 """Main text of pages by a site style tree.
 
 The DOMs of one host are merged: elements with the same chain of tags, classes and ids become one node.
-A node's importance comes from what its element looks like on the host's pages:
+Siblings can share it, so a page may have any number of elements of a node, and all of them count.
+An element's importance comes from what its node's elements look like on the host's pages:
 
 * content: the text below it, and presentation: the sequence of its children. Both are measured by
   entropy: a feature on ``n`` of the node's ``m`` pages weighs ``1 - log(n) / log(m)``, so what every
-  page repeats weighs 0 and what is on one page only weighs 1. ``importance = 0.9 content + 0.1 presentation``.
+  page repeats weighs 0 and what is on one page only weighs 1. ``importance = 0.9 content + 0.1 presentation``,
+  the content being the element's own, the presentation the mean over its node.
 * Roles fix the importance where HTML states it: articles and main elements have 1, menus, page headers
   and footers, asides, forms, adverts, notices and reader comments 0. A page shows its own roles, so
   only what entropy has to decide is merged.
 
-Branches under a node with importance below ``floor`` are taken out of every page. Nodes need ``least``
+Branches under an element with importance below ``floor`` are taken out of every page. Nodes need ``least``
 pages of different text before entropy decides, and paragraphs, headings and list items are never judged
 by it: a passage that many articles share is content. If a page has an article or main element that
 is not in such a branch, only that is kept.
 
-Unimportant tree nodes are joined with the pages' nodes, hot ones salted, and then with the pages by id.
+Unimportant elements are joined with the pages' elements, hot ones salted, and then with the pages by id.
 The html itself is shuffled only where more of them were found than Spark broadcasts by size.
 
 Defined results: null html is empty and gives an empty text; pages with null or unreadable urls form one
@@ -92,12 +94,13 @@ class Element:
     judged: bool  # a node of the style tree
     at: int  # blocks before it
     children: list[str] = field(default_factory=list)
+    mark: int = 0  # node and content, known when it ends
 
 
 @dataclass
 class Page:
-    blocks: list[tuple[str, tuple[int, ...], bool]] = field(default_factory=list)  # text, open nodes, in a main element
-    nodes: list[tuple[int, int, int]] = field(default_factory=list)  # path, presentation, content
+    blocks: list[tuple[str, tuple[Element, ...], bool]] = field(default_factory=list)  # text, open nodes, in a main element
+    nodes: list[tuple[int, int, int]] = field(default_factory=list)  # path, presentation, path and content
 
 
 def words_of(value: str) -> list[str]:
@@ -131,14 +134,15 @@ def parse(host: str, text: str | None) -> Page:
         block = "" if any(e.fixed == 0.0 for e in stack) else " ".join("".join(words).split())
         words.clear()
         if block:
-            nodes = tuple(e.path for e in stack if e.judged)
+            nodes = tuple(e for e in stack if e.judged)
             page.blocks.append((block, nodes, any(e.fixed == 1.0 for e in stack)))
 
     def close() -> None:
         gone = stack.pop()
         if gone.judged and not any(e.fixed == 0.0 for e in stack):
             below = [b[0] for b in page.blocks[gone.at :]]
-            page.nodes.append((gone.path, number(*gone.children), number(*below)))
+            gone.mark = number(gone.path, *below)
+            page.nodes.append((gone.path, number(*gone.children), gone.mark))
 
     at, skip = 0, ""
     for match in TAG.finditer(text):
@@ -203,7 +207,7 @@ def parse(host: str, text: str | None) -> Page:
 
 def main_text(page: Page, low: frozenset[int] | set[int]) -> str:
     """The blocks outside low branches; only those of main elements, if it has any with text."""
-    kept = [(b, in_main) for b, nodes, in_main in page.blocks if not low.intersection(nodes)]
+    kept = [(b, in_main) for b, nodes, in_main in page.blocks if not any(e.mark in low for e in nodes)]
     if any(m for _, m in kept):
         kept = [x for x in kept if x[1]]
     return "\n\n".join(b for b, _ in kept)
@@ -214,7 +218,10 @@ def host_of(url: Column) -> Column:
 
 
 def page_nodes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``page, page_text, path, presentation, content`` of every page's elements without a role."""
+    """``page, page_text, path, presentation, content, first`` of every page's elements without a role.
+
+    ``content`` is of path and text; of a page's elements of a path, one is the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,23 +229,36 @@ def page_nodes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
             for page_id, host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = parse(host, text)
                 own = number(*(b[0] for b in page.blocks))
-                out += [(page_id, own, *node) for node in {n[0]: n for n in page.nodes}.values()]
-            cols = zip(*out, strict=True) if out else [[]] * 5
-            names = ["page", "page_text", "path", "presentation", "content"]
+                paths: set[int] = set()
+                for node in dict.fromkeys(page.nodes):
+                    out.append((page_id, own, *node, int(node[0] not in paths)))
+                    paths.add(node[0])
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            names = ["page", "page_text", "path", "presentation", "content", "first"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     narrow = pages.select(F.col(id_col).cast("bigint"), host_of(F.col(url_col)).alias("host"), F.col(html_col))
-    return narrow.mapInArrow(run, "page long, page_text long, path long, presentation long, content long")
+    return narrow.mapInArrow(run, "page long, page_text long, path long, presentation long, content long, first long")
 
 
 def style_tree(nodes: DataFrame, least: int = 5) -> DataFrame:
-    """``path, pages, importance`` of every merged node. Pages of equal text count once."""
-    kinds = [F.struct(F.lit(w).alias("weight"), F.col(c).alias("feature")) for w, c in ((0.9, "content"), (0.1, "presentation"))]
+    """``content, importance`` of the elements that several pages repeat. Pages of equal text count once."""
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("feature"), F.col("first").alias("first")) for k, c in enumerate(("content", "presentation"))]
     features = nodes.select("path", "page_text", F.explode(F.array(*kinds)).alias("f")).select("path", "page_text", "f.*")
-    seen = features.distinct().groupBy("path", "weight", "feature").agg(F.count("*").alias("n"))
-    total = seen.groupBy("path", "weight").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
-    entropy = F.when(F.col("m") < max(2, least), 1.0).otherwise(1 - F.col("s") / (F.col("m") * F.log(F.col("m").cast("double"))))
-    return total.groupBy("path").agg(F.max("m").alias("pages"), F.sum(F.col("weight") * entropy).alias("importance"))
+    once = features.groupBy("path", "page_text", "kind", "feature").agg(F.max("first").alias("first"))
+    seen = once.groupBy("path", "kind", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    seen = seen.withColumn("log", F.log(F.col("n").cast("double")))
+    own, shape = F.col("kind") == 0, F.col("kind") == 1
+    total = seen.groupBy("path").agg(
+        F.sum(F.when(own, F.col("first"))).alias("m"),
+        F.sum(F.when(shape, F.col("n"))).alias("k"),
+        F.sum(F.when(shape, F.col("n") * F.col("log"))).alias("s"),
+    )
+    judged = total.where(F.col("m") >= max(2, least)).withColumn("whole", F.log(F.col("m").cast("double")))
+    # what is on one page only weighs 1; of the rest, a path has few
+    repeated = seen.where(own & (F.col("n") > 1)).select("path", F.col("feature").alias("content"), "log").join(judged, "path")
+    weight = lambda log: F.greatest(F.lit(0.0), 1 - log / F.col("whole"))
+    return repeated.select("content", (0.9 * weight(F.col("log")) + 0.1 * weight(F.col("s") / F.col("k"))).alias("importance"))
 
 
 def extract_pages(
@@ -247,9 +267,9 @@ def extract_pages(
     """``pages`` plus ``main_text``."""
     pages = pages.drop("main_text")
     nodes = stored(page_nodes(pages, id_col, url_col, html_col), "page-nodes")
-    low = style_tree(nodes, least).where(F.col("importance") < floor).select("path")
-    marked = salted_join(nodes.select("page", "path"), low, "path", ["page"], "inner")
-    by_page = stored(marked.groupBy(F.col("page").alias("_page")).agg(F.collect_set("path").alias("_low")), "page-branches")
+    low = style_tree(nodes, least).where(F.col("importance") < floor).select("content")
+    marked = salted_join(nodes.select("page", "content"), low, "content", ["page"], "inner")
+    by_page = stored(marked.groupBy(F.col("page").alias("_page")).agg(F.collect_set("content").alias("_low")), "page-branches")
     keyed = pages.withColumn("_host", host_of(F.col(url_col)))
     joined = keyed.join(by_page, F.col(id_col).cast("bigint").eqNullSafe(F.col("_page")), "left").drop("_page")
     names = joined.columns
