@@ -283,6 +283,25 @@ def test_site_style_tree_counts_every_sibling(spark):
         assert got[i] == got[100 + i] == f"Story {i} tells of item {i * 7}."
 
 
+def test_class_words_do_not_drop_articles(spark):
+    def page(i, kind):
+        own = f"<p>Story {i} tells of item {i * 7} at some length.</p>"
+        return {
+            0: f"<body><div class='content-sidebar-wrap'><main><article>{own}</article></main></div><aside>Side</aside></body>",
+            1: f"<body><div class='no-sidebar'><div class='text'>{own}</div></div><div class='sidebar'>Ads</div></body>",
+            2: f"<body><main><article class='post comments-open'>{own}</article><div id='comments'><article>Reader {i}</article></div></main></body>",
+            3: f"<body><form id='aspnetForm'><div class='search-share'>{own}</div></form><div class='ad'>Buy</div></body>",
+            # the prior is overruled, but not the tree
+            4: f"<body><div class='notice'>{'All pages have this long notice. ' * 9}</div><div class='text'>{own}</div></body>",
+            5: f"<body><nav><a>Menu</a><article>{own}</article></nav></body>",
+        }[kind]
+
+    rows = [(10 * i + kind, f"http://k{kind}.example/{i}", page(i, kind)) for i in range(8) for kind in range(6)]
+    got = {r.page_id: r.main_text for r in sitetree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert [got[10 * i + kind] for kind in range(6)] == [f"Story {i} tells of item {i * 7} at some length."] * 6
+
+
 def test_sha_of_kept_text(spark):
     from topicflow.llm.queries import QUERIES
 

@@ -8,9 +8,13 @@ An element's importance comes from what its node's elements look like on the hos
   entropy: a feature on ``n`` of the node's ``m`` pages weighs ``1 - log(n) / log(m)``, so what every
   page repeats weighs 0 and what is on one page only weighs 1. ``importance = 0.9 content + 0.1 presentation``,
   the content being the element's own, the presentation the mean over its node.
-* Roles fix the importance where HTML states it: articles and main elements have 1, menus, page headers
-  and footers, asides, forms, adverts, notices and reader comments 0. A page shows its own roles, so
-  only what entropy has to decide is merged.
+* Roles fix the importance where HTML states it: articles and main elements have 1, menus, page footers,
+  asides and hidden elements 0.
+* Words of classes and ids (adverts, sidebars, notices), page headers and forms are only a prior against an
+  element. The tree judges it all the same, and what holds half of a page's text stays unless the tree
+  drops it. Inside an article, and for reader comments and related pages, the prior decides.
+* Nothing drops an article or main element around which it stands. Where a role or readers' words stand
+  around one, it is kept only on pages without another one.
 
 Branches under an element with importance below ``floor`` are taken out of every page. Nodes need ``least``
 pages of different text before entropy decides, and paragraphs, headings and list items are never judged
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,8 +61,10 @@ BLOCKS = frozenset(
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead pre blockquote figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MAIN = frozenset({"article", "main"})
-NOISE_TAGS = RAW | frozenset("nav footer aside form menu dialog search".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NOISE_TAGS = RAW | frozenset("nav footer aside menu dialog search".split())
+PRIOR_TAGS = frozenset({"form"})
+PRIOR_ROLES = frozenset({"banner", "form"})
+NOISE_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars menu "
     "menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification "
@@ -65,6 +72,12 @@ NOISE_WORDS = frozenset(
     "comments commentlist disqus reply replies respond discussion widget widgets toolbar pagination pager login signup search "
     "copyright skip hidden".split()
 )
+# noise words around articles that are not the page's own
+READER_WORDS = frozenset(
+    "related recommended recommendations comment comments commentlist disqus reply replies respond discussion".split()
+)
+# states of a page, such as no-sidebar and comments-open
+STATES = re.compile(r"\b(?:no|without)[-_][a-z]+|\b[a-z]+[-_](?:open|closed)\b", re.IGNORECASE)
 HEADER_WORDS = frozenset("header topbar".split())
 # an open element of the first kind ends when one of the second begins
 ENDS = {
@@ -85,12 +98,17 @@ def number(*parts: object) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+PRIOR = 0.5
+
+
 @dataclass
 class Element:
     tag: str
     key: str
     path: int
-    fixed: float | None  # importance its role gives, if any
+    fixed: float | None  # importance its role gives, if any; PRIOR if it has words against it
+    readers: bool  # has words of reader comments or related pages
+    article: bool
     judged: bool  # a node of the style tree
     at: int  # blocks before it
     children: list[str] = field(default_factory=list)
@@ -99,7 +117,8 @@ class Element:
 
 @dataclass
 class Page:
-    blocks: list[tuple[str, tuple[Element, ...], bool]] = field(default_factory=list)  # text, open nodes, in a main element
+    # text, open nodes, in a main element, that another one has to be preferred to, elements with a prior against it
+    blocks: list[tuple[str, tuple[Element, ...], bool, bool, tuple[Element, ...]]] = field(default_factory=list)
     nodes: list[tuple[int, int, int]] = field(default_factory=list)  # path, presentation, path and content
 
 
@@ -107,18 +126,41 @@ def words_of(value: str) -> list[str]:
     return [w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w]
 
 
-def role_of(tag: str, attrs: dict[str, str], in_main: bool) -> float | None:
-    """1 for main content, 0 for what never is, None if the tree has to decide."""
+def role_of(tag: str, attrs: dict[str, str], in_main: bool, in_article: bool) -> tuple[float | None, bool]:
+    """1 for main content, 0 for what never is, PRIOR for words against it, None if the tree has to decide; if it has readers' words."""
     if tag in ("html", "body"):
-        return None
-    names = set(words_of(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+        return None, False
+    names = set(words_of(STATES.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")))
     role = attrs.get("role", "").lower()
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))
-    if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or names & NOISE_WORDS:
-        return 0.0
+    if tag in NOISE_TAGS or role in NOISE_ROLES or hidden:
+        return 0.0, False
+    main = tag in MAIN or role in ("main", "article")
+    if main and not in_article:
+        return 1.0, bool(names & READER_WORDS)
+    if names & NOISE_WORDS or tag in PRIOR_TAGS or role in PRIOR_ROLES:
+        return PRIOR, bool(names & READER_WORDS)
     if not in_main and (tag == "header" or names & HEADER_WORDS):
-        return 0.0
-    return 1.0 if tag in MAIN or role in ("main", "article") else None
+        return PRIOR, False
+    return 1.0 if main else None, False
+
+
+def standing(stack: list[Element]) -> tuple[bool, bool, tuple[Element, ...]] | None:
+    """If text is in a main element, if another one is preferred, and what stands against it; None for what never is content."""
+    in_main = in_article = other = never = False
+    against: list[Element] = []
+    for e in stack:
+        if e.fixed == 1.0:
+            other |= never or any(x.readers for x in against)
+            in_main, in_article, never = True, in_article or e.article, False
+            against.clear()
+        elif in_article and e.fixed is not None or e.tag in RAW:
+            return None
+        elif e.fixed == PRIOR:
+            against.append(e)
+        elif e.fixed == 0.0:
+            never = True
+    return None if never else (in_main, other, tuple(against))
 
 
 def parse(host: str, text: str | None) -> Page:
@@ -131,11 +173,11 @@ def parse(host: str, text: str | None) -> Page:
     def flush() -> None:
         if not words:
             return
-        block = "" if any(e.fixed == 0.0 for e in stack) else " ".join("".join(words).split())
+        found = standing(stack)
+        block = "" if found is None else " ".join("".join(words).split())
         words.clear()
         if block:
-            nodes = tuple(e for e in stack if e.judged)
-            page.blocks.append((block, nodes, any(e.fixed == 1.0 for e in stack)))
+            page.blocks.append((block, tuple(e for e in stack if e.judged), *found))
 
     def close() -> None:
         gone = stack.pop()
@@ -181,9 +223,9 @@ def parse(host: str, text: str | None) -> Page:
                 close()
         attrs = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(match[3] or match[6] or "")}
         in_main = any(e.fixed == 1.0 for e in stack)
-        fixed = role_of(name, attrs, in_main)
+        fixed, readers = role_of(name, attrs, in_main, any(e.article for e in stack))
         marks = sorted(words_of(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
-        judged = fixed is None and (bool(marks) or (name in BLOCKS and name not in PLAIN))
+        judged = fixed in (None, PRIOR) and (bool(marks) or (name in BLOCKS and name not in PLAIN))
         key = ".".join([name, *marks])
         path = number(stack[-1].path if stack else root, key, fixed)
         if name in RAW and not any(e.fixed == 0.0 for e in stack):
@@ -194,7 +236,7 @@ def parse(host: str, text: str | None) -> Page:
                 seen.append(key)
         if (match[3] or match[6] or "").endswith("/") and name not in BLOCKS:
             continue
-        stack.append(Element(name, key, path, fixed, judged, len(page.blocks)))
+        stack.append(Element(name, key, path, fixed, readers, fixed == 1.0 and "article" in (name, attrs.get("role", "").lower()), judged, len(page.blocks)))
         if name in TEXTUAL:
             skip = name
     if not skip and at < len(text):
@@ -207,10 +249,14 @@ def parse(host: str, text: str | None) -> Page:
 
 def main_text(page: Page, low: frozenset[int] | set[int]) -> str:
     """The blocks outside low branches; only those of main elements, if it has any with text."""
-    kept = [(b, in_main) for b, nodes, in_main in page.blocks if not any(e.mark in low for e in nodes)]
-    if any(m for _, m in kept):
-        kept = [x for x in kept if x[1]]
-    return "\n\n".join(b for b, _ in kept)
+    left = [x for x in page.blocks if not any(e.mark in low for e in x[1])]
+    share: Counter[int] = Counter()
+    for block, _, _, _, against in left:
+        share.update({id(e): len(block) for e in against if not e.readers})
+    half = sum(len(x[0]) for x in left) / 2
+    kept = [x for x in left if all(share[id(e)] and share[id(e)] >= half for e in x[4])]
+    sure = [x for x in kept if x[2] and not x[3]]
+    return "\n\n".join(x[0] for x in sure or [x for x in kept if x[2]] or kept)
 
 
 def host_of(url: Column) -> Column:
@@ -228,7 +274,7 @@ def page_nodes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
             out: list[tuple] = []
             for page_id, host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = parse(host, text)
-                own = number(*(b[0] for b in page.blocks))
+                own = number(*([b[0] for b in page.blocks if not b[4]] or [b[0] for b in page.blocks]))
                 paths: set[int] = set()
                 for node in dict.fromkeys(page.nodes):
                     out.append((page_id, own, *node, int(node[0] not in paths)))
