@@ -52,6 +52,57 @@ def test_license_rules(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_notices_in_wrapped_lines(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    apache = """Copyright 2020 Someone
+Licensed under the Apache License,
+Version 2.0 (the "License");
+you may not use this file except in compliance
+with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from it.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+    gpl = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    notices = [mit, apache, bsd, gpl.format(";", ";", 2), gpl.format(":", ",", 3), gpl.format(";", ";", 2).replace("\n", " ")]
+    rows = [(10 * i + j, f"Some words\n\n{t}\n\nMore") for i, n in enumerate(notices) for j, t in enumerate([n, "/*\n" + "\n".join(f" * {x}" for x in n.split("\n")) + "\n */"])]
+    rows += [(100, "SPDX-License-Identifier: MIT\nint main"), (101, "Released under the MIT License\nby Someone"), (102, "Released\nunder the MIT\r\nLicense\nby Someone")]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, want in enumerate(["MIT", "Apache-2.0", "BSD-3", "GPL-2", "GPL-3", "GPL-2"]):
+        assert got[10 * i] == got[10 * i + 1] == (want, ""), i
+    assert [got[i] for i in (100, 101, 102)] == [("SPDX-mit", ""), ("MIT", ""), ("MIT", "")]
+
+
 def test_every_license_sentence_has_a_hint():
     import re
 

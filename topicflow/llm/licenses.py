@@ -1,7 +1,8 @@
 """Licence recognition by sentences and rules, on the JVM only.
 
 A text is cut into sentences, which are normalised (ASCII lower case, letters and digits separated by one
-blank). Known sentences are mapped to identifiers, a version being part of it (``GPLGrant:3``). Ordered rules
+blank). What is no known line by itself is read on over single line ends, with comment marks, until the sentence
+or paragraph ends; a sentence may begin and end at any line of it. Known sentences are mapped to identifiers, a version being part of it (``GPLGrant:3``). Ordered rules
 then look for sequences of identifiers: where one matches, its licence is noted and its identifiers are used
 up, so that later, weaker rules don't see them. Identifiers that no rule used are reported too.
 
@@ -14,10 +15,18 @@ recognised; other columns are kept, those with the name of a result column repla
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"\n|[.!?;]+([ \t\n\r\f]+|\z)"
+LINE, END, KNOWN = "\x01", "\x02", "\x03"
+OTHER = "[^a-z0-9]+"
+EMPTY_LINE = r"\n[^a-z0-9\n]*(?=\n)"
+# a semicolon inside the notices of the GPL
+INNER = rf";(?=[^a-z0-9\x02]+(?:you{OTHER}can{OTHER}redistribute|either{OTHER}version))"
+SENTENCE_END = r"[.!?;]+([ \t\n\r\f\x01\x02]+|\z)"
 HINT = "licen[sc]e|(?:released|distributed) under|provided by|permission|redistribut|warrant|liable|public domain|spdx|neither the name"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 VERSION = r"(?:v|version)? ?(\d+(?: \d+)*)"
@@ -86,15 +95,23 @@ def rule_pattern(ids: list[str]) -> str:
     return "".join(f"<{i}([^>]*)>" if i.endswith(":") else f"<{i}>" for i in ids)
 
 
-def identifier(sentence: Column) -> Column:
-    """``<Id>`` or ``<Id:version>`` of a normalised sentence, null for an unknown one."""
+def wrapped(pattern: str) -> str:
+    """The pattern for normalised lines: whole lines of a paragraph, blanks being line ends too (not inside versions)."""
+    tail = "" if pattern.endswith(".*") else "$"
+    return "(?ms)^" + re.sub(r" (?!\\d)", r"[ \\n]", pattern.removesuffix(".*")) + tail
+
+
+def identifier(sentence: Column, lines: bool = False) -> Column:
+    """``<Id>`` or ``<Id:version>`` of a normalised sentence, null for an unknown one; ``lines``: of several lines."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        whole = f"^{pattern}$"
+        if lines and name == "SPDX":  # a tag, it ends with its line
+            continue
+        whole = wrapped(pattern) if lines else f"^{pattern}$"
         value = F.lit(f"<{name}>")
         if _groups(pattern):
             version = F.regexp_extract(sentence, whole, 1)
-            value = F.when(version == "", value).otherwise(F.concat(F.lit(f"<{name}:"), F.translate(version, " ", "."), F.lit(">")))
+            value = F.when(version == "", value).otherwise(F.concat(F.lit(f"<{name}:"), F.translate(version, " \n", ".."), F.lit(">")))
         out = F.when(sentence.rlike(whole), value).otherwise(out)
     return out
 
@@ -110,12 +127,24 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, UPPER.lower()), "[^a-z0-9]+", " "))
 
 
+def normalised_lines(sentence: Column) -> Column:
+    lines = F.regexp_replace(sentence, f"[^a-z0-9{LINE}]+", " ")
+    return F.trim(F.regexp_replace(lines, f" ?{LINE} ?", "\n"))
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``licenses``, ``license_sentences`` and ``unmatched`` (identifiers), as joined strings."""
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower())
-    parts = F.when(lower.rlike(HINT), F.split(lower, SPLIT)).otherwise(F.array())
-    hinted = F.filter(parts, lambda s: s.rlike(HINT))
-    ids = F.array_join(F.array_compact(F.transform(hinted, lambda s: identifier(normalised(s)))), "")
+    marked = F.translate(lower, LINE + END + KNOWN, "   ")
+    for pattern, mark in ((EMPTY_LINE, END), (INNER, LINE), (SENTENCE_END, END)):
+        marked = F.regexp_replace(marked, pattern, mark)
+    hint = HINT.replace(" ", OTHER)
+    parts = F.when(lower.rlike(hint), F.split(F.translate(marked, "\n", LINE), rf"(?<=[{LINE}{END}])")).otherwise(F.array())
+    alone = lambda s: F.when(s.rlike(HINT), F.concat(F.lit(END + KNOWN), identifier(normalised(s)), F.lit(END)))
+    rest = F.split(F.array_join(F.transform(parts, lambda s: F.coalesce(alone(s), s)), ""), END)
+    some = F.filter(rest, lambda s: s.startswith(KNOWN) | (s.contains(LINE) & s.rlike(hint)))
+    known = lambda s: F.when(s.startswith(KNOWN), F.substring(s, 2, 1 << 30)).otherwise(identifier(normalised_lines(s), True))
+    ids = F.array_join(F.array_compact(F.transform(some, known)), "")
     out = docs.withColumn("_ids", ids).withColumn("_rest", F.col("_ids")).withColumn("_found", F.array().cast("array<string>"))
     for license_name, sequence in RULES:
         pattern = rule_pattern(sequence)
@@ -132,7 +161,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def license_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The same recognition as one DuckDB statement."""
+    """The recognition of sentences on one line as one DuckDB statement; it does not read on over line ends."""
     case = []
     for name, pattern in SENTENCES:
         value = f"'<{name}>'"
