@@ -225,6 +225,25 @@ def test_nearest_neighbours(spark):
     assert crosspolytope.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_short_queries_get_all_candidates(spark):
+    x = np.random.default_rng(31).standard_normal((4, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (3, x[3].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for few in (1, 2, 4):
+        got = crosspolytope.search(table.where(F.col("vec_id") < few), F.lit(True)).collect()
+        assert len(got) == few * (few - 1) and {(r.query_id, r.vec_id) for r in got} == {(a, b) for a in range(few) for b in range(few) if a != b}
+    # rows that share few of the probed axes: still five each, and the nearest of all for those that met fewer
+    x = np.random.default_rng(32).standard_normal((40, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in crosspolytope.search(table, F.col("vec_id") < 20, probes=1).collect():
+        found[r.query_id].append((r["rank"], r.vec_id))
+    for q in range(20):
+        near = [i for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+        assert sorted(found[q]) == [(j + 1, i) for j, i in enumerate(near)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(11).standard_normal((7, 48))
     turned = crosspolytope.rotated(x, 3)
