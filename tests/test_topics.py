@@ -136,3 +136,11 @@ def test_topics_json(spark, tmp_path):
     artifacts.write_topics(table, str(tmp_path))
     rows = artifacts.read_topics_json(spark, str(tmp_path / "topics_json")).orderBy("cluster_id").collect()
     assert [(r["cluster_id"], r["label"], r["top_words"]) for r in rows] == [(0, "cluster_0", ["c"]), (1, "cluster_1", ["б", "a"])]
+
+
+def test_coherence_empty_tasks(spark):
+    # most of the 20 tasks hold no row, and some rows hold no topic word
+    few = spark.createDataFrame([(0, "a b c"), (1, "a b"), (2, "zz")], "doc_id int, text string").repartition(20)
+    table = spark.createDataFrame([(0, 1, "a", 1.0), (0, 2, "b", 1.0)], "cluster_id int, rank int, word string, score double")
+    got = coherence.coherence_cv(few, "doc_id", tx.space_tokens(F.col("text")), table, window=5).first()[0]
+    assert got == pytest.approx(brute_cv([["a", "b", "c"], ["a", "b"], ["zz"]], [["a", "b"]], 5), abs=1e-9)

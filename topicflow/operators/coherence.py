@@ -75,8 +75,16 @@ def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFra
                 known = keys[at] == wanted
                 np.add.at(totals, at[known], common[i, j][known].astype(np.int64))
         some = np.flatnonzero(totals)
+        if not len(some):  # an empty task (or one without topic words) adds nothing
+            return
         a, b = keys[some] // len(words), keys[some] % len(words)
-        yield pd.DataFrame({"word_a": [words[x] for x in a], "word_b": [words[x] for x in b], "n": totals[some]})
+        yield pd.DataFrame(
+            {
+                "word_a": pd.Series([words[x] for x in a], dtype=object),
+                "word_b": pd.Series([words[x] for x in b], dtype=object),
+                "n": totals[some],
+            }
+        )
 
     partial = pruned.mapInPandas(count, "word_a string, word_b string, n bigint")
     return partial.groupBy("word_a", "word_b").agg(F.sum("n").alias("n"))
