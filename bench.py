@@ -87,13 +87,18 @@ def main() -> None:
         spark__checkpoint__dir=os.environ.get("BENCH_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="topicflow-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    seconds, failed = {}, {}
     small = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")
     for name in names:
         for path in (small, sf):
             if os.path.isdir(path):
                 start = time.time()
-                QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
+                try:
+                    QUERIES[name](spark, path).write.format("noop").mode("overwrite").save()
+                except Exception as error:  # recorded, and the other queries still run
+                    seconds.pop(name, None)
+                    failed[name] = f"{type(error).__name__}: {str(error)[:300]}"
+                    break
                 seconds[name] = round(time.time() - start, 3)
     batch_seconds = micro_batch(spark)
     result = {
@@ -103,6 +108,7 @@ def main() -> None:
         "queries": seconds,
         "sf": sf.rstrip("/").rsplit("sf", 1)[-1],
         "micro_batch_32_seconds": batch_seconds,
+        "failed": failed,
     }
     if "assign_topics" in seconds:
         scored = table(spark, sf, "embeddings").count()
