@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, minhash, packing, sitetree, toxicity
+from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, minhash, packing, resample, sitetree, toxicity
 from topicflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op10_site_style_tree(spark, sf):
     pages = sitetree.extract_pages(read(spark, sf, "pages").select("page_id", "url", "html"))
     text = F.col("main_text")
     return pages.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
+@query
+def op13_importance_resampling(spark, sf):
+    drawn = resample.resample(read(spark, sf, "documents"), read(spark, sf, "benchmark"), share=25, min_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
