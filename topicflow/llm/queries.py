@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, minhash, packing, resample, sitetree, toxicity
+from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, merkle, minhash, packing, resample, sitetree, toxicity
 from topicflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op10_site_style_tree(spark, sf):
 def op13_importance_resampling(spark, sf):
     drawn = resample.resample(read(spark, sf, "documents"), read(spark, sf, "benchmark"), share=25, min_words=20, seed=7)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query
+def op12_merkle_fingerprints(spark, sf):
+    found = merkle.fingerprints(read(spark, sf, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+ORACLE["op12_merkle_fingerprints"] = merkle.fingerprint_sql("documents")
