@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, merkle, minhash, packing, resample, sitetree, toxicity
+from topicflow.llm import crosspolytope, decontam, licenses, linededup, lmscore, maglev, merkle, minhash, packing, resample, sitetree, toxicity, xtok
 from topicflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op12_merkle_fingerprints(spark, sf):
 
 
 ORACLE["op12_merkle_fingerprints"] = merkle.fingerprint_sql("documents")
+
+
+@query
+def op11_xtok_alignment(spark, sf):
+    return xtok.align_documents(read(spark, sf, "documents"), a_file="byte_bpe_50k.json", b_file="piece_bpe_32k.model")
