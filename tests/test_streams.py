@@ -143,3 +143,40 @@ def test_empty_report_append(spark, tmp_path):
     empty = spark.createDataFrame([], schemas.CLUSTERING_REPORTS)
     append_reports(empty, str(tmp_path / "r"))
     assert spark.read.schema(schemas.CLUSTERING_REPORTS).parquet(str(tmp_path / "r")).count() == 0
+
+
+def test_stream_spikes_late_rows_and_history(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from topicflow.streaming import spikes
+
+    schema = "ts timestamp, event_type string"
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "spikes")
+    day = lambda d, h=12: datetime(2024, 1, d, h)
+
+    def land_rows(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+
+    # topic a: 2, 2, 3, 2, 2 then 9 events a day; topic b once; a null topic
+    counts = {1: 2, 2: 2, 3: 3, 4: 2, 5: 2, 6: 9}
+    for d, n in counts.items():
+        land_rows([(day(d), "a")] * (n - (1 if d == 4 else 0)) + ([(day(d), "b")] if d == 2 else []) + ([(day(d), None)] if d == 3 else []))
+        if d == 5:
+            land_rows([(day(4, 1), "a")])  # a day late, within the two days of delay: counted
+    land_rows([(day(1, 2), "a")])  # five days late, behind the watermark: dropped
+    for extra in (30, 31):
+        land_rows([(day(6) + timedelta(days=extra), spikes.END)])
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    spikes.run_alerts(source, root, "ts", "event_type", "1 day", "2 days", history=7, sigmas=1.5)
+    key = lambda r: (r[0], r[1] or "")
+    got = sorted(
+        ((r.start.day, r.topic, r.n, r.is_spike, r.sd is None) for r in spark.read.parquet(f"{root}/alerts").collect()), key=key
+    )
+    # the batch report over the same events, without the row behind the watermark
+    from topicflow.operators import analytics
+
+    rows = [(day(d), "a") for d, n in counts.items() for _ in range(n)] + [(day(2), "b"), (day(3), None)]
+    batch = analytics.topic_spikes(analytics.topic_dynamics(spark.createDataFrame(rows, schema), "ts", "event_type"), sigmas=1.5)
+    want = sorted(((r.start.day, r.topic, r.n, r.is_spike, r.sd is None) for r in batch.collect()), key=key)
+    assert got == want
+    assert [r[0] for r in got if r[3]] == [3, 6]

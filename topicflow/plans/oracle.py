@@ -418,3 +418,4 @@ ORACLE: dict[str, str] = {
             CASE WHEN known AND label <> 5 THEN cluster END AS cluster_id,
             CASE WHEN label = 5 THEN NULL WHEN known THEN tlabel ELSE 'unknown' END AS cluster_label FROM reports""",
 }
+ORACLE["stream_spikes"] = ORACLE["topic_spikes"]

@@ -724,6 +724,34 @@ def topic_spikes(spark, sf):
     )
 
 
+@query
+def stream_spikes(spark, sf):
+    """``topic_spikes`` from a stream: events land day by day in the order they arrive, a tenth of them
+    up to 36 hours late; watermarked window counts and per-topic history in a state store flag them."""
+    from topicflow.streaming import spikes
+
+    root = scratch_path(spark, "spikes")
+    events = timed(spark, sf)
+    late = F.when(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0, F.pmod(F.xxhash64(F.lit(1), "event_id"), F.lit(36 * 3600)))
+    arrival = F.floor((F.unix_seconds("ts") + F.coalesce(late, F.lit(0))) / 86400)
+    landed = events.withColumn("_arrival", arrival)
+    # one landing write per arrival day (a bounded number: days of the table), in order
+    days = sorted(r[0] for r in landed.select("_arrival").distinct().where("_arrival IS NOT NULL").collect())
+    for d in days:
+        landed.where(F.col("_arrival") == d).drop("_arrival").write.mode("append").parquet(f"{root}/landing")
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        # two files after the last day close every window (the second batch emits them)
+        for extra in (30, 31):
+            spikes.end_marker(spark, events.schema, "ts", "event_type", F.lit(last) + F.expr(f"INTERVAL {extra} DAYS")).write.mode(
+                "append"
+            ).parquet(f"{root}/landing")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    spikes.run_alerts(source, root, "ts", "event_type", "1 day", "2 days", history=7, sigmas=1.5)
+    alerts = spark.read.schema(spikes.ALERTS).parquet(f"{root}/alerts")
+    return alerts.select(day(), "topic", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "is_spike")
+
+
 @query
 def batch_summary(spark, sf):
     """User sessions per day as batches: events are its rows, value its seconds."""
