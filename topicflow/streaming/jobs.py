@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicflow import schemas
 from topicflow.operators import assign, ingest, store
+from topicflow.operators.idindex import IdIndex
 from topicflow.session import fetch_bounded, stored_table
 from topicflow.sources.tables import drop_batch, read_table, write_batch
 
@@ -70,10 +71,10 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
     spark = messages.sparkSession
     parsed = ingest.parse_messages(messages).persist()
     try:
-        stored = read_table(spark, tables.incoming_news, schemas.INCOMING_NEWS)
+        index = news_index(spark, tables)
         valid, rejected = ingest.split_valid(parsed)
-        earlier = stored.where(F.col("batch_id") != batch_id).select("external_id")
-        earlier = ingest.known_ids(valid, earlier).persist()
+        # only the index folders of the batch's id buckets are opened, not the whole store
+        earlier = index.lookup(valid, "external_id", exclude_batch=batch_id).persist()
         now = F.lit(datetime.now(timezone.utc))
         fresh = ingest.to_incoming_news(ingest.new_news(valid, earlier), now)
         write_batch(rejected, tables.rejected_messages, batch_id)
@@ -81,12 +82,23 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
         fresh.persist()
         write_batch(store.status_entries(fresh.select("id"), schemas.NEW, now), tables.status_new, batch_id)
         write_batch(fresh, tables.incoming_news, batch_id)
+        index.add(fresh, "external_id", batch_id)
         fresh.unpersist()
         earlier.unpersist()
     finally:
         parsed.unpersist()
 
 
+def news_index(spark: SparkSession, tables: Tables) -> IdIndex:
+    """The external-id index of ``incoming_news``, built once from the store if it has none yet."""
+    index = IdIndex(spark, tables.news_id_index)
+    if not index.exists():
+        stored = read_table(spark, tables.incoming_news, schemas.INCOMING_NEWS)
+        if not stored.isEmpty():
+            index.build(stored, "external_id")
+    return index
+
+
 def ingest_stream(
     messages: DataFrame, tables: Tables, checkpoint: str, interval: str | None = "1 second"
 ) -> StreamingQuery:
