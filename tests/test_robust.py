@@ -177,3 +177,40 @@ def test_numpy_ids_stay_ordered():
 
     edges = star_edges(np.array(["c", "a"]), np.array(["b"]), np.array([[True], [True]]))
     assert sorted(map(tuple, edges.to_numpy())) == [("b", "a"), ("c", "a")]
+
+
+@pytest.mark.parametrize("crash_after", [0, 1, 3])
+def test_compaction_survives_a_crash(spark, tmp_path, monkeypatch, crash_after):
+    from topicflow.sources import tables as tb
+
+    path = str(tmp_path / "t")
+    for i in range(5):
+        write_batch(spark.createDataFrame([(f"o{i}", i)], schemas.INGEST_LOG), path, i)
+    real, calls = tb.drop_batch, []
+
+    def dying(spark_, path_, batch_id):
+        if len(calls) == crash_after:
+            raise RuntimeError("lost the driver")
+        calls.append(batch_id)
+        real(spark_, path_, batch_id)
+
+    monkeypatch.setattr(tb, "drop_batch", dying)
+    with pytest.raises(RuntimeError):
+        compact_batches(spark, path, schemas.INGEST_LOG, 4)
+    monkeypatch.setattr(tb, "drop_batch", real)
+    # the marker was committed, so the next reader finishes the compaction: every row once
+    got = read_table(spark, path, schemas.INGEST_LOG).collect()
+    assert sorted((r["outcome"], r["n"], r["batch_id"]) for r in got) == [(f"o{i}", i, max(i, 3)) for i in range(5)]
+    assert compact_batches(spark, path, schemas.INGEST_LOG, 4) == 0
+
+
+def test_compaction_crash_before_commit(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(3):
+        write_batch(spark.createDataFrame([(f"o{i}", i)], schemas.INGEST_LOG), path, i)
+    # staged rows without a marker: an attempt that died before its commit changes nothing
+    read_table(spark, path, schemas.INGEST_LOG).drop("batch_id").write.parquet(f"{path}-staged-3")
+    assert read_table(spark, path, schemas.INGEST_LOG).count() == 3
+    assert compact_batches(spark, path, schemas.INGEST_LOG, 3) == 3
+    got = read_table(spark, path, schemas.INGEST_LOG).collect()
+    assert sorted((r["outcome"], r["batch_id"]) for r in got) == [("o0", 2), ("o1", 2), ("o2", 2)]
