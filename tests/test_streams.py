@@ -180,3 +180,35 @@ def test_stream_spikes_late_rows_and_history(spark, tmp_path):
     want = sorted(((r.start.day, r.topic, r.n, r.is_spike, r.sd is None) for r in batch.collect()), key=key)
     assert got == want
     assert [r[0] for r in got if r[3]] == [3, 6]
+
+
+def test_status_snapshot_and_tail(spark, tmp_path):
+    from topicflow.operators.statuslog import StatusLog
+
+    tables = jobs.Tables(str(tmp_path / "t"))
+    news = setup_news(spark, tables, ["abc", "abcd", None, "abcde"])
+    stamp = F.lit("2024-01-02").cast("timestamp")
+    write_batch(store.status_entries(spark.createDataFrame([("id9",)], "id string"), "new", stamp), tables.status_new, 1)
+    metadata(spark, tables.topic_metadata, "zero")
+    meta = spark.read.parquet(tables.topic_metadata)
+    jobs.score_batch(news.where("id IN ('id0', 'id2')"), 0, tables, by_length, 0.5, meta)
+    before = final(spark, tables)
+    # scoring batches up to 0 and ingest batches up to 0 go into the snapshot; ingest batch 1 stays in the tail
+    assert jobs.snapshot_status(spark, tables, 0) == 1
+    log = StatusLog(spark, tables.status_new, tables.status_scored, tables.status_base)
+    assert log.pointer() == {"gen": 1, "new_upto": 0, "scored_upto": 0}
+    assert final(spark, tables) == before
+    # the snapshot holds one row per id; a batch reads only its ids' buckets and the tail
+    assert log._base(log.pointer()).groupBy("id").count().where("count > 1").count() == 0
+    assert sorted(r["id"] for r in log.entries_for(spark.createDataFrame([("id1",), ("id9",)], "id string")).collect()) == ["id1", "id9"]
+    # scoring after the snapshot claims only what is still new; a replay of it changes nothing
+    for _ in range(2):
+        jobs.score_batch(news, 1, tables, by_length, 0.5, meta)
+    assert final(spark, tables) == {
+        "id0": ("processed", None), "id1": ("processed", None), "id2": ("failed", "title is null"),
+        "id3": ("processed", None), "id9": ("new", None),
+    }
+    assert read_table(spark, tables.clustering_reports, schemas.CLUSTERING_REPORTS).count() == 3
+    # a second snapshot replaces the first; the state stays the same
+    assert jobs.snapshot_status(spark, tables, 1) == 2
+    assert final(spark, tables)["id3"] == ("processed", None) and log.pointer()["gen"] == 2

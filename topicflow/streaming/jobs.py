@@ -20,8 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from topicflow import schemas
 from topicflow.operators import assign, ingest, store
 from topicflow.operators.idindex import IdIndex
+from topicflow.operators.statuslog import StatusLog
 from topicflow.session import fetch_bounded, stored_table
-from topicflow.sources.tables import drop_batch, read_table, write_batch
+from topicflow.sources.tables import _batches, drop_batch, read_table, write_batch
 
 Scorer = Callable[[DataFrame], DataFrame]
 HELD_TOPICS = 100_000
@@ -132,11 +133,21 @@ def _load_metadata(spark: SparkSession, path: str, last_good: dict) -> DataFrame
     return last_good["df"]
 
 
+def status_log(spark: SparkSession, tables: Tables) -> StatusLog:
+    return StatusLog(spark, tables.status_new, tables.status_scored, tables.status_base)
+
+
 def read_status(spark: SparkSession, tables: Tables) -> DataFrame:
-    """The status log: entries of ingest (``new``) and of scoring."""
-    born = read_table(spark, tables.status_new, schemas.NEWS_STATUS)
-    scored = read_table(spark, tables.status_scored, schemas.NEWS_STATUS)
-    return born.withColumn("batch_id", F.lit(None).cast("bigint")).unionByName(scored)
+    """The status log: the last snapshot's entries (latest per id) and the entries of ingest
+    (``new``) and of scoring after it."""
+    return status_log(spark, tables).entries()
+
+
+def snapshot_status(spark: SparkSession, tables: Tables, scored_upto: int) -> int:
+    """Fold the status logs into a new snapshot: scoring batches up to ``scored_upto`` and every
+    ingest batch but the last (which may still be replayed)."""
+    born = _batches(spark, tables.status_new)
+    return status_log(spark, tables).snapshot(born[-2] if len(born) > 1 else -1, scored_upto)
 
 
 def score_batch(
@@ -159,8 +170,8 @@ def score_batch(
     started = time.monotonic()
     now = F.lit(datetime.now(timezone.utc))
     rows = news.dropDuplicates(["id"])
-    log = read_status(spark, tables).where(F.col("batch_id").isNull() | (F.col("batch_id") != batch_id))
-    log = ingest.known_ids(rows, log, "id")
+    # the snapshot's folders of these ids' buckets and the log batches after it, not the whole log
+    log = status_log(spark, tables).entries_for(rows, "id", exclude_scored=batch_id)
     claim = store.status_entries(rows.select("id"), schemas.PROCESSING, now, log=log).persist()
     claimed = rows.join(claim.select("id"), "id", "left_semi").persist()
     scored = None
@@ -217,13 +228,17 @@ def score_stream(
     threshold: float | None = None,
     text_col: str = "title",
     interval: str | None = "30 seconds",
+    snapshot_every: int | None = 100,
 ) -> StreamingQuery:
     """New news → topic → ``clustering_reports`` and the status log. Metadata is
-    read again for every micro-batch."""
+    read again for every micro-batch; every ``snapshot_every`` batches the status
+    log is folded into a snapshot, so a batch's reads stay short."""
     last_good: dict = {}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         metadata = _load_metadata(batch.sparkSession, tables.topic_metadata, last_good)
         score_batch(batch, batch_id, tables, scorer, threshold, metadata, text_col)
+        if snapshot_every and (batch_id + 1) % snapshot_every == 0:
+            snapshot_status(batch.sparkSession, tables, batch_id - 1)
 
     return _start(news, run, checkpoint, interval)
