@@ -107,3 +107,13 @@ def test_fragment_monoid():
 
 def test_align_empty(spark):
     assert xtok.align_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rank_file_encodes_like_the_tokenizer():
+    import duckdb
+
+    a = xtok.Aligner()
+    assert a.fast_a is not None
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    for text in texts + TEXTS:
+        assert a.fast_a.encode_ordinary(" " + text) == a.a.encode(" " + text, add_special_tokens=False).ids

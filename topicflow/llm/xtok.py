@@ -29,11 +29,13 @@ empty results.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,16 +123,37 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> list[str]:
     return pieces
 
 
+def _same_ranks(public_tokenizers, a_file: str):
+    """tiktoken over the same vocabulary as ``a_file`` (its ``.tiktoken`` rank file, special strings as
+    plain text), which encodes to the same ids several times faster; None without that file."""
+    import base64
+    import pathlib
+
+    import tiktoken
+
+    if not a_file.endswith(".json"):
+        return None
+    ranks_file = pathlib.Path(str(public_tokenizers.path(a_file))).with_suffix(".tiktoken")
+    if not ranks_file.exists():
+        return None
+    with open(ranks_file, "rb") as handle:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, handle) if token}
+    return tiktoken.Encoding(f"ranks-{a_file}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
     """Both tokenizers, read inside the task, and their tokens' bytes."""
 
     def __init__(self, a_file: str = A_FILE, b_file: str = B_FILE):
+        # a task has one core: the tokenizer's own thread pool would only contend with the other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(str(public_tokenizers.path(a_file)))
         self.a.encode_special_tokens = True
+        self.fast_a = _same_ranks(public_tokenizers, a_file)
         alphabet = byte_alphabet()
         size = self.a.get_vocab_size()
         self.bytes_a = [bytes(alphabet.get(c, 0) for c in (self.a.id_to_token(i) or "")) for i in range(size)]
@@ -146,29 +169,55 @@ class Aligner:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
         self.len_a = np.array([len(b) for b in self.bytes_a], np.int64)
         self.len_b = np.array([len(b) for b in self.bytes_b], np.int64)
+        self.bytes_a, self.bytes_b = np.array(self.bytes_a, dtype=object), np.array(self.bytes_b, dtype=object)
+        self.str_a = np.array([str(i) for i in range(len(self.bytes_a))], dtype=object)
+        self.str_b = np.array([str(i) for i in range(len(self.bytes_b))], dtype=object)
+
+    def render(self, ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3`` without a loop over groups: A's then B's tokens of each group in order,
+        each followed by its separator. Every group holds tokens of both."""
+        group = np.concatenate([group_a, group_b])
+        stream = np.concatenate([np.zeros(len(ids_a), np.int64), np.ones(len(ids_b), np.int64)])
+        order = np.argsort(group * 2 + stream, kind="stable")
+        words = np.concatenate([self.str_a[ids_a], self.str_b[ids_b]])[order]
+        g, s = group[order], stream[order]
+        nxt_g, nxt_s = np.append(g[1:], -1), np.append(s[1:], -1)
+        sep = np.full(len(order), ",", dtype=object)
+        sep[(nxt_g == g) & (nxt_s != s)] = "|"
+        sep[nxt_g != g] = ";"
+        sep[-1] = ""
+        out = np.empty(2 * len(order), dtype=object)
+        out[0::2], out[1::2] = words, sep
+        return "".join(out.tolist())
 
     def align(self, pieces: list[str]) -> list[tuple]:
         """Per piece (which starts with a space): ``(ok, a_ids, b_ids, group_of_a, group_of_b, n_groups,
         pair_keys, pair_counts)``."""
         out = []
-        encoded_a = self.a.encode_batch(pieces, add_special_tokens=False)
-        encoded_b = self.b.encode([p[1:] for p in pieces])
+        # one thread each: Spark gives every task its own core
+        if self.fast_a is not None:
+            encoded_a = [self.fast_a.encode_ordinary(p) for p in pieces]
+        else:
+            encoded_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        encoded_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
         for piece, ea, ids_b in zip(pieces, encoded_a, encoded_b):
-            ids_a = np.array(ea.ids, np.int64)
+            ids_a = np.array(ea, np.int64)
             ids_b = np.array(ids_b, np.int64)
             raw = piece.encode()
             ok = (
                 len(ids_a) > 0
                 and len(ids_b) > 0
-                and b"".join([self.bytes_a[i] for i in ids_a.tolist()]) == raw
-                and b"".join([self.bytes_b[i] for i in ids_b.tolist()]) == raw
+                and b"".join(self.bytes_a[ids_a].tolist()) == raw
+                and b"".join(self.bytes_b[ids_b].tolist()) == raw
             )
             if not ok:
                 out.append((False, None, None, None, None, 0, None, None))
                 continue
             end_a, end_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
             start_a, start_b = end_a - self.len_a[ids_a], end_b - self.len_b[ids_b]
-            cuts = np.intersect1d(end_a, end_b)
+            # both ends ascend strictly: the common ones by one search
+            at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+            cuts = end_a[end_b[at] == end_a]
             group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
             # B tokens over an A token: from the first ending after its start to the last starting before its end
             lo = np.searchsorted(end_b, start_a, side="right")
@@ -180,17 +229,13 @@ class Aligner:
             partner = first + np.arange(len(who))
             keep = end_b[partner] > start_b[partner]  # empty B tokens link with nothing
             keys = (ids_a[who[keep]] << B_BITS) | ids_b[partner[keep]]
-            pair_keys, pair_counts = np.unique(keys, return_counts=True)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            pair_keys, pair_counts = keys[first], np.diff(np.append(first, len(keys)))
             out.append((True, ids_a, ids_b, group_a, group_b, len(cuts), pair_keys, pair_counts))
         return out
 
 
-def _groups(ids_a, ids_b, group_a, group_b, n) -> list[tuple[list[int], list[int]]]:
-    cut_a = np.searchsorted(group_a, np.arange(1, n))
-    cut_b = np.searchsorted(group_b, np.arange(1, n))
-    return [(a.tolist(), b.tolist()) for a, b in zip(np.split(ids_a, cut_a), np.split(ids_b, cut_b))]
-
-
 FRAGMENTS = (
     "_row long, doc_id long, seg int, n_segs int, ok boolean, n_a long, n_b long, n_groups long, "
     "groups string, groups_sha256 string, pair_keys array<long>, pair_counts array<long>, piece string"
@@ -201,23 +246,37 @@ def _fragment_rows(aligner: Aligner, rows: list[tuple], pieces: list[str]) -> di
     cols = {name: [] for name in ("_row", "doc_id", "seg", "n_segs", "ok", "n_a", "n_b", "n_groups", "groups", "groups_sha256", "pair_keys", "pair_counts", "piece")}
     for (row, doc, seg, n_segs), found in zip(rows, aligner.align(pieces)):
         ok, ids_a, ids_b, group_a, group_b, n, keys, counts = found
-        text = render(_groups(ids_a, ids_b, group_a, group_b, n)) if ok else ""
+        text = aligner.render(ids_a, ids_b, group_a, group_b) if ok else ""
         single = n_segs == 1
         for name, value in (
             ("_row", row), ("doc_id", doc), ("seg", seg), ("n_segs", n_segs), ("ok", ok),
             ("n_a", len(ids_a) if ok else 0), ("n_b", len(ids_b) if ok else 0), ("n_groups", n),
             ("groups", None if single else text),
             ("groups_sha256", (hashlib.sha256(text.encode()).hexdigest() if ok else "") if single else None),
-            ("pair_keys", keys.tolist() if ok else []), ("pair_counts", counts.tolist() if ok else []), ("piece", None),
+            ("pair_keys", keys if ok else NONE), ("pair_counts", counts if ok else NONE), ("piece", None),
         ):
             cols[name].append(value)
     return cols
 
 
+NONE = np.zeros(0, np.int64)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; lists of int64 come from numpy arrays (None: a null list) without Python ints."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    sizes = np.array([0 if v is None else len(v) for v in values], np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    flat = np.concatenate([v for v in values if v is not None]) if any(v is not None for v in values) else NONE
+    mask = pa.array([v is None for v in values])
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()), mask=mask)
+
+
 def _empty_row(cols: dict[str, list], row, doc) -> None:
     for name, value in (
         ("_row", row), ("doc_id", doc), ("seg", 0), ("n_segs", 1), ("ok", False), ("n_a", 0), ("n_b", 0),
-        ("n_groups", 0), ("groups", None), ("groups_sha256", ""), ("pair_keys", []), ("pair_counts", []), ("piece", None),
+        ("n_groups", 0), ("groups", None), ("groups_sha256", ""), ("pair_keys", NONE), ("pair_counts", NONE), ("piece", None),
     ):
         cols[name].append(value)
 
@@ -261,7 +320,7 @@ def fragments(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_file:
                     for name, values in _fragment_rows(aligner, todo_rows, todo).items():
                         cols[name].extend(values)
                 if cols["_row"]:
-                    yield pa.record_batch([pa.array(cols[n], schema.field(n).type) for n in schema.names], schema=schema)
+                    yield pa.record_batch([_column(cols[n], schema.field(n).type) for n in schema.names], schema=schema)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_file, b_file)
@@ -270,7 +329,7 @@ def fragments(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_file:
             pieces = batch.column(4).to_pylist()
             for at in range(0, len(pieces), 8):
                 cols = _fragment_rows(aligner, meta[at : at + 8], pieces[at : at + 8])
-                yield pa.record_batch([pa.array(cols[n], schema.field(n).type) for n in schema.names], schema=schema)
+                yield pa.record_batch([_column(cols[n], schema.field(n).type) for n in schema.names], schema=schema)
 
     source = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
@@ -324,18 +383,22 @@ def link_sums(frags: DataFrame, stats: DataFrame) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts, best = shared.value
             for batch in batches:
-                links, bests, sums = [], [], []
-                for pk, pc in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    pk, pc = np.array(pk or [], np.int64), np.array(pc or [], np.int64)
-                    at = np.minimum(np.searchsorted(keys, pk), max(len(keys) - 1, 0))
-                    # keys of a document whose other segments failed are not counted (and it is zeroed)
-                    known = keys[at] == pk if len(keys) else np.zeros(len(pk), bool)
-                    pc, at = pc[known], at[known]
-                    links.append(int(pc.sum()))
-                    bests.append(int(pc[best[at]].sum()))
-                    sums.append(int((pc * counts[at]).sum()))
+                n = batch.num_rows
+                pk = pc.list_flatten(batch.column(2)).to_numpy().astype(np.int64)
+                many = pc.list_flatten(batch.column(3)).to_numpy().astype(np.int64)
+                owner = pc.list_parent_indices(batch.column(2)).to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(keys, pk), max(len(keys) - 1, 0))
+                # keys of a document whose other segments failed are not counted (and it is zeroed)
+                known = keys[at] == pk if len(keys) else np.zeros(len(pk), bool)
+                owner, many, at = owner[known], many[known], at[known]
+                top = best[at]
+
+                def total(weights, where=None):
+                    chosen = slice(None) if where is None else where
+                    return pa.array(np.rint(np.bincount(owner[chosen], weights=weights[chosen], minlength=n)).astype(np.int64))
+
                 yield pa.record_batch(
-                    [batch.column(0), batch.column(1), pa.array(links, pa.int64()), pa.array(bests, pa.int64()), pa.array(sums, pa.int64())],
+                    [batch.column(0), batch.column(1), total(many), total(many, top), total(many * counts[at])],
                     ["_row", "seg", "n_links", "n_best", "count_sum"],
                 )
 
