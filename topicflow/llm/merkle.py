@@ -12,9 +12,9 @@ hold among the distinct leaves of either (a number from 0 to 1).
 
 ``edit_next`` pairs every document with the next one in descending doc_id (ties by text; null ids
 last; after the last comes the first) without a global window: doc ids are cut into ranges by
-quantiles, each range is one window partition, and the last row of a range takes the first row of
-the next non-empty range from a table of one row per range. A range is at most the rows of one doc id
-plus ``rows_per_range``. Repeated rows are next to each other, so each has its twin as next.
+quantiles, each range is one window partition, and the first row of the next non-empty range joins
+each range as a sentinel that sorts last. Texts cross one shuffle. A range is at most the rows of one
+doc id plus ``rows_per_range``. Repeated rows are next to each other, so each has its twin as next.
 Other columns of the input are dropped; an empty table gives an empty result.
 """
 
@@ -64,9 +64,12 @@ def changed_sections(a: Column, b: Column) -> Column:
 
 
 def edit_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000) -> DataFrame:
-    """``doc_id, text, fp`` and the next document's ``next_text, next_fp`` for every row."""
+    """``doc_id, text`` and the next document's ``next_text`` for every row; the texts cross one shuffle.
+
+    Each range's first row comes from a partial aggregate (one row per task and range reaches the
+    shuffle). The first row of the range that follows is added to a range as a sentinel that sorts
+    after its own rows, so one ``lead`` over the range finds every row's next text."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("fp", fingerprint(F.col("text")))
     n = base.count()
     ranges = max(1, math.ceil(n / rows_per_range))
     if ranges > 1:
@@ -77,25 +80,21 @@ def edit_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     # ranges ascend with doc_id; rows of null doc_id are a range of their own, visited last
     below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
     base = base.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(below))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    w = Window.partitionBy("_range").orderBy(*order)
-    marked = base.select(
-        "*", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp"), F.row_number().over(w).alias("_at")
-    )
-    firsts = marked.where("_at = 1").select("_range", F.col("text").alias("_ft"), F.col("fp").alias("_ffp"))
+    # first of a range: largest doc_id (bitwise not reverses the order without overflow), then smallest text
+    first = F.min(F.struct(F.bitwise_not("doc_id").alias("k"), "text", "doc_id")).alias("_f")
+    firsts = base.groupBy("_range").agg(first).select("_range", "_f.doc_id", "_f.text")
     # one row per range: which range follows it (the highest follows the last)
     following = firsts.select(
         "_range",
         F.coalesce(F.lead("_range").over(Window.orderBy(F.col("_range").desc())), F.max("_range").over(Window.partitionBy())).alias("_next"),
     )
-    lasts = (
-        marked.where(F.col("next_text").isNull())
-        .join(following, "_range")
-        .join(firsts.withColumnRenamed("_range", "_next"), "_next")
-        .select("doc_id", "text", "fp", F.col("_ft").alias("next_text"), F.col("_ffp").alias("next_fp"))
+    sentinels = following.join(firsts.withColumnRenamed("_range", "_next"), "_next").select(
+        "_range", "doc_id", "text", F.lit(1).alias("_sentinel")
     )
-    inner = marked.where(F.col("next_text").isNotNull()).select("doc_id", "text", "fp", "next_text", "next_fp")
-    return inner.unionByName(lasts)
+    rows = base.withColumn("_sentinel", F.lit(0)).unionByName(sentinels)
+    w = Window.partitionBy("_range").orderBy("_sentinel", F.col("doc_id").desc_nulls_last(), F.col("text").asc())
+    marked = rows.select("doc_id", "text", "_sentinel", F.lead("text").over(w).alias("next_text"))
+    return marked.where("_sentinel = 0").drop("_sentinel")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000) -> DataFrame:
@@ -106,7 +105,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", 1, (n - half).cast("int")), F.substring("next_text", 1, half))
-    out = paired.select("doc_id", n.alias("n_chars"), "fp", "next_fp", edited.alias("_edited"))
+    # fingerprints after the shuffle: only texts cross it
+    out = paired.select(
+        "doc_id", n.alias("n_chars"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("next_text")).alias("next_fp"), edited.alias("_edited")
+    )
     out = out.select("*", fingerprint(F.col("_edited")).alias("edited_fingerprint"))
     return out.select(
         "doc_id",
