@@ -419,3 +419,4 @@ ORACLE: dict[str, str] = {
             CASE WHEN label = 5 THEN NULL WHEN known THEN tlabel ELSE 'unknown' END AS cluster_label FROM reports""",
 }
 ORACLE["stream_spikes"] = ORACLE["topic_spikes"]
+ORACLE["density_pivots"] = ORACLE["density_clusters"]

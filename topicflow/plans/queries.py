@@ -31,6 +31,7 @@ from topicflow.operators import (
     store,
     topics,
 )
+from topicflow.operators import pivots
 from topicflow.plans import train
 from topicflow.session import cut_lineage, scratch_path, stored_table
 
@@ -614,6 +615,13 @@ def density_clusters(spark, sf):
     return density.density_clusters(rows, "vec_id", "embedding", EPS, min_samples=4, min_cluster_size=3)
 
 
+@query
+def density_pivots(spark, sf):
+    """``density_clusters`` with pivot balls and halos instead of a grid: the same rows."""
+    rows = table(spark, sf, "embeddings")
+    return pivots.density_clusters(rows, "vec_id", "embedding", EPS, min_samples=4, min_cluster_size=3, pivots=64)
+
+
 @query
 def density_assign(spark, sf):
     rows = table(spark, sf, "embeddings")
