@@ -144,3 +144,34 @@ def test_coherence_empty_tasks(spark):
     table = spark.createDataFrame([(0, 1, "a", 1.0), (0, 2, "b", 1.0)], "cluster_id int, rank int, word string, score double")
     got = coherence.coherence_cv(few, "doc_id", tx.space_tokens(F.col("text")), table, window=5).first()[0]
     assert got == pytest.approx(brute_cv([["a", "b", "c"], ["a", "b"], ["zz"]], [["a", "b"]], 5), abs=1e-9)
+
+
+def dense_overlaps(length, own, positions, words, window):
+    starts = max(length - window + 1, 1)
+    cover = np.zeros((words, starts), dtype=bool)
+    for w, p in zip(own, positions):
+        cover[w, max(0, p - window + 1) : min(p, starts - 1) + 1] = True
+    c = cover.astype(np.int64)
+    return c @ c.T
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_window_overlaps(seed):
+    rng = np.random.default_rng(seed)
+    length = int(rng.integers(1, 300))
+    window = int(rng.integers(1, 40))
+    k = int(rng.integers(1, 60))
+    positions = rng.integers(0, length, k)
+    own = rng.integers(0, 5, k)
+    present, own = np.unique(own, return_inverse=True)
+    got = coherence.window_overlaps(length, own, positions, len(present), window)
+    assert (got == dense_overlaps(length, own, positions, len(present), window)).all()
+
+
+def test_window_overlaps_long_text():
+    # ten million tokens: memory follows the 200 000 positions, not 10^7 times the words
+    rng = np.random.default_rng(0)
+    positions = np.sort(rng.choice(10_000_000, 200_000, replace=False))
+    own = rng.integers(0, 40, len(positions))
+    got = coherence.window_overlaps(10_000_000, own, positions, 40, 110)
+    assert got.shape == (40, 40) and (np.diag(got) >= got.max(axis=1)).all()

@@ -38,6 +38,45 @@ def _pair_keys(topic_rows: list) -> tuple[list[str], np.ndarray]:
     return words, np.unique(np.concatenate(parts))
 
 
+def window_overlaps(length: int, own: np.ndarray, positions: np.ndarray, words: int, window: int) -> np.ndarray:
+    """``words x words`` numbers of windows (of ``window`` tokens, sliding by one over ``length``
+    tokens; a shorter text is one window) that hold both words; the diagonal holds single counts.
+
+    Word ``own[k]`` sits at ``positions[k]``. The windows over a position start in one interval;
+    a word's intervals are merged, and two words' common windows are the intersections of their
+    interval lists, found through each word's covered length up to any start. Memory follows the
+    number of positions, not the text length times the words."""
+    starts = max(length - window + 1, 1)
+    lo = np.maximum(0, positions - window + 1)
+    hi = np.minimum(positions, starts - 1) + 1  # half-open
+    # per word, intervals in order, on a line where words lie apart
+    span = starts + 1
+    order = np.lexsort((lo, own))
+    word, lo, hi = own[order], lo[order] + own[order] * span, hi[order] + own[order] * span
+    reach = np.maximum.accumulate(hi)
+    fresh = np.ones(len(lo), dtype=bool)
+    fresh[1:] = lo[1:] > reach[:-1]
+    first = np.flatnonzero(fresh)
+    m_word, m_lo = word[first], lo[first]
+    m_hi = np.maximum.reduceat(hi, first) if len(first) else hi[:0]
+    # back to each word's own starts
+    m_lo, m_hi = m_lo - m_word * span, m_hi - m_word * span
+    bounds = np.searchsorted(m_word, np.arange(words + 1))
+    out = np.zeros((words, words), dtype=np.int64)
+    for a in range(words):
+        s, e = m_lo[bounds[a] : bounds[a + 1]], m_hi[bounds[a] : bounds[a + 1]]
+        done = np.concatenate([[0], np.cumsum(e - s)])
+
+        def covered(t: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(s, t, side="left")
+            over = np.where(k > 0, np.maximum(e[np.maximum(k - 1, 0)] - t, 0), 0)
+            return done[k] - over
+
+        inter = covered(m_hi) - covered(m_lo)
+        out[a] = np.bincount(m_word, weights=inter, minlength=words).astype(np.int64)
+    return out
+
+
 def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFrame:
     """``word_a, word_b, n`` (equal words: single counts), summed per task first.
 
@@ -62,13 +101,7 @@ def _count_in_tasks(tokens: DataFrame, topic_rows: list, window: int) -> DataFra
                 if not len(ws):
                     continue
                 present, own = np.unique([index[w] for w in ws], return_inverse=True)
-                starts = max(length - window + 1, 1)
-                # +1 where the windows over a position begin, -1 where they end
-                edge = np.zeros((len(present), starts + 1), dtype=np.int32)
-                np.add.at(edge, (own, np.maximum(0, ps - window + 1)), 1)
-                np.add.at(edge, (own, np.minimum(ps, starts - 1) + 1), -1)
-                cover = (np.cumsum(edge[:, :-1], axis=1) > 0).astype(np.float32)
-                common = cover @ cover.T
+                common = window_overlaps(int(length), own, np.asarray(ps, dtype=np.int64), len(present), window)
                 i, j = np.triu_indices(len(present))
                 wanted = present[i] * len(words) + present[j]
                 at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
