@@ -175,3 +175,18 @@ def test_window_overlaps_long_text():
     own = rng.integers(0, 40, len(positions))
     got = coherence.window_overlaps(10_000_000, own, positions, 40, 110)
     assert got.shape == (40, 40) and (np.diag(got) >= got.max(axis=1)).all()
+
+
+def test_sketch_drops_only_rare_terms(spark):
+    rng = np.random.default_rng(2)
+    common = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join(list(rng.choice(common, 15)) + [f"rare{i}-{j}" for j in range(10)])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    counts = features.term_counts(docs, ["doc_id"], tx.space_tokens(F.col("text")))
+    n = F.lit(300)
+    want = features.vocabulary(counts, n, min_df=3, max_df=0.9).collect()
+    kept = features.surely_rare_filtered(counts, 3, width=1 << 16)
+    assert features.vocabulary(kept, n, min_df=3, max_df=0.9).collect() == want and len(want) == 20
+    # every rare term is gone before the exact count: far fewer rows and terms reach its shuffle
+    assert kept.select("term").distinct().count() <= 25 < counts.select("term").distinct().count() // 2
+    assert kept.count() == counts.where(~F.col("term").startswith("rare")).count()

@@ -45,6 +45,28 @@ def vocabulary(
     return kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
 
 
+def surely_rare_filtered(counts: DataFrame, min_df: int, depth: int = 2, width: int = 1 << 18) -> DataFrame:
+    """``counts`` without the rows of terms that surely occur in fewer than ``min_df`` documents.
+
+    A count-min sketch of document frequencies: each row (a document's distinct term) adds one to
+    ``depth`` cells chosen by hashes of the term, summed per task before the shuffle, so at most
+    ``depth * width`` rows leave a task and the sketch (bounded by that product) is broadcast. A
+    term's smallest cell is never below its document frequency, so a term under ``min_df`` there is
+    under it in truth; other terms keep all their rows and their exact counts follow."""
+    cells = [F.pmod(F.xxhash64(F.lit(f"cms-{i}"), "term"), F.lit(width)) for i in range(depth)]
+    keyed = counts.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+    sketch = (
+        keyed.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_c{i}").alias("c")) for i in range(depth)])).alias("_k"))
+        .groupBy("_k.i", "_k.c")
+        .agg(F.count("*").alias("n"))
+    )
+    for i in range(depth):
+        own = sketch.where(F.col("i") == i).select(F.col("c").alias(f"_c{i}"), F.col("n").alias(f"_n{i}"))
+        keyed = keyed.join(F.broadcast(own), f"_c{i}", "left")
+    estimate = F.least(*[F.coalesce(F.col(f"_n{i}"), F.lit(0)) for i in range(depth)])
+    return keyed.where(estimate >= min_df).drop(*[f"_c{i}" for i in range(depth)], *[f"_n{i}" for i in range(depth)])
+
+
 def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 

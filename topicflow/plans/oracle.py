@@ -420,3 +420,4 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["stream_spikes"] = ORACLE["topic_spikes"]
 ORACLE["density_pivots"] = ORACLE["density_clusters"]
+ORACLE["vocabulary_sketched"] = ORACLE["vocabulary"]

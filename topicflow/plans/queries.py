@@ -410,6 +410,14 @@ def vocabulary(spark, sf):
     return vocabulary_of(docs, counts)
 
 
+@query
+def vocabulary_sketched(spark, sf):
+    """``vocabulary`` with surely rare terms dropped by a count-min sketch before the exact count."""
+    docs = table(spark, sf, "documents")
+    counts = features.term_counts(docs, ["doc_id"], tx.ngram_range(words(), 1, 2))
+    return vocabulary_of(docs, features.surely_rare_filtered(counts, 10))
+
+
 def weights_of(docs: DataFrame) -> DataFrame:
     counts = features.term_counts(docs, ["doc_id", "lang"], words())
     return features.tfidf_long(counts, vocabulary_of(docs, counts), features.count_documents(docs), "doc_id")
