@@ -421,3 +421,29 @@ ORACLE: dict[str, str] = {
 ORACLE["stream_spikes"] = ORACLE["topic_spikes"]
 ORACLE["density_pivots"] = ORACLE["density_clusters"]
 ORACLE["vocabulary_sketched"] = ORACLE["vocabulary"]
+ORACLE["lemmatize_guess"] = r"""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{4,}')) AS token FROM documents),
+dict AS (SELECT token, left(token, length(token) - 1) AS lemma FROM v
+    WHERE suffix(token, 's') AND left(token, length(token) - 1) IN (SELECT token FROM v)),
+ex AS (SELECT DISTINCT token, lemma FROM (SELECT token, lemma FROM dict UNION ALL SELECT lemma, lemma FROM dict) WHERE length(token) > 0),
+shaped AS (
+    SELECT token, lemma, (SELECT count(*) FROM range(1, least(length(token), length(lemma)) + 1) r(i)
+                          WHERE left(token, i::INT) = left(lemma, i::INT)) AS p FROM ex),
+ends AS (
+    SELECT right(token, k::INT) AS ending, length(token) - p AS strip, substr(lemma, p + 1) AS tail
+    FROM shaped, unnest(range(greatest(length(token) - p, 1), least(length(token) - p + 2, length(token)) + 1)) t(k)),
+counted AS (SELECT ending, strip, tail, count(*) AS support FROM ends GROUP BY ALL),
+rules AS (
+    SELECT ending, strip, tail, support FROM (
+        SELECT *, row_number() OVER (PARTITION BY ending ORDER BY support DESC, strip, tail) AS rn FROM counted) WHERE rn = 1),
+l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS l FROM documents),
+toks AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM l),
+unknown AS (SELECT DISTINCT tok FROM toks WHERE tok NOT IN (SELECT token FROM dict)),
+guessed AS (
+    SELECT tok, arg_max(left(tok, length(tok) - strip) || tail, k) AS lemma
+    FROM unknown, unnest(range(1, length(tok) + 1)) t(k) JOIN rules ON rules.ending = right(tok, k::INT) AND support >= 2
+    GROUP BY tok),
+lemmas AS (SELECT token AS tok, lemma FROM dict UNION ALL SELECT tok, lemma FROM guessed)
+SELECT doc_id, string_agg(coalesce(lemma, tok), ' ' ORDER BY pos) AS lemmatized
+FROM toks LEFT JOIN lemmas USING (tok) GROUP BY doc_id
+UNION ALL SELECT doc_id, '' FROM l WHERE len(l) = 0"""

@@ -31,7 +31,7 @@ from topicflow.operators import (
     store,
     topics,
 )
-from topicflow.operators import pivots
+from topicflow.operators import lemma_rules, pivots
 from topicflow.plans import train
 from topicflow.session import cut_lineage, scratch_path, stored_table
 
@@ -115,6 +115,14 @@ def lemmatize(spark, sf):
     return lemmas.lemmatize(docs, lemma_dictionary(docs), "doc_id", "text").select("doc_id", "lemmatized")
 
 
+@query
+def lemmatize_guess(spark, sf):
+    """``lemmatize`` plus lemmas of words outside the dictionary by suffix rules learnt from it."""
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    out = lemma_rules.lemmatize_with_rules(docs, lemma_dictionary(docs), "doc_id", "text", min_support=2)
+    return out.select("doc_id", "lemmatized")
+
+
 @query
 def join_corpora(spark, sf):
     dates = table(spark, sf, "orders").select(
