@@ -50,10 +50,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("per_range", [200_000, 2])
-def test_fingerprints_brute(spark, per_range):
+@pytest.mark.parametrize("per_range, chars", [(200_000, 64 << 20), (2, 64 << 20), (200_000, 40)])
+def test_fingerprints_brute(spark, per_range, chars):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("fingerprint", merkle.F.lit(1)).repartition(5)
-    got = merkle.fingerprints(df, rows_per_range=per_range).collect()
+    got = merkle.fingerprints(df, rows_per_range=per_range, chars_per_range=chars).collect()
     cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     got = sorted((tuple(r[c] for c in cols) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[3], r[4]))
     assert got == brute(ROWS)

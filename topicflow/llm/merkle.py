@@ -12,9 +12,9 @@ hold among the distinct leaves of either (a number from 0 to 1).
 
 ``edit_next`` pairs every document with the next one in descending doc_id (ties by text; null ids
 last; after the last comes the first) without a global window: doc ids are cut into ranges by
-quantiles, each range is one window partition, and the first row of the next non-empty range joins
+quantiles into ranges of bounded rows and characters, each range is one window partition, and the first row of the next non-empty range joins
 each range as a sentinel that sorts last. Texts cross one shuffle. A range is at most the rows of one
-doc id plus ``rows_per_range``. Repeated rows are next to each other, so each has its twin as next.
+doc id plus ``rows_per_range`` rows or ``chars_per_range`` characters. Repeated rows are next to each other, so each has its twin as next.
 Other columns of the input are dropped; an empty table gives an empty result.
 """
 
@@ -63,15 +63,18 @@ def changed_sections(a: Column, b: Column) -> Column:
     )
 
 
-def edit_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000) -> DataFrame:
+def edit_next(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 64 << 20
+) -> DataFrame:
     """``doc_id, text`` and the next document's ``next_text`` for every row; the texts cross one shuffle.
 
     Each range's first row comes from a partial aggregate (one row per task and range reaches the
     shuffle). The first row of the range that follows is added to a range as a sentinel that sorts
     after its own rows, so one ``lead`` over the range finds every row's next text."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = base.count()
-    ranges = max(1, math.ceil(n / rows_per_range))
+    size = base.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).first()
+    # a range holds at most ``rows_per_range`` rows and about ``chars_per_range`` characters (one doc id apart)
+    ranges = max(1, math.ceil(size["n"] / rows_per_range), math.ceil((size["chars"] or 0) / chars_per_range))
     if ranges > 1:
         cuts = [i / ranges for i in range(1, ranges)]
         bounds = base.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b")).first()["b"] or []
@@ -97,11 +100,13 @@ def edit_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return marked.where("_sentinel = 0").drop("_sentinel")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 64 << 20
+) -> DataFrame:
     """Per row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     changed_sections``. The edited text keeps the first ``n - floor(n/2)`` code points and then takes as
     many of the next document's first code points as there are, up to ``floor(n/2)``."""
-    paired = edit_next(docs, id_col, text_col, rows_per_range)
+    paired = edit_next(docs, id_col, text_col, rows_per_range, chars_per_range)
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", 1, (n - half).cast("int")), F.substring("next_text", 1, half))
