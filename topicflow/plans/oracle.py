@@ -447,3 +447,20 @@ lemmas AS (SELECT token AS tok, lemma FROM dict UNION ALL SELECT tok, lemma FROM
 SELECT doc_id, string_agg(coalesce(lemma, tok), ' ' ORDER BY pos) AS lemmatized
 FROM toks LEFT JOIN lemmas USING (tok) GROUP BY doc_id
 UNION ALL SELECT doc_id, '' FROM l WHERE len(l) = 0"""
+ORACLE["value_quantiles"] = r"""
+WITH b AS (
+    SELECT CAST(ts AS DATE) AS day, sign(value)::INT AS sign,
+           CASE WHEN value = 0 THEN 0 ELSE ceil(ln(abs(value)) / 0.020000666706669435)::BIGINT END AS bucket
+    FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+spans AS (SELECT 'all' AS span, sign, bucket, count(*) AS n FROM b GROUP BY ALL
+          UNION ALL
+          SELECT 'first_week', sign, bucket, count(*) FROM b WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-07' GROUP BY ALL),
+keyed AS (SELECT *, CASE WHEN sign < 0 THEN -bucket - 1099511627776 WHEN sign = 0 THEN -549755813888 ELSE bucket END AS k FROM spans),
+run AS (SELECT *, sum(n) OVER (PARTITION BY span ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+               sum(n) OVER (PARTITION BY span) AS total,
+               CASE WHEN sign = 0 THEN 0.0 ELSE sign * 2.0 * pow(1.02020202020202, bucket::DOUBLE) / 2.02020202020202 END AS v FROM keyed)
+SELECT span, max(total)::BIGINT AS n,
+       round(arg_min(v, k) FILTER (WHERE upto >= greatest(ceil(0.5 * total), 1)), 6) AS q50,
+       round(arg_min(v, k) FILTER (WHERE upto >= greatest(ceil(0.95 * total), 1)), 6) AS q95,
+       round(arg_min(v, k) FILTER (WHERE upto >= greatest(ceil(0.99 * total), 1)), 6) AS q99
+FROM run GROUP BY span"""

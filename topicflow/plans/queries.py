@@ -31,7 +31,7 @@ from topicflow.operators import (
     store,
     topics,
 )
-from topicflow.operators import lemma_rules, pivots
+from topicflow.operators import lemma_rules, pivots, sketches
 from topicflow.plans import train
 from topicflow.session import cut_lineage, scratch_path, stored_table
 
@@ -776,6 +776,20 @@ def stream_spikes(spark, sf):
     return alerts.select(day(), "topic", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "is_spike")
 
 
+@query
+def value_quantiles(spark, sf):
+    """p50, p95, p99 of event values over the whole table and its first week, from daily sketches
+    written once; a span reads sketches, not events."""
+    sketch = stored_table(sketches.daily_sketch(timed(spark, sf), "ts", "value", 0.01), "value-sketch")
+    spans = [("all", None, None), ("first_week", "2024-01-01", "2024-01-07")]
+    parts = [
+        sketches.quantiles(sketches.merge(sketch, a, b), [0.5, 0.95, 0.99], 0.01).select(F.lit(name).alias("span"), "*")
+        for name, a, b in spans
+    ]
+    out = parts[0].unionByName(parts[1])
+    return out.select("span", "n", *[F.round(c, 6).alias(c) for c in ("q50", "q95", "q99")])
+
+
 @query
 def batch_summary(spark, sf):
     """User sessions per day as batches: events are its rows, value its seconds."""
