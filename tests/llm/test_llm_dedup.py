@@ -328,3 +328,19 @@ def test_sha_of_kept_text(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_lines(rows)}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == want
+
+
+def test_encoder_generations_keep_ids(monkeypatch):
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from topicflow.llm import packing
+    from topicflow.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)  # many turnovers of both generations
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id LIMIT 120").fetchall()]
+    encoder, tokenizer = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    got = list(encoder.encode_all(texts + texts))
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts + texts]
+    assert got == want
+    assert encoder.old and encoder.old_parts  # the generations turned over

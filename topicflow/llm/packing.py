@@ -37,7 +37,7 @@ ODD_BLANKS = re.compile("[\x1c-\x1f]")
 LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 # the tokenizer's own split of a word
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_WORDS, TEXTS_AT_ONCE, PARTS_AT_ONCE, SPECIAL, WORD_END = 150_000, 256, 200, "<|", "</w>"
+CACHED_WORDS, TEXTS_AT_ONCE, PARTS_AT_ONCE, SPECIAL, WORD_END = 100_000, 256, 200, "<|", "</w>"
 ENCODERS: dict[str, Encoder] = {}  # of this Python worker, which serves many tasks
 END = b"\0\0\0\0"
 
@@ -56,7 +56,11 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # two generations each: when the young one is full it becomes the old one, and what is used
+        # from the old one moves back, so frequent words and parts are never encoded again
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -66,15 +70,19 @@ class Encoder(dict):
 
     def learn(self, words: set[str]) -> None:
         """Encode words not seen yet, their new parts all in one call."""
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
         split: dict[str, list[str]] = {}
         for word in words:
             if LATIN.fullmatch(word) and SPECIAL not in word:
                 split[word] = PARTS.findall(word.lower())
             else:
                 self[word] = self.whole(word)
-        new = list(dict.fromkeys(p for parts in split.values() for p in parts if p not in self.parts))
+        wanted = dict.fromkeys(p for parts in split.values() for p in parts)
+        if len(self.parts) + len(wanted) > CACHED_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+        for p in wanted:
+            if p not in self.parts and p in self.old_parts:
+                self.parts[p] = self.old_parts[p]
+        new = [p for p in wanted if p not in self.parts]
         if new:
             groups = [new[i : i + PARTS_AT_ONCE] for i in range(0, len(new), PARTS_AT_ONCE)]
             batch = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
@@ -95,11 +103,13 @@ class Encoder(dict):
         while part := list(islice(texts, TEXTS_AT_ONCE)):
             split = [None if ODD_BLANKS.search(t) else t.split() for t in part]
             needed = set().union(*(w for w in split if w))
-            new = needed - self.keys()
-            if len(self) + len(new) > CACHED_WORDS:
+            if len(self) + len(needed - self.keys()) > CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
-                new = needed
-            self.learn(new)
+            for word in needed - self.keys():
+                if word in self.old:
+                    self[word] = self.old[word]
+            self.learn(needed - self.keys())
             for text, words in zip(part, split, strict=True):
                 yield self.whole(text) if words is None else b"".join([self[w] for w in words])
 
