@@ -338,6 +338,7 @@ def test_encoder_generations_keep_ids(monkeypatch):
     from topicflow.llm.queries import tokenizer_path
 
     monkeypatch.setattr(packing, "CACHED_WORDS", 60)  # many turnovers of both generations
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 8)
     texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id LIMIT 120").fetchall()]
     encoder, tokenizer = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     got = list(encoder.encode_all(texts + texts))
