@@ -64,7 +64,7 @@ def changed_sections(a: Column, b: Column) -> Column:
 
 
 def edit_next(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 64 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 16 << 20
 ) -> DataFrame:
     """``doc_id, text`` and the next document's ``next_text`` for every row; the texts cross one shuffle.
 
@@ -101,7 +101,7 @@ def edit_next(
 
 
 def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 64 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 200_000, chars_per_range: int = 16 << 20
 ) -> DataFrame:
     """Per row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     changed_sections``. The edited text keeps the first ``n - floor(n/2)`` code points and then takes as
