@@ -74,7 +74,9 @@ def edit_next(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).first()
     # a range holds at most ``rows_per_range`` rows and about ``chars_per_range`` characters (one doc id apart)
-    ranges = max(1, math.ceil(size["n"] / rows_per_range), math.ceil((size["chars"] or 0) / chars_per_range))
+    # and at least as many ranges as shuffle partitions, so that every task takes part
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "1"))
+    ranges = max(1, min(tasks, size["n"]), math.ceil(size["n"] / rows_per_range), math.ceil((size["chars"] or 0) / chars_per_range))
     if ranges > 1:
         cuts = [i / ranges for i in range(1, ranges)]
         bounds = base.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b")).first()["b"] or []
