@@ -41,3 +41,23 @@ def test_pivots_edges(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.5, 0.0])], "id bigint, vec array<double>")
     got = {r["id"]: (r["cluster"], r["is_core"]) for r in pivots.density_clusters(df, "id", "vec", 1.0, 2, 2).collect()}
     assert got == {1: (1, True), 2: (-1, False), 3: (1, True), 4: (1, True)}
+
+
+@pytest.mark.parametrize("operator", [density, pivots])
+def test_compared_rows_follow_the_table(spark, monkeypatch, operator):
+    """Twice the points of one blob are not four times the rows that meet each other, and nothing else changes."""
+    loads, run = [], density.blocks.map_block_pairs
+
+    def counted(left, right, pairs, *rest):
+        loads[-1] += pairs.agg({"_load": "sum"}).first()[0] or 0
+        return run(left, right, pairs, *rest)
+
+    monkeypatch.setattr(density.blocks, "map_block_pairs", counted)
+    x = np.random.default_rng(9).normal(0, 0.2, (320, 8))
+    x[:3] += 5  # too few to be core
+    for n in (160, 320):
+        loads.append(0)
+        rows = operator.density_clusters(points(spark, x[:n]), "id", "vec", 1.0, 5, 10, block_rows=8).orderBy("id").collect()
+        want, core = brute_density(pairwise(x[:n]), 1.0, 5, 10)
+        assert [r["cluster"] for r in rows] == want.tolist() and [r["is_core"] for r in rows] == core.tolist()
+    assert loads[1] < 3 * loads[0], loads

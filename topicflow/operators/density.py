@@ -13,11 +13,18 @@ horizontal cut through the density hierarchy, and it is computed exactly:
   are within ``eps`` of each other: with enough of them all are core and connected
   through the anchor, and they are not compared with each other;
 * everything else is compared in bounded blocks, which return neighbour counts
-  and spanning edges (see ``blocks``).
+  and spanning edges (see ``blocks``);
+* the other side of the comparisons comes in slices of the points by id hash, few
+  first and four times as many in every round. A point that has ``min_samples``
+  neighbours is core and asks no further, and core points that are connected to
+  the largest component have nothing left to find there, so only the open rest
+  meets the later slices. Nobody is given up before all slices were met.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -30,6 +37,10 @@ from topicflow.operators.cluster import fit_reducer, reduce_vectors
 from topicflow.session import cut_lineage
 
 NOISE = -1
+# rows per block here, and rows that are compared at a time within a block
+BLOCK_ROWS, TILE_ROWS = 2048, 512
+# slices (of about ``block_rows`` points) that the first round of counting and of linking meets
+COUNT_FIRST, LINK_FIRST, WIDEN = 8, 2, 4
 
 
 def grid_cell(vec: Column, eps: float, dims: int) -> Column:
@@ -142,16 +153,15 @@ def _dense_edges(placed: DataFrame, cells: DataFrame, pairs: DataFrame, eps: flo
     return star.unionByName(reached.select("src", "dst")).unionByName(rest)
 
 
-def _count_within(eps: float):
+def _count_left(eps: float):
+    """Weighted neighbours of the left rows."""
+
     def count(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         near = matrices.distances(matrices.stack(left["vec"]), matrices.stack(right["vec"])) <= eps
-        if same:
-            # rounding may leave a point slightly away from itself
-            near |= left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        out = [pd.DataFrame({"id": left["id"].to_numpy(), "n": near @ right["weight"].to_numpy()})]
-        if not same:
-            out.append(pd.DataFrame({"id": right["id"].to_numpy(), "n": left["weight"].to_numpy() @ near}))
-        return pd.concat(out, ignore_index=True).query("n > 0")
+        # rounding may leave a point slightly away from itself
+        near |= left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        out = pd.DataFrame({"id": left["id"].to_numpy(), "n": near @ right["weight"].to_numpy()})
+        return out[out["n"] > 0]
 
     return count
 
@@ -164,6 +174,85 @@ def _edges_within(eps: float):
     return edges
 
 
+def sliced(points: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """``points`` plus ``_slice``, and how many slices (of about ``block_rows`` points) there are."""
+    slices = max(1, -(-points.count() // block_rows))
+    return points.withColumn("_slice", F.pmod(F.xxhash64(F.lit("slice"), "id"), F.lit(slices))), slices
+
+
+def _rounds(slices: int, first: int) -> Iterator[Column]:
+    """Which rows each round meets: the first slices, then always ``WIDEN`` times as many as all before."""
+    lo, hi = 0, first
+    while lo < slices:
+        yield (F.col("_slice") >= lo) & (F.col("_slice") < hi)
+        lo, hi = hi, hi * WIDEN
+
+
+def compare(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int, offsets=None, wanted: Column | None = None) -> DataFrame:
+    """``fn`` over every block of ``left`` and every block of ``right`` in the cells next to it."""
+    left_cells, right_cells = (cut_lineage(blocks.cell_blocks(x, block_rows)) for x in (left, right))
+    pairs = blocks.block_pairs(left_cells, right_cells, offsets)
+    pairs = pairs if wanted is None else pairs.where(wanted)
+    placed = blocks.with_blocks(left, left_cells, "id"), blocks.with_blocks(right, right_cells, "id")
+    return blocks.map_block_pairs(*placed, pairs, fn, schema, block_rows)
+
+
+def busy_points(asking: DataFrame, slices: int, compared, min_samples: int) -> DataFrame:
+    """The ids in ``asking`` that have ``min_samples`` weighted neighbours.
+
+    ``compared(asking, round)`` gives ``id, n``, the neighbours in a round's slices.
+    """
+    open_rows, found = asking.withColumn("_n", F.lit(0).cast("bigint")), asking.select("id").limit(0)
+    for part in _rounds(slices, COUNT_FIRST):
+        counts = compared(open_rows.drop("_n"), part).groupBy("id").agg(F.sum("n").alias("_more"))
+        counted = open_rows.join(counts, "id", "left").withColumn("_n", F.col("_n") + F.coalesce("_more", F.lit(0))).drop("_more")
+        counted = cut_lineage(counted)
+        found = found.unionByName(counted.where(F.col("_n") >= min_samples).select("id"))
+        open_rows = counted.where(F.col("_n") < min_samples)
+        if open_rows.isEmpty():
+            break
+    return found.distinct()
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after the components that ``edges`` touch are joined."""
+    ends = [labels.select(F.col("id").alias(c), F.col("_comp").alias(f"_{c}")) for c in ("src", "dst")]
+    links = edges.join(ends[0], "src").join(ends[1], "dst").where("_src <> _dst")
+    links = cut_lineage(links.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+    if links.isEmpty():
+        return labels
+    roots = connected_components(links).select(F.col("node").alias("_comp"), F.col("component").alias("_root"))
+    return cut_lineage(labels.join(roots, "_comp", "left").select("id", F.coalesce("_root", "_comp").alias("_comp")))
+
+
+def component_labels(core: DataFrame, slices: int, compared, edges: DataFrame | None = None) -> DataFrame:
+    """``id, _comp``: the component of every core point, named by its smallest id.
+
+    ``compared(asking, round)`` gives edges that connect what the asking points reach in a round's
+    slices, ``edges`` those known before. From the second round on the points of one component, the
+    largest after the first, no longer ask: two points in different components are not both in it, and
+    the one outside has met all slices in the end.
+    """
+    labels, largest = core.select("id").distinct(), None
+    for part in _rounds(slices, LINK_FIRST):
+        if largest is None:
+            met = compared(core, part)
+            components = connected_components(met if edges is None else met.unionByName(edges))
+            labels = labels.join(components, labels["id"] == components["node"], "left")
+            labels = cut_lineage(labels.select("id", F.coalesce("component", "id").alias("_comp")))
+            biggest = labels.groupBy("_comp").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_comp").first()
+            if biggest is None:
+                break
+            largest = biggest["_comp"]
+            continue
+        largest = labels.where(F.col("id") == F.lit(largest)).first()["_comp"]
+        asking = labels.where(F.col("_comp") != F.lit(largest)).select("id")
+        if asking.isEmpty():
+            break
+        labels = _merged(labels, compared(cut_lineage(core.join(asking, "id", "left_semi")), part))
+    return labels
+
+
 def density_clusters(
     df: DataFrame,
     id_col: str,
@@ -172,7 +261,7 @@ def density_clusters(
     min_samples: int = 5,
     min_cluster_size: int = 20,
     grid_dims: int = 2,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
     min_tokens: int | None = None,
     tokens_col: str | None = None,
 ) -> DataFrame:
@@ -185,31 +274,29 @@ def density_clusters(
     noise = F.lit(str(NOISE)).cast(df.schema[id_col].dataType)
     taking_part = df if min_tokens is None else df.where(F.size(tokens_col) >= min_tokens)
     points = cut_lineage(distinct_points(taking_part, id_col, vec_col))
-    points = _with_rings(points, eps, min_samples, grid_dims, block_rows)
-    cells = blocks.cell_blocks(points, block_rows)
-    placed = blocks.with_blocks(points, cells, "id")
-    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
+    points, slices = sliced(_with_rings(points, eps, min_samples, grid_dims, block_rows), block_rows)
+    id_type, offsets = _id_type(points), blocks.all_neighbours(grid_dims + 1)
     both_inner = _inner("_lcell", grid_dims) & _inner("_rcell", grid_dims)
-    counts = blocks.map_block_pairs(
-        placed, placed, pairs.where(~both_inner), _count_within(eps), f"id {_id_type(placed)}, n bigint", block_rows
-    )
-    busy = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
-    inner_ids = points.where(_inner("_cell", grid_dims)).select("id")
-    core = cut_lineage(points.join(busy.union(inner_ids).distinct(), "id", "left_semi"))
-
-    cells = blocks.cell_blocks(core, block_rows)
-    placed = blocks.with_blocks(core, cells, "id")
-    pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
-    edges = blocks.map_block_pairs(
-        placed, placed, pairs.where(~both_inner), _edges_within(eps), "src {0}, dst {0}".format(_id_type(placed)), block_rows
-    )
+
+    def counts(asking: DataFrame, part: Column) -> DataFrame:
+        return compare(asking, points.where(part), _count_left(eps), f"id {id_type}, n bigint", block_rows, offsets)
+
+    outer, inner = points.where(~_inner("_cell", grid_dims)), points.where(_inner("_cell", grid_dims))
+    busy = busy_points(outer, slices, counts, min_samples)
+    core = cut_lineage(points.join(busy.union(inner.select("id")).distinct(), "id", "left_semi"))
+
+    def links(asking: DataFrame, part: Column) -> DataFrame:
+        return compare(
+            asking, core.where(part), _edges_within(eps), f"src {id_type}, dst {id_type}", block_rows, offsets, ~both_inner
+        )
+
+    dense = None
     if not core.where(_inner("_cell", grid_dims)).isEmpty():
+        cells = blocks.cell_blocks(core, block_rows)
+        placed = blocks.with_blocks(core, cells, "id")
+        pairs = blocks.block_pairs(cells, offsets=blocks.half_neighbours(grid_dims + 1))
         dense = _dense_edges(placed, cells, pairs.where(both_inner), eps, grid_dims, block_rows)
-        edges = edges.unionByName(dense)
-    components = connected_components(edges)
-    labelled = core.join(components, core["id"] == components["node"], "left").select(
-        "vec", "weight", F.coalesce("component", "id").alias("_comp")
-    )
+    labelled = core.join(component_labels(core, slices, links, dense), "id").select("vec", "weight", "_comp")
     large = labelled.groupBy("_comp").agg(F.sum("weight").alias("_size")).where(F.col("_size") >= min_cluster_size)
     clusters = labelled.join(large, "_comp", "left").select(
         "vec", F.when(F.col("_size").isNotNull(), F.col("_comp")).otherwise(noise).alias("cluster")

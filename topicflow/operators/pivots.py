@@ -7,8 +7,12 @@ the ball of its nearest pivot (its home) and is also a halo member of each other
 ``d(q, c) <= d(q, home) + 2 eps``. If ``d(p, q) <= eps`` and ``p`` lives in ``c``, then
 ``d(q, c) <= d(p, c) + eps <= d(p, home(q)) + eps <= d(q, home(q)) + 2 eps``: every neighbour of
 a point lies in its ball's home or halo rows. So each ball compares its home rows with its home and
-halo rows only, one side counted, in bounded blocks (``blocks.map_block_pairs``): neighbour counts
-are exact, and spanning edges among core points connect exactly what the radius connects.
+halo rows only, one side counted, in bounded blocks (``blocks.map_block_pairs``): who is core is
+exact, and spanning edges among core points connect exactly what the radius connects.
+
+Halos are never written as a whole: where balls overlap they would repeat the table once per pivot.
+They are placed for the slices of a round (see ``density``), for the balls that still have a point
+without ``min_samples`` neighbours, or outside the largest component.
 
 Semantics equal ``density.density_clusters``: identical vectors are one weighted point, a point is
 core with at least ``min_samples`` points within ``eps`` (itself included), core points within
@@ -24,37 +28,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.operators import blocks, matrices
-from topicflow.operators.components import connected_components
-from topicflow.operators.density import NOISE, _edges_within, _id_type, distinct_points
+from topicflow.operators import matrices
+from topicflow.operators.density import (
+    BLOCK_ROWS,
+    NOISE,
+    _count_left,
+    _edges_within,
+    _id_type,
+    busy_points,
+    compare,
+    component_labels,
+    distinct_points,
+    sliced,
+)
 from topicflow.session import cut_lineage
 
 PIVOTS = 64
 
 
-def _count_left(eps: float):
-    """Weighted neighbours of the left rows only (the right side holds home and halo rows)."""
-
-    def count(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = matrices.distances(matrices.stack(left["vec"]), matrices.stack(right["vec"])) <= eps
-        # rounding may leave a point slightly away from itself
-        near |= left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        out = pd.DataFrame({"id": left["id"].to_numpy(), "n": near @ right["weight"].to_numpy()})
-        return out[out["n"] > 0]
-
-    return count
+def _centres(points: DataFrame, pivots: int) -> np.ndarray:
+    """The pivots: at most that many vectors, which travel with the tasks."""
+    rows = points.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(pivots).select("vec").collect()
+    return np.array([np.asarray(r["vec"], dtype=np.float64) for r in rows])
 
 
-def balls(points: DataFrame, eps: float, pivots: int = PIVOTS) -> DataFrame:
-    """``id, vec, weight, _cell, home``: one row per point and ball it takes part in (``home`` true in
-    its own ball, false in halos)."""
-    centres = points.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(pivots).select("vec").collect()
-    # at most ``pivots`` vectors: they travel with the tasks
-    centre = np.array([np.asarray(r["vec"], dtype=np.float64) for r in centres])
-    id_type = _id_type(points)
+def _with_balls(points: DataFrame, centre: np.ndarray, eps: float, only: list[int] | None = None) -> DataFrame:
+    """``points`` plus ``_home``, the ball of the nearest pivot, and ``_balls``, those (of ``only``) to take part in."""
+    id_type, vec_type = _id_type(points), points.schema["vec"].dataType.simpleString()
+    asked = np.isin(np.arange(len(centre)), np.arange(len(centre)) if only is None else only)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -62,32 +66,24 @@ def balls(points: DataFrame, eps: float, pivots: int = PIVOTS) -> DataFrame:
                 continue
             d = matrices.distances(matrices.stack(frame["vec"]), centre)
             own = d.argmin(axis=1)
-            reach = d <= d[np.arange(len(frame)), own][:, None] + 2 * eps
-            row, ball = np.nonzero(reach)
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"].to_numpy()[row],
-                    "vec": frame["vec"].to_numpy()[row],
-                    "weight": frame["weight"].to_numpy()[row],
-                    "_ball": ball.astype(np.int64),
-                    "home": ball == own[row],
-                }
-            )
-
-    placed = points.select("id", "vec", "weight").mapInPandas(
-        place, f"id {id_type}, vec array<double>, weight bigint, _ball bigint, home boolean"
+            reach = (d <= d[np.arange(len(frame)), own][:, None] + 2 * eps) & asked
+            yield frame.assign(_home=own.astype(np.int64), _balls=[np.flatnonzero(r) for r in reach])
+
+    return points.select("id", "vec", "weight").mapInPandas(
+        place, f"id {id_type}, vec {vec_type}, weight bigint, _home bigint, _balls array<bigint>"
     )
-    return placed.withColumn("_cell", F.array("_ball")).drop("_ball")
 
 
-def _compare(rows: DataFrame, fn, schema: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """``fn`` over every ball's (home block, home-or-halo block) pairs; also the pairs table."""
-    home = rows.where("home")
-    left_cells, right_cells = blocks.cell_blocks(home, block_rows), blocks.cell_blocks(rows, block_rows)
-    left = blocks.with_blocks(home, left_cells, "id")
-    right = blocks.with_blocks(rows, right_cells, "id")
-    pairs = blocks.block_pairs(left_cells, right_cells, [[0]])
-    return blocks.map_block_pairs(left, right, pairs, fn, schema, block_rows), pairs
+def _in_balls(placed: DataFrame) -> DataFrame:
+    """One row per point and ball it takes part in."""
+    rows = placed.withColumn("_ball", F.explode("_balls"))
+    return rows.select("id", "vec", "weight", F.array("_ball").alias("_cell"), (F.col("_ball") == F.col("_home")).alias("home"))
+
+
+def balls(points: DataFrame, eps: float, pivots: int = PIVOTS) -> DataFrame:
+    """``id, vec, weight, _cell, home``: one row per point and ball it takes part in (``home`` true in
+    its own ball, false in halos)."""
+    return _in_balls(_with_balls(points, _centres(points, pivots), eps))
 
 
 def compared_pairs(rows: DataFrame) -> int:
@@ -104,27 +100,41 @@ def density_clusters(
     min_samples: int = 5,
     min_cluster_size: int = 20,
     pivots: int = PIVOTS,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``id, cluster, is_core`` as ``density.density_clusters``, with pivot balls instead of a grid."""
     noise = F.lit(str(NOISE)).cast(df.schema[id_col].dataType)
-    points = cut_lineage(distinct_points(df, id_col, vec_col).withColumn("vec", F.col("vec").cast("array<double>")))
+    points = distinct_points(df, id_col, vec_col)
+    if points.schema["vec"].dataType.simpleString() != "array<float>":
+        points = points.withColumn("vec", F.col("vec").cast("array<double>"))
+    points, slices = sliced(cut_lineage(points), block_rows)
     id_type = _id_type(points)
-    placed = cut_lineage(balls(points, eps, pivots))
-    counts, _ = _compare(placed, _count_left(eps), f"id {id_type}, n bigint", block_rows)
-    busy = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
-    core_rows = cut_lineage(placed.join(busy, "id", "left_semi"))
-    edges, _ = _compare(core_rows, _edges_within(eps), f"src {id_type}, dst {id_type}", block_rows)
-    components = connected_components(edges)
-    core = core_rows.where("home").select("id", "vec", "weight")
-    labelled = core.join(components, core["id"] == components["node"], "left").select(
-        "vec", "weight", F.coalesce("component", "id").alias("_comp")
-    )
+    centre = _centres(points, pivots)
+    home = _with_balls(points, centre, eps, []).select("id", "vec", "weight", F.array("_home").alias("_cell"))
+    home = cut_lineage(home)
+
+    def compared(asking: DataFrame, others: DataFrame, fn, schema: str) -> DataFrame:
+        # of the others only what can be near to an asking point's ball is placed, a round's slices at a time
+        asked = [r["_cell"][0] for r in asking.select("_cell").distinct().collect()]
+        placed = _in_balls(cut_lineage(_with_balls(others, centre, eps, asked)))
+        return compare(asking, placed, fn, schema, block_rows, [[0]])
+
+    def counts(asking: DataFrame, part: Column) -> DataFrame:
+        return compared(asking, points.where(part), _count_left(eps), f"id {id_type}, n bigint")
+
+    busy = busy_points(home, slices, counts, min_samples)
+    core = cut_lineage(home.join(busy, "id", "left_semi"))
+    others = cut_lineage(points.join(busy, "id", "left_semi"))
+
+    def links(asking: DataFrame, part: Column) -> DataFrame:
+        return compared(asking, others.where(part), _edges_within(eps), f"src {id_type}, dst {id_type}")
+
+    labelled = core.join(component_labels(core, slices, links), "id").select("vec", "weight", "_comp")
     large = labelled.groupBy("_comp").agg(F.sum("weight").alias("_size")).where(F.col("_size") >= min_cluster_size)
     clusters = labelled.join(large, "_comp", "left").select(
         "vec", F.when(F.col("_size").isNotNull(), F.col("_comp")).otherwise(noise).alias("cluster")
     )
-    rows = df.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = df.select(F.col(id_col), F.col(vec_col).cast(points.schema["vec"].dataType).alias("vec"))
     return rows.join(clusters, "vec", "left").select(
         id_col, F.coalesce("cluster", noise).alias("cluster"), F.col("cluster").isNotNull().alias("is_core")
     )
