@@ -83,3 +83,14 @@ def test_seed_stability(spark):
     got = train.seed_stability(df, "doc_id", "embedding", 3, [1, 2, 3], pca_size=2, n_init=3).collect()
     assert [(r["seed_a"], r["seed_b"]) for r in got] == [(1, 2), (1, 3), (2, 3)]
     assert all(r["adjusted_rand_index"] > 0.99 for r in got)
+
+
+def test_tfidf_run_stores_no_ngrams_and_uses_large_blocks(corpus, monkeypatch):
+    from topicflow.operators import metrics
+
+    stored, blocks, cut, measure = [], [], train.cut_lineage, metrics.silhouette_samples
+    monkeypatch.setattr(train, "cut_lineage", lambda df: stored.extend(df.columns) or cut(df))
+    monkeypatch.setattr(metrics, "silhouette_samples", lambda *a: blocks.append(a[4]) or measure(*a))
+    train.run_tfidf(corpus, "doc_id", k=2, min_df=5, max_df=0.6, n_init=1)
+    assert "_grams" not in stored and blocks == [metrics.SPARSE_BLOCK]
+    assert [metrics.sparse_block_rows(n) for n in (0, 500, 1024, 20000)] == [16384, 16384, 8192, 1024]

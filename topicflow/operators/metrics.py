@@ -13,6 +13,14 @@ from topicflow.session import cut_lineage, stored_table
 
 NOISE = -1
 DENSE_BLOCK, TILE_ROWS = 8192, 512
+# cells of one block of sparse rows made dense, and the most rows it has
+DENSE_CELLS, SPARSE_BLOCK = 1 << 23, 16384
+
+
+def sparse_block_rows(features: int) -> int:
+    """Rows per block for sparse vectors over so many features. A row is shuffled once per block of the
+    table, so blocks are as large as their dense form allows."""
+    return max(blocks.BLOCK_ROWS, min(SPARSE_BLOCK, DENSE_CELLS // max(features, 1)))
 
 
 def _without_noise(df: DataFrame, cluster: str) -> DataFrame:
@@ -93,7 +101,8 @@ def silhouette_samples(
     sum per point and cluster; a row is shuffled once per block of the table. For
     corpora where that is too much use ``silhouette_sq_samples`` (linear, a
     different number). Sparse vectors have their positions in ``idx_col``; they
-    are made dense per pair of blocks, hence their smaller blocks.
+    are made dense per pair of blocks, so without ``block_rows`` (see
+    ``sparse_block_rows``) their blocks are smaller.
     """
     block_rows = block_rows or (DENSE_BLOCK if idx_col is None else blocks.BLOCK_ROWS)
     sparse = [] if idx_col is None else [F.col(idx_col).alias("idx")]
