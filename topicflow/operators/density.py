@@ -318,9 +318,13 @@ def density_clusters(
 def _nearest_within(eps: float):
     def nearest(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         right = right.sort_values("cluster")  # equal distances go to the smaller cluster
-        d = matrices.distances(matrices.stack(left["vec"]), matrices.stack(right["vec"]))
-        best = d.argmin(axis=1)
-        dist = d[np.arange(len(left)), best]
+        x, y = matrices.stack(left["vec"]), matrices.stack(right["vec"])
+        best, dist = np.empty(len(left), dtype=np.int64), np.empty(len(left))
+        for at in range(0, len(left), TILE_ROWS):
+            tile = slice(at, at + TILE_ROWS)
+            d = matrices.distances(x[tile], y)
+            best[tile] = d.argmin(axis=1)
+            dist[tile] = d[np.arange(len(d)), best[tile]]
         out = pd.DataFrame(
             {"id": left["id"].to_numpy(), "distance": dist, "cluster": right["cluster"].to_numpy()[best]}
         )
@@ -336,24 +340,29 @@ def density_assign(
     vec_col: str,
     eps: float,
     grid_dims: int = 2,
-    block_rows: int = blocks.BLOCK_ROWS,
+    block_rows: int = 4 * BLOCK_ROWS,
 ) -> DataFrame:
     """``id, cluster, strength`` by the nearest core point within ``eps``.
 
     ``core`` is ``(vec, cluster)`` of clustered core points. Strength is
     ``1 - distance / eps`` clipped to [0, 1]; rows out of reach are -1 with 0.
+    A row that equals a core point is at distance 0 from it and compared with no
+    other; the rest meets the core points of its cell and the adjacent ones.
     """
     left = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    placed, cells = _gridded(left, eps, grid_dims, block_rows)
     kind = core.schema["cluster"].dataType
     targets = core.where(F.col("cluster") != F.lit(str(NOISE)).cast(kind)).groupBy("vec").agg(F.min("cluster").alias("cluster"))
-    targets = targets.withColumn("id", F.xxhash64("vec"))
+    targets = cut_lineage(targets.withColumn("id", F.xxhash64("vec")))
+    own = targets.select(F.col("vec").cast("array<double>").alias("_key"), F.col("cluster").alias("_own"))
+    known = cut_lineage(left.withColumn("_key", F.col("vec").cast("array<double>")).join(own, "_key", "left").drop("_key"))
+    exact = known.where(F.col("_own").isNotNull()).select("id", F.lit(0.0).alias("distance"), F.col("_own").alias("cluster"))
+    placed, cells = _gridded(known.where(F.col("_own").isNull()).drop("_own"), eps, grid_dims, block_rows)
     goal, goal_cells = _gridded(targets, eps, grid_dims, block_rows)
     pairs = blocks.block_pairs(cells, goal_cells, blocks.all_neighbours(grid_dims))
     found = blocks.map_block_pairs(
         placed, goal, pairs, _nearest_within(eps), f"id {_id_type(left)}, distance double, cluster {kind.simpleString()}", block_rows
     )
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("_b"))
+    best = found.unionByName(exact).groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("_b"))
     strength = F.least(F.greatest(1 - F.col("_b.distance") / F.lit(float(eps)), F.lit(0.0)), F.lit(1.0))
     return left.join(best, "id", "left").select(
         F.col("id").alias(id_col),
