@@ -61,3 +61,19 @@ def test_tokens_and_ngrams(spark):
     assert row["space"] == ["a", "b"]
     assert row["n"] == 2
     assert row["html"] == " a b"
+
+
+def test_ngram_range_finds_the_tokens_once(spark):
+    df = spark.createDataFrame([("a b c",), (None,), ("",)], "t string")
+    grams = df.select(tx.ngram_range(tx.word_tokens(F.col("t"), 1), 1, 2).alias("g"))
+    assert [r["g"] for r in grams.collect()] == [["a", "b", "c", "a b", "b c"], [], []]
+    assert grams._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_term_counts_of_null_terms_and_rows(spark):
+    from topicflow.operators import features
+
+    rows = [(1, "x", ["b", "a", None, "b"]), (2, None, []), (3, "y", None), (None, "z", ["c"]), (1, "x", ["b"])]
+    df = spark.createDataFrame(rows, "id bigint, k string, w array<string>").coalesce(1)
+    got = features.term_counts(df, ["id", "k"], F.col("w")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "x", "a", 1), (1, "x", "b", 2), (None, "z", "c", 1), (1, "x", "b", 1)], key=str)
