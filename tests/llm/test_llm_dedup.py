@@ -345,3 +345,19 @@ def test_encoder_generations_keep_ids(monkeypatch):
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts + texts]
     assert got == want
     assert encoder.old and encoder.old_parts  # the generations turned over
+
+
+def test_encoder_parts_skip_the_normalizer():
+    from tokenizers import Tokenizer
+
+    from topicflow.llm import packing
+    from topicflow.llm.queries import tokenizer_path
+
+    encoder, tokenizer = packing.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    texts = ["word, Word... it's don't!! 'sa' a'b x_y __ 1a2 é,% İstanbul İ, ǅ ª¹ ¡qué! ÅÄ ñ#'s ##", "a\x1cb , .' '. <|endoftext|> straße ŉ a^`b", "", "x" * 300]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encoder.encode_all(texts)) == want
+    encoder.tokenizer = None  # Latin words need the merges alone
+    assert list(encoder.encode_all(["brandnewword, anothernewword's İx!"])) == [
+        np.array(tokenizer.encode("brandnewword, anothernewword's İx!", add_special_tokens=False).ids, "<u4").tobytes()
+    ]

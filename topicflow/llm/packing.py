@@ -16,9 +16,10 @@ null ids and repeated rows are packed like others; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
-
 import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -34,14 +35,30 @@ from topicflow.llm.common import stored, texts_of
 
 RECORD = np.dtype([("null", "u1"), ("doc", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BIN = "fill int, members binary"
-ODD_BLANKS = re.compile("[\x1c-\x1f]")
-# words of Latin letters and signs, for which every Unicode version has the same classes
+ODD_BLANKS = "\x1c", "\x1d", "\x1e", "\x1f"
+# words of Latin letters and signs, for which every Unicode version has the same classes; several, joined by spaces
 LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
+LATIN_WORDS = re.compile("[\x20-\x7e\xa1-\u024f]+")
 # the tokenizer's own split of a word
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_WORDS, TEXTS_AT_ONCE, PARTS_AT_ONCE, SPECIAL, WORD_END = 100_000, 256, 200, "<|", "</w>"
+CACHED_WORDS, TEXTS_AT_ONCE, PARTS_AT_ONCE, SPECIAL, WORD_END = 300_000, 256, 200, "<|", "</w>"
 ENCODERS: dict[str, Encoder] = {}  # of this Python worker, which serves many tasks
 END = b"\0\0\0\0"
+# the character a byte-level vocabulary writes for each byte; the space stays one, since it parts the parts
+SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+HIDDEN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+BYTE_CHARS = "".join(" " if b == 0x20 else HIDDEN.get(b, chr(b)) for b in range(256))
+
+
+def parts_of(word: str) -> str | tuple[str, ...]:
+    """The tokenizer's split of a lower-cased word: a string if it has one part, else all of them.
+
+    Letters, or letters and signs behind them, need no regex.
+    """
+    if word.isalpha():
+        return word
+    stem = word.rstrip(string.punctuation)
+    return (stem, word[len(stem) :]) if stem.isalpha() else tuple(PARTS.findall(word))
 
 
 class Encoder(dict):
@@ -50,16 +67,19 @@ class Encoder(dict):
     The tokenizer drops white space and its rules never look across it, nor across the runs of letters or
     signs it splits words into, so the ids of words and of their parts are remembered (bounded). Texts
     with separators that Python and the tokenizer's rules see differently are encoded whole, and so are
-    words with other than Latin letters or with special tokens.
+    words with other than Latin letters or with special tokens. Parts are lower-cased and split already,
+    so their bytes go straight to the tokenizer's merges, past its normalizing and splitting.
     """
 
     def __init__(self, path: str):
         # a task has one core: the tokenizer's own thread pool would only contend with the other tasks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # two generations each: when the young one is full it becomes the old one, and what is used
         # from the old one moves back, so frequent words and parts are never encoded again
         self.old: dict[str, bytes] = {}
@@ -72,15 +92,22 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode words not seen yet, their new parts all in one call."""
-        split: dict[str, list[str]] = {}
+        split: dict[str, str | tuple[str, ...]] = {}
+        together = " ".join(words)
+        all_latin = LATIN_WORDS.fullmatch(together) and SPECIAL not in together
         for word in words:
-            if LATIN.fullmatch(word) and SPECIAL not in word:
-                split[word] = PARTS.findall(word.lower())
+            if all_latin or (LATIN.fullmatch(word) and SPECIAL not in word):
+                split[word] = parts_of(word.lower())
             else:
                 self[word] = self.whole(word)
-        wanted = dict.fromkeys(p for parts in split.values() for p in parts)
+        wanted: dict[str, None] = {}
+        for parts in split.values():
+            if parts.__class__ is str:
+                wanted[parts] = None
+            else:
+                wanted.update(dict.fromkeys(parts))
         if len(self.parts) + len(wanted) > CACHED_WORDS:
             self.old_parts, self.parts = self.parts, {}
         for p in wanted:
@@ -89,7 +116,8 @@ class Encoder(dict):
         new = [p for p in wanted if p not in self.parts]
         if new:
             groups = [new[i : i + PARTS_AT_ONCE] for i in range(0, len(new), PARTS_AT_ONCE)]
-            batch = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+            texts = [codecs.charmap_decode(" ".join(g).encode(), "strict", BYTE_CHARS)[0] for g in groups]
+            batch = self.merges.encode_batch_fast(texts, add_special_tokens=False)
             for group, found in zip(groups, batch, strict=True):
                 ids = np.array(found.ids, "<u4")
                 at = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]
@@ -99,23 +127,27 @@ class Encoder(dict):
                 else:
                     self.parts.update((p, self.whole(p)) for p in group)
         for word, parts in split.items():
-            self[word] = b"".join([self.parts[p] for p in parts])
+            self[word] = self.parts[parts] if parts.__class__ is str else b"".join([self.parts[p] for p in parts])
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Token bytes of every text."""
         texts = iter(texts)
         while part := list(islice(texts, TEXTS_AT_ONCE)):
-            split = [None if ODD_BLANKS.search(t) else t.split() for t in part]
+            split = [None if any(b in t for b in ODD_BLANKS) else t.split() for t in part]
             needed = set().union(*(w for w in split if w))
-            if len(self) + len(needed - self.keys()) > CACHED_WORDS:
-                self.old = dict(self)
+            missing = [w for w in needed if w not in self]
+            if len(self) + len(missing) > CACHED_WORDS:
+                self.old, missing = dict(self), list(needed)
                 self.clear()
-            for word in needed - self.keys():
+            new = []
+            for word in missing:
                 if word in self.old:
                     self[word] = self.old[word]
-            self.learn(needed - self.keys())
+                else:
+                    new.append(word)
+            self.learn(new)
             for text, words in zip(part, split, strict=True):
-                yield self.whole(text) if words is None else b"".join([self[w] for w in words])
+                yield self.whole(text) if words is None else b"".join(map(self.__getitem__, words))
 
 
 class OpenBins:
