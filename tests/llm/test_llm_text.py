@@ -302,3 +302,39 @@ def test_maglev_turns():
             if free:
                 want[free[0]] = i
     assert maglev.lookup_table(names, size) == [want[s] for s in range(size)]
+
+
+def test_model_packs_hold_hashes_and_counts():
+    import zlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40_000):
+        hashes = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        counts = np.where(rng.random(len(hashes)) < 0.01, rng.integers(250, 2**40, len(hashes)), rng.integers(0, 3, len(hashes)))
+        packed = lmscore.pack_hashes(hashes), lmscore.pack_counts(counts)
+        assert (lmscore.unpack_hashes(packed[0]) == hashes).all() and (lmscore.unpack_counts(packed[1]) == counts).all()
+        # what a block sends for a hash: a row of four numbers took 12 bytes
+        assert n < 2 or len(zlib.compress(packed[0], 1)) + len(zlib.compress(packed[1], 1)) < 8 * n
+
+
+def test_a_range_sums_over_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    own = [np.array([2, 5, 2**63], np.uint64), np.array([5, 9], np.uint64), np.array([2**63], np.uint64)]
+    t, b = [[0, 1, 0], [2, 0], [300]], [[1, 400, 7], [2, 3], [300]]
+    sent = pa.table(
+        {
+            "_block": pa.array([4, 0, 2], pa.int32()),
+            "_range": pa.array([1, 1, 1], pa.int32()),
+            "hashes": [lmscore.pack_hashes(h) for h in own],
+            "t": [lmscore.pack_counts(np.array(x)) for x in t],
+            "b": [lmscore.pack_counts(np.array(x)) for x in b],
+        }
+    )
+    got = lmscore.sums_of_range(sent).to_pylist()
+    assert [r["_block"] for r in got] == [4, 0, 2]
+    assert [lmscore.unpack_counts(r["t"]).tolist() for r in got] == [[0, 3, 300], [3, 0], [300]]
+    assert [lmscore.unpack_counts(r["b"]).tolist() for r in got] == [[1, 402, 307], [402, 3], [307]]

@@ -10,10 +10,11 @@ with as many classes as the documents have different words, at least ``words``.
 mean over its tokens of the target loss minus the background loss: below 0 is closer to the target.
 
 Documents are dealt by id to blocks of about ``BLOCK`` bytes of text. A block counts its different words,
-contexts and pairs, these counts are summed by hash over all blocks, and every sum goes back to the blocks
-that have the hash, where the texts are scored. So the model is a table that grows with the corpus and is
-held nowhere as a whole; a hash has at most one row a block, however often it occurs. Nothing but the number
-of words and bytes is brought to the driver.
+contexts and pairs and sends their sorted hashes, cut into as many ranges as there are blocks, with the counts;
+a range sums them over all blocks and sends every block its sums in the order of the block's hashes, where the
+texts are scored. So the model is spread over ranges, grows with the corpus and is held nowhere as a whole; a
+hash is sent at most once by a block, however often it occurs, and only counts come back. Nothing but the
+number of words and bytes is brought to the driver.
 
 Defined results: words are lower-cased runs of letters and digits; null, empty or wordless texts have 0
 tokens and null losses; repeated rows count repeatedly; without target documents the target model is
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from topicflow.llm.common import WordHashes, mix, stored, texts_of
 
@@ -37,7 +37,7 @@ BLOCK, BLOCKS = 8 << 20, 96
 ALPHA, MU = 0.1, 4.0
 START = np.uint64(0x9E3779B97F4A7C15)
 WORD, CONTEXT, PAIR = (np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0xC2B2AE3D27D4EB4F))
-TOTAL = np.int64(0)  # the key under which all tokens are counted
+TOTAL = np.uint64(0)  # the key under which all tokens are counted
 BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -63,6 +63,48 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
     return (np.cumsum(sizes) - sizes)[sizes > 0]
 
 
+def pack_hashes(sorted_hashes: np.ndarray) -> bytes:
+    """Differences of sorted hashes, their lowest bytes first, so that the upper ones, mostly 0, compress."""
+    return np.diff(sorted_hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_hashes(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte a count; 255 stands for one of the larger ones, which follow a length as 64-bit numbers."""
+    large = counts[counts >= 255].astype("<i8")
+    return np.int64(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, "<i8", 1)[0])
+    small = np.frombuffer(packed, np.uint8, n, 8)
+    counts = small.astype(np.int64)
+    counts[small == 255] = np.frombuffer(packed, "<i8", -1, 8 + n)
+    return counts
+
+
+def hashes_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of all tokens, contexts, pairs and of the total, sorted, and where each of these is in them."""
+    every = [x.view(np.uint64) for x in keys(tokens, starts_of(sizes))]
+    return np.unique(np.concatenate([*every, np.full(min(len(tokens), 1), TOTAL)]), return_inverse=True)
+
+
+def sums_of_range(sent: pa.Table) -> pa.Table:
+    """For each block's hashes of one range, the sums over all blocks."""
+    hashes = [unpack_hashes(p) for p in sent.column("hashes").to_pylist()]
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    ends = np.cumsum([len(h) for h in hashes])[:-1]
+    out = {"_block": sent.column("_block"), "_range": sent.column("_range")}
+    for name in ("t", "b"):
+        counts = np.concatenate([unpack_counts(p) for p in sent.column(name).to_pylist()])
+        sums = np.bincount(at, counts).astype(np.int64)[at]  # exact below 2 ** 53
+        out[name] = pa.array([pack_counts(x) for x in np.split(sums, ends)], pa.binary())
+    return pa.table(out)
+
+
 def extent(docs: DataFrame, text_col: str, pairs: int) -> tuple[int, int]:
     """How many different words the texts have, and how many bytes."""
 
@@ -109,33 +151,34 @@ def cross_entropy_difference(
         tokens, sizes = tokens_of(texts.column("_text"))
         chosen = set(targets.column("_id").to_pylist())
         target = np.repeat(np.array([i in chosen for i in texts.column("_id").to_pylist()], bool), sizes)
-        found = keys(tokens, starts_of(sizes))
-        out = []
-        for x in found:
-            unique, at = np.unique(x, return_inverse=True)
-            out.append((unique, np.bincount(at[target], minlength=len(unique)), np.bincount(at, minlength=len(unique))))
+        unique, at = hashes_of(tokens, sizes)
+        marked = np.concatenate([target, target, target])
+        t = np.bincount(at[: len(marked)][marked], minlength=len(unique))
+        b = np.bincount(at, minlength=len(unique))
         if len(tokens):
-            out.append((np.array([TOTAL]), np.array([target.sum()]), np.array([len(tokens)])))
-        key, t, b = (np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(3))
+            t[at[-1]], b[at[-1]] = target.sum(), len(tokens)
+        of_range = ((unique >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        numbers, first = np.unique(of_range, return_index=True)
+        cut = lambda x, pack: pa.array([pack(part) for part in np.split(x, first[1:])][: len(numbers)], pa.binary())
         block = texts.column("_block")[0].as_py() if texts.num_rows else 0
-        return pa.table({"_block": pa.array(np.full(len(key), block, np.int32)), "key": key, "t": t, "b": b})
+        columns = [pa.array(np.full(len(numbers), block, np.int32)), pa.array(numbers.astype(np.int32)), cut(unique, pack_hashes), cut(t, pack_counts), cut(b, pack_counts)]
+        return pa.Table.from_arrays(columns, names=["_block", "_range", "hashes", "t", "b"])
 
     texts = dealt.groupBy("_block")
-    counted = texts.cogroup(marks.groupBy("_block")).applyInArrow(count, "_block int, key long, t long, b long")
-    same = Window.partitionBy("key")
-    sums = counted.select("_block", "key", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b"))
+    counted = texts.cogroup(marks.groupBy("_block")).applyInArrow(count, "_block int, _range int, hashes binary, t binary, b binary")
+    sums = counted.groupBy("_range").applyInArrow(sums_of_range, "_block int, _range int, t binary, b binary")
 
     def losses(texts: pa.Table, model: pa.Table) -> pa.Table:
         tokens, sizes = tokens_of(texts.column("_text"))
-        key = model.column("key").to_numpy()
-        order = np.argsort(key)
-        key = key[order]
-        w, u, p = (np.searchsorted(key, x) for x in keys(tokens, starts_of(sizes)))
+        order = np.argsort(model.column("_range").to_numpy())
+        _, at = hashes_of(tokens, sizes)
+        w, u, p = np.split(at[: 3 * len(tokens)], 3)
         some, number = sizes > 0, np.repeat(np.arange(len(sizes)), sizes)
         means = []
         for name in ("t", "b"):
-            n = model.column(name).to_numpy()[order].astype(np.float64)
-            total = n[np.searchsorted(key, TOTAL)] if len(tokens) else 0.0
+            sent = model.column(name).to_pylist()
+            n = np.concatenate([np.zeros(0), *(unpack_counts(sent[i]) for i in order)])
+            total = n[at[-1]] if len(tokens) else 0.0
             single = (n[w] + ALPHA) / (total + ALPHA * classes)
             loss = np.log(n[u] + MU) - np.log(n[p] + MU * single)
             means.append(np.bincount(number, loss, len(sizes)) / np.maximum(sizes, 1))
