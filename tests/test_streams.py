@@ -212,3 +212,17 @@ def test_status_snapshot_and_tail(spark, tmp_path):
     # a second snapshot replaces the first; the state stays the same
     assert jobs.snapshot_status(spark, tables, 1) == 2
     assert final(spark, tables)["id3"] == ("processed", None) and log.pointer()["gen"] == 2
+
+
+def test_landing_by_day_does_not_grow_with_the_input_partitions(spark, tmp_path):
+    from topicflow.plans.queries import land_by_day
+
+    rows = spark.range(0, 300, 1, 8).select(F.when(F.col("id") != 7, F.col("id") % 3).alias("day"), "id")
+    assert land_by_day(rows, "day", "id", str(tmp_path / "a")) == (3, 1)
+    landed = sorted((tmp_path / "a" / "landing").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    # one file a day, in the order of the days: a micro-batch each
+    assert [sorted({r["id"] % 3 for r in spark.read.parquet(str(f)).collect()}) for f in landed] == [[0], [1], [2]]
+    # a day of more rows than a file holds has more files, and no row is lost
+    days, files = land_by_day(rows, "day", "id", str(tmp_path / "b"), file_rows=40)
+    assert (days, files) == (3, 3) and len(list((tmp_path / "b" / "landing").glob("part-*.parquet"))) <= 9
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "b" / "landing")).collect()) == [i for i in range(300) if i != 7]
