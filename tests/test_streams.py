@@ -49,6 +49,18 @@ def test_ingest_twice_and_replay(spark, tmp_path):
     assert jobs.read_status(spark, tables).where("status = 'new'").count() == 3
 
 
+def test_a_single_partition_is_parsed_in_parallel(spark, tmp_path, monkeypatch):
+    seen, parse = [], jobs.ingest.parse_messages
+    monkeypatch.setattr(jobs.ingest, "parse_messages", lambda m: seen.append(m) or parse(m))
+    rows = [(bytearray(json.dumps(article(f"e{i}")).encode()), 0, i) for i in range(400)]
+    messages = spark.createDataFrame(rows, schemas.MESSAGES).coalesce(1)
+    tables = jobs.Tables(str(tmp_path / "t"))
+    jobs.ingest_batch(messages, 0, tables)
+    held = [n for n in seen[0].rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n]
+    assert sum(held) == 400 and len(held) > 1
+    assert len(ids_in(spark, tables)) == 400
+
+
 def setup_news(spark, tables, titles):
     stamp = F.lit("2024-01-01").cast("timestamp")
     rows = [(f"id{i}", f"e{i}", t, "body") for i, t in enumerate(titles)]

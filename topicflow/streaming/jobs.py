@@ -70,7 +70,9 @@ def publish_stream(
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables) -> None:
     """One micro-batch: validate, route rejects, insert what is absent, count."""
     spark = messages.sparkSession
-    parsed = ingest.parse_messages(messages).persist()
+    # messages are small and cost much to parse: a file of millions of them may be a single partition
+    dealt = messages.repartition(spark.sparkContext.defaultParallelism, "partition", "offset", "value")
+    parsed = ingest.parse_messages(dealt).persist()
     try:
         index = news_index(spark, tables)
         valid, rejected = ingest.split_valid(parsed)
