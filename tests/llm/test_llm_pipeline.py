@@ -4,6 +4,7 @@ import corpus_pipeline
 from test_llm_dedup import brute_components, brute_lines, check_packing
 
 from topicflow.llm import toxicity
+from topicflow.llm.common import number_of
 from topicflow.llm.queries import ORACLE, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,21 @@ def test_run_packs_what_the_stages_keep(spark):
     assert got and {"doc_id", "sequence_id", "offset"} <= set(got[0].asDict())
 
 
+def test_stages_bound_arrow_batches(spark):
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    try:
+        for own, want in ((("10000", "64m"), ("1000", "8m")), (("0", "64m"), ("1000", "8m")), (("50", "1m"), ("50", "1m"))):
+            for key, value in zip((rows, size), own, strict=True):
+                spark.conf.set(key, value)
+            corpus_pipeline.drop_repeated_lines(spark, docs, SF)
+            assert [number_of(spark.conf.get(k)) for k in (rows, size)] == [number_of(x) for x in want]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_held_out_is_a_third(spark):
     n = spark.range(3000).where(toxicity.is_held_out("id")).count()
     assert 900 < n < 1100
