@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from topicflow.llm import decontam, licenses, lmscore, maglev, toxicity
@@ -272,6 +273,30 @@ def test_leaks_and_paraphrases(spark):
     assert decontam.find_leaks(docs(spark, []), bench).count() == 0
 
 
+def test_leak_search_looks_words_up_by_column():
+    texts = ["b a, A\tzz b", None, "", " .,!", "a", "-a-", "\u0130 a\x0bb\x0cc", "a\u00a0b a"]
+    names = {w: i for i, w in enumerate(decontam.words_of("a b c d"))}
+    want = [[names.get(w, -1) for w in decontam.words_of(t)] for t in texts]
+    for step in (1, 3, 256):
+        assert [x.tolist() for x in decontam.Vocabulary(names).encode(pa.array(texts), step)] == want
+
+
+def test_items_whose_answer_words_are_missing_are_not_searched():
+    class Items(list):
+        seen: list[int] = []
+
+        def __getitem__(self, item):
+            self.seen.append(item)
+            return super().__getitem__(item)
+
+    # two items of the same direction: the document has all words of the first, one answer word of the second
+    items, unit = Items([np.array([0, 1, 2]), np.array([0, 3, 4])]), np.array([[1.0], [1.0]])
+    names = {w: i for i, w in enumerate(decontam.words_of("a b c d e"))}
+    block = decontam.Block(names, np.ones((5, 1), np.float32), np.ones(5, bool), np.array([0, 1]), unit, [7, 8], items, [3, 3], [{0, 1, 2}, {0, 3, 4}])
+    found = decontam.matches_in(np.array([-1, 0, 1, 2, -1], np.int32), block, 64, 0.35, 0.6, 0.6)
+    assert found == [(7, 1.0, 1.0, 1.0)] and set(Items.seen) == {0}
+
+
 def test_maglev_is_even_and_stable(spark):
     names = [f"s{i}" for i in range(10)]
     full, less = (maglev.lookup_table(n, 10_007) for n in (names, names[:-1]))

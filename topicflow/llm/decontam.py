@@ -28,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicflow.llm.common import texts_of
 from topicflow.llm.lmscore import BLANKED
 
 MATCH = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
@@ -43,15 +43,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(BLANKED).split()
 
 
-class Vocabulary(dict):
+class Vocabulary:
     """Term numbers of the block's words, -1 for others."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    def __init__(self, names: dict[bytes, int]):
+        self.words = pa.array(list(names), pa.large_binary())
 
-    def encode(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+    def encode(self, column: pa.Array, step: int = 256) -> Iterator[np.ndarray]:
+        """The term numbers of every text's ``words_of``, looked up for some texts at a time."""
+        for at in range(0, len(column), step):
+            plain = [(x or "").lower().encode().translate(BLANKED).strip() for x in column.slice(at, step).to_pylist()]
+            lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).view(pa.large_string()))
+            ends = lists.offsets.to_numpy()
+            found = pc.index_in(lists.flatten().view(pa.large_binary()), value_set=self.words)
+            ids = pc.fill_null(found, -1).to_numpy()
+            for text, a, b in zip(plain, ends[:-1], ends[1:], strict=True):
+                yield ids[a:b] if text else ids[:0]  # nothing splits into one empty word
 
 
 def passages(n: int, window: int) -> list[tuple[int, int]]:
@@ -74,16 +81,14 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary, window: int) -> tuple[np.ndarray, int]:
+def frequencies(docs: DataFrame, text_col: str, vocabulary: dict[bytes, int], window: int) -> tuple[np.ndarray, int]:
     """In how many half windows of the corpus each term stands, and how many half windows there are."""
     size, half = len(vocabulary), window // 2
-    plain = dict(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, parts = Vocabulary(plain), np.zeros(size, np.int64), 0
+        own, seen, parts = Vocabulary(vocabulary), np.zeros(size, np.int64), 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                ids = own.encode(text)
+            for ids in own.encode(batch.column(0)):
                 known = np.flatnonzero(ids >= 0)
                 pairs = np.unique((known // half).astype(np.int64) * size + ids[known])
                 seen += np.bincount(pairs % size, minlength=size) if size else 0
@@ -173,7 +178,7 @@ def prepare(
     for _, words in items:
         for word in words:
             names.setdefault(word, len(names))
-    found, total = frequencies(docs, text_col, Vocabulary(names), window)
+    found, total = frequencies(docs, text_col, names, window)
     share = found / max(1, total)
     telling = share <= common
     coded = [np.array([names[w] for w in words]) for _, words in items]
@@ -196,11 +201,11 @@ def matches_in(ids: np.ndarray, block: Block, window: int, near: float, lcs: flo
     """``item_id, cosine, lcs, answer`` of the items that the document holds."""
     half, n = window // 2, len(ids)
     # other words weigh nothing
-    at = np.flatnonzero((ids >= 0) & block.telling[ids])
+    at = np.flatnonzero(np.append(block.telling, False)[ids])
     if not len(at) or not block.latent.shape[1]:
         return []
     place = at // half
-    first = np.flatnonzero(np.diff(place, prepend=-1))
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     parts = np.zeros((-(-n // half), block.latent.shape[1]), np.float32)
     parts[place[first]] = np.add.reduceat(block.latent[ids[at]], first, axis=0)
     sums = parts[:-1] + parts[1:] if len(parts) > 1 else parts
@@ -208,9 +213,15 @@ def matches_in(ids: np.ndarray, block: Block, window: int, near: float, lcs: flo
     cosine = sums @ block.passage.T
     best: dict[int, tuple[float, float, float]] = {}
     places: dict[int, list[tuple[int, float]]] = {}
-    for at, passage in zip(*np.nonzero(cosine >= near), strict=True):
-        places.setdefault(int(block.owner[passage]), []).append((int(at), float(cosine[at, passage])))
+    hits = np.flatnonzero(cosine >= near)
+    spots, owners = hits // cosine.shape[1], block.owner[hits % cosine.shape[1]]
+    for item, spot, value in zip(owners.tolist(), spots.tolist(), cosine.ravel()[hits].tolist(), strict=True):
+        places.setdefault(item, []).append((spot, value))
+    present = set(ids[at].tolist()) if places else set()
     for item, found in places.items():
+        # what the whole document lacks, no window of it has
+        if len(block.answers[item] & present) / len(block.answers[item]) < answer:
+            continue
         want = block.items[item]
         need = set(want.tolist())
         for at, value in sorted(found, key=lambda x: -x[1]):
@@ -264,8 +275,8 @@ def find_leaks(
             vocabulary = Vocabulary(own.vocabulary)
             for batch in batches:
                 found = []
-                for text, before in zip(texts_of(batch.column(at)), batch.column(len(names) - 1).to_pylist(), strict=True):
-                    new = matches_in(vocabulary.encode(text), own, window, near, lcs, answer)
+                for ids, before in zip(vocabulary.encode(batch.column(at)), batch.column(len(names) - 1).to_pylist(), strict=True):
+                    new = matches_in(ids, own, window, near, lcs, answer)
                     found.append([*(before or []), *(dict(zip(("item_id", "cosine", "lcs", "answer"), m, strict=True)) for m in new)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=names)
 
