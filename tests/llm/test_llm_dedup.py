@@ -64,6 +64,19 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_trees_come_back_as_stars(spark, monkeypatch):
+    assert sorted(minhash.stars([(5, 4), (3, 4), (9, 5), (7, 8)])) == [(3, 4), (3, 5), (3, 9), (7, 8)]
+    assert minhash.stars([]) == []
+    # texts that slide along one another: neighbours are linked, distant ones only through them
+    run = words(np.random.default_rng(8), 180)
+    rows = [(i, " ".join(run[2 * i : 2 * i + 100])) for i in range(40)]
+    seen, real = [], minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda edges: seen.append(edges) or real(edges))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sorted(map(tuple, seen[-1].collect())) == [(0, i) for i in range(1, 40)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "only here at all"), (None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()

@@ -12,12 +12,13 @@ Steps and their bounds:
 * A bucket links its members to its smallest member, never to each other. Components of these links
   are *neighbourhoods*: all classes that share a band with one another, directly or through others.
 * A neighbourhood is cut into random blocks of about ``block`` classes, each with the neighbourhood's
-  first class. A block is compared in memory and returns a spanning forest of confirmed links.
+  first class. A block is compared in memory; the trees of its confirmed links come back as stars around
+  their smallest class, so that components over them take few rounds.
 * Neighbourhoods of several blocks are cut anew ``TURNS`` times. After that, the classes outside the
   largest linked part are compared with all blocks, one pair of blocks at a time. Classes that are linked
   already are skipped, so a large tight group costs about one comparison per class.
 
-No pair of texts is emitted other than forest edges and no bucket is capped. The only approximate step
+No pair of texts is emitted other than the stars' edges and no bucket is capped. The only approximate step
 are the bands: a pair exactly at the threshold shares none of them with probability at most ``MISS``.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; fewer words than a
@@ -185,8 +186,25 @@ def linked_forest(
     return edges
 
 
+def stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The trees of ``edges`` as stars: every node with the smallest of its tree."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return [(find(x), x) for x in list(up)]
+
+
 def forest(units: DataFrame, keys: list[str], need: tuple[int, int], bits: int, perms: int, block: int) -> DataFrame:
-    """``src, dst`` links within every unit (rows with equal ``keys``); small units share a task's group."""
+    """``src, dst``: the trees of the links within every unit (rows with equal ``keys``), as stars; small units share a task's group."""
     bundles = max(1, units.count() // block)
     names = [*keys, "node", "label", "left", "right", "sig", "items"]
 
@@ -199,7 +217,7 @@ def forest(units: DataFrame, keys: list[str], need: tuple[int, int], bits: int,
         for at in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
             if len(at) > 1:
                 edges += linked_forest(node[at], label[at], left[at], right[at], [sig[i] for i in at], [items[i] for i in at], need, bits, perms)
-        src, dst = zip(*edges) if edges else ((), ())
+        src, dst = zip(*stars(edges)) if edges else ((), ())
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     bundled = units.select(*names).withColumn("_bundle", F.pmod(F.xxhash64(F.lit(3), *keys), F.lit(bundles)))
@@ -275,9 +293,11 @@ def near_duplicates(
     wide = full.where("blocks > 1")
     if not wide.isEmpty():
         for turn in range(1, TURNS):
-            units = cut(_labelled(wide, links), turn).select("*", *_sides(True, True))
+            found, links = _labelled(wide, links)
+            units = cut(found, turn).select("*", *_sides(True, True))
             links = stored(links.unionByName(forest(units, ["area", "blk"], threshold, bits, perms, block)), "links")
-        links = stored(links.unionByName(_rest_links(_labelled(wide, links), threshold, bits, perms, block)), "links")
+        found, links = _labelled(wide, links)
+        links = stored(links.unionByName(_rest_links(found, threshold, bits, perms, block)), "links")
 
     labels = connected_components(links)
     own = F.coalesce("node", "id")
@@ -291,9 +311,11 @@ def near_duplicates(
     )
 
 
-def _labelled(full: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(full: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``full`` with the ``label`` of its component, and the components as one star each instead of ``links``."""
     labels = connected_components(links).withColumnRenamed("component", "label")
-    return full.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = full.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return found, labels.select(F.col("label").alias("src"), F.col("node").alias("dst"))
 
 
 def _rest_links(wide: DataFrame, need: tuple[int, int], bits: int, perms: int, block: int) -> DataFrame:

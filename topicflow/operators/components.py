@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from topicflow.session import cut_lineage
 
 
-def _spread_join(left: DataFrame, right: DataFrame, key: str, tell_apart: str, parts: int = 1000) -> DataFrame:
+def _spread_join(left: DataFrame, right: DataFrame, key: str, tell_apart: str, parts: int = 1000, total: int | None = None) -> DataFrame:
     """``left`` left-joined with ``right`` (one row per key) on ``key``. A key with more than one
     ``parts``-th of the left rows, such as the label of a huge component, is spread over as many salts
     as it has such shares, and its right row is repeated once per salt: no task gets all its rows.
-    At most ``parts`` keys are hot, so their table is broadcast."""
-    total = left.count()
+    At most ``parts`` keys are hot, so their table is broadcast. ``total`` is the number of left rows, if known."""
+    total = left.count() if total is None else total
     each = max(1, -(-total // parts))
     hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > each)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / each).cast("int").alias("_salts")))
@@ -44,6 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             "node", F.least("node", "_m").alias("component")
         )
     )
+    total = labels.count()  # a round keeps every node
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
@@ -56,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = cut_lineage(hooked)
         pointers = hooked.select(F.col("node").alias("_new"), F.col("_new").alias("_root"))
         moved = cut_lineage(
-            _spread_join(hooked, pointers, "_new", "node").select(
+            _spread_join(hooked, pointers, "_new", "node", total=total).select(
                 "node", "_old", F.least("_new", F.coalesce("_root", "_new")).alias("component")
             )
         )
