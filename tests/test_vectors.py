@@ -239,3 +239,16 @@ def test_agreement(spark):
     assert metrics.adjusted_rand_index(same, "a", "b").first()[0] == 1.0
     constant = same.withColumn("b", F.lit(0))
     assert metrics.adjusted_rand_index(constant, "a", "b").first()[0] == 0.0
+
+
+def test_kmeans_tfidf_makes_every_fit(spark, tmp_path, monkeypatch):
+    from topicflow.plans.queries import QUERIES
+
+    words = ["apple pear plum", "wheel road brake"]
+    rows = [(i, words[i % 2]) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, real = [], cluster.KMeans
+    monkeypatch.setattr(cluster, "KMeans", lambda **o: made.append((o["seed"], o["maxIter"])) or real(**o))
+    got = QUERIES["kmeans_tfidf"](spark, str(tmp_path)).collect()
+    assert len(got) == 24 and all(r["in_range"] and r["equal_together"] for r in got)
+    assert sorted(made) == [(42 + i, 300) for i in range(20)]
