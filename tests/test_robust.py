@@ -214,3 +214,25 @@ def test_compaction_crash_before_commit(spark, tmp_path):
     assert compact_batches(spark, path, schemas.INGEST_LOG, 3) == 3
     got = read_table(spark, path, schemas.INGEST_LOG).collect()
     assert sorted((r["outcome"], r["batch_id"]) for r in got) == [("o0", 2), ("o1", 2), ("o2", 2)]
+
+
+def test_long_rows_are_held_in_small_batches(spark):
+    rows, size, cached = (
+        f"spark.sql.{x}" for x in ("execution.arrow.maxRecordsPerBatch", "execution.arrow.maxBytesPerBatch", "inMemoryColumnarStorage.batchSize")
+    )
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+    df = spark.range(0, 5000, numPartitions=1).select("id", F.array(F.col("id").cast("string")).alias("toks"))
+    try:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, "64m")
+        assert features.term_counts(df, ["id"], F.col("toks")).count() == 5000
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("1000", "8m")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    batches, held = spark.conf.get(cached), cluster._cached(df)
+    try:
+        relation = held._jdf.queryExecution().withCachedData()
+        assert relation.cacheBuilder().cachedColumnBuffers().count() == 5 and spark.conf.get(cached) == batches
+    finally:
+        held.unpersist()

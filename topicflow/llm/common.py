@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicflow.session import scratch_path
+from topicflow.session import number_of, scratch_path, small_batches  # noqa: F401 (the operators take them from here)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,25 +27,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Let Python workers get Arrow batches of at most ``rows`` rows and about ``size`` bytes.
-
-    Batches of Spark's 10 000 rows hold a task's whole texts several times over, in the executor's direct
-    memory and in the worker. Smaller limits that the session has already are kept.
-    """
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = number_of(spark.conf.get(key))
-        if not 0 < now <= number_of(most):
-            spark.conf.set(key, most)
-
-
-def number_of(value: int | str) -> int:
-    """A count or a size like ``64m``, in units or bytes."""
-    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", str(value).strip().lower()).groups()
-    return int(number) * 1024 ** "bkmgt".index(unit or "b")
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``."""
 
