@@ -89,3 +89,10 @@ def test_custom_encoder(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id int, text string")
     out = {r["doc_id"]: r["embedding"] for r in embed.embed(df, "doc_id", "text", factory).collect()}
     assert out == {1: [1.0, 0.0], 2: [0.0, 0.0]}
+
+
+def test_text_is_cleaned_once(spark):
+    df = spark.createDataFrame([(1, "Some words here"), (2, "12 34")], "id int, content string")
+    cleaned = corpus.with_clean_text(df, alphabet="a-z")
+    assert [tuple(r) for r in cleaned.collect()] == [(1, "Some words here", "some words here")]
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

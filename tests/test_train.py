@@ -94,3 +94,17 @@ def test_tfidf_run_stores_no_ngrams_and_uses_large_blocks(corpus, monkeypatch):
     train.run_tfidf(corpus, "doc_id", k=2, min_df=5, max_df=0.6, n_init=1)
     assert "_grams" not in stored and blocks == [metrics.SPARSE_BLOCK]
     assert [metrics.sparse_block_rows(n) for n in (0, 500, 1024, 20000)] == [16384, 16384, 8192, 1024]
+
+
+def test_tfidf_run_counts_its_terms_once_whatever_the_ids(corpus, monkeypatch):
+    from pyspark.sql import functions as F
+
+    counted, real = [], train.features.term_counts
+    monkeypatch.setattr(train.features, "term_counts", lambda *a: counted.append(a[1]) or real(*a))
+    options = {"k": 2, "min_df": 5, "max_df": 0.6, "n_init": 1}
+    want = train.run_tfidf(corpus, "doc_id", **options)
+    assert len(counted) == 1
+    nameless = corpus.withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("void", F.lit(None))
+    got = train.run_tfidf(nameless, "doc_id", **options)
+    assert got["metrics"].first()["silhouette_score"] == pytest.approx(want["metrics"].first()["silhouette_score"])
+    assert got["data"].columns == [*nameless.columns, "content", "clean_text", "cluster"] and got["data"].count() == 60

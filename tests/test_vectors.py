@@ -252,3 +252,40 @@ def test_kmeans_tfidf_makes_every_fit(spark, tmp_path, monkeypatch):
     got = QUERIES["kmeans_tfidf"](spark, str(tmp_path)).collect()
     assert len(got) == 24 and all(r["in_range"] and r["equal_together"] for r in got)
     assert sorted(made) == [(42 + i, 300) for i in range(20)]
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_pairs_of_groups_give_every_distance_once(cloud, monkeypatch, sparse):
+    import pyarrow as pa
+
+    monkeypatch.setattr(metrics, "GROUP_CELLS", 40)  # sums are set out early
+    x, labels = cloud
+    x, labels = np.where(np.abs(x[:30]) < 0.5, 0, x[:30]), labels[:30].astype(np.int64)
+    d = pairwise(x)
+
+    def batch(rows, side):
+        used = [np.flatnonzero(x[i]) if sparse else np.arange(x.shape[1]) for i in rows]
+        columns = {"id": pa.array(rows), "vec": pa.array([x[i][u].tolist() for i, u in zip(rows, used)], pa.list_(pa.float64()))}
+        columns |= {"cluster": pa.array(labels[rows])} | ({"idx": pa.array([(u * 10).tolist() for u in used], pa.list_(pa.int64()))} if sparse else {})
+        return pa.RecordBatch.from_pydict(columns | {"_side": pa.array([side] * len(rows), pa.int32())})
+
+    def sums(*batches):
+        out = {}
+        for part in metrics._pair_sums(4)(iter(batches)):
+            for r in part.to_pylist():
+                assert r["own"] == labels[r["id"]]
+                out[r["id"], r["other"]] = out.get((r["id"], r["other"]), 0.0) + r["dist"]
+        return out
+
+    left, right = list(range(18)), list(range(18, 30))
+    want = {(i, c): d[i, [j for j in o if labels[j] == c]].sum() for s, o in ((left, right), (right, left)) for i in s for c in set(labels[o])}
+    assert sums(batch(left[:7], 0), batch(left[7:], 0), batch(right[:1], 1), batch(right[1:], 1)) == pytest.approx(want)
+    want = {(i, c): d[i, [j for j in left if labels[j] == c]].sum() for i in left for c in set(labels[left])}
+    assert sums(batch(left, 2)) == pytest.approx(want, abs=1e-6)
+
+
+def test_silhouette_over_many_groups(spark, cloud):
+    x, labels = cloud
+    samples = metrics.silhouette_samples(points(spark, x, labels), "id", "vec", "cluster", block_rows=4)
+    np.testing.assert_allclose(by_id(samples, "silhouette"), brute_silhouette(pairwise(x), labels), atol=1e-7)
+    assert metrics.silhouette_samples(points(spark, x, labels).where("id < 0"), "id", "vec", "cluster").count() == 0

@@ -73,8 +73,11 @@ def drop_short(df: DataFrame, min_chars: int = 20) -> DataFrame:
 
 
 def with_clean_text(df: DataFrame, source: str = "content", out: str = "clean_text", **options) -> DataFrame:
-    """Cleaned text of ``source``; rows that clean to nothing are dropped."""
-    return df.withColumn(out, tx.clean_text(F.col(source), **options)).where(F.length(out) > 0)
+    """Cleaned text of ``source``; rows that clean to nothing are dropped.
+
+    The text comes out of a generator: written out, Spark would clean again in the filter.
+    """
+    return df.withColumn(out, F.explode(F.array(tx.clean_text(F.col(source), **options)))).where(F.length(out) > 0)
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:

@@ -10,25 +10,6 @@ def stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def stack_pair(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of two blocks as matrices over the same columns.
-
-    With an ``idx`` column the vectors are sparse (``idx`` positions, ``vec``
-    values), and only the positions used in either block become columns.
-    """
-    if "idx" not in left.columns:
-        return stack(left["vec"]), stack(right["vec"])
-    used = np.unique(np.concatenate([*left["idx"], *right["idx"], np.zeros(1, dtype=np.int64)]))
-
-    def dense(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), len(used)))
-        for r, (idx, values) in enumerate(zip(rows["idx"], rows["vec"])):
-            out[r, np.searchsorted(used, idx)] = values
-        return out
-
-    return dense(left), dense(right)
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances between all rows of two blocks."""
     sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
